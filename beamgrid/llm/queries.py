@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, token_store, warc
+from . import decontaminate, language, line_dedup, near_dup, packing, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": token_store.query,
         "op2_warc": warc.query,
         "op5_packing": packing.query,
+        "op6_language": language.query,
         "op7_decontaminate": decontaminate.query,
         "op8_line_dedup": line_dedup.query,
         "op9_near_dup": near_dup.query,
