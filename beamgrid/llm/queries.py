@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, near_dup, packing, token_store, warc
+from . import decontaminate, language, line_dedup, near_dup, packing, quality, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": decontaminate.query,
         "op8_line_dedup": line_dedup.query,
         "op9_near_dup": near_dup.query,
+        "op10_quality": quality.query,
     }
 
 
