@@ -81,6 +81,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     )
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces with their ids."""
+    return pack(docs)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents packed to 1024; a digest of each piece's ids."""
     return pack(read(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

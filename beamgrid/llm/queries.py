@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, language, line_dedup, near_dup, packing, quality, token_store, warc
 
 
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.query,
         "op9_near_dup": near_dup.query,
         "op10_quality": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
