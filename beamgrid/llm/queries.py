@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, language, line_dedup, near_dup, packing, quality, token_store, warc
+from . import decontaminate, language, line_dedup, near_dup, neighbours, packing, pii, quality, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.query,
         "op2_warc": warc.query,
+        "op3_pii": pii.query,
+        "op4_neighbours": neighbours.query,
         "op5_packing": packing.query,
         "op6_language": language.query,
         "op7_decontaminate": decontaminate.query,
