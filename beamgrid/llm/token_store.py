@@ -133,7 +133,7 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, MANIFEST), "manifest")
 
 
-def build_index(manifest: DataFrame, out: str, keys_per_bucket: int = 50_000) -> int:
+def build_index(manifest: DataFrame, out: str, keys_per_bucket: int = 16_384) -> int:
     """Write the index files of a manifest; returns their number."""
     buckets = max(1, -(-manifest.count() // keys_per_bucket))
     runs = manifest.groupBy("doc_key", "shard", "text_hash", "n_tokens").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))

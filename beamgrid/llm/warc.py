@@ -210,7 +210,7 @@ def scan(spark: SparkSession, uri: str, split_bytes: int = 64 << 20, with_payloa
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     cut = splits(spark, uri, split_bytes)
-    return cut.repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(load, RECORD)
+    return cut.repartition(min(max(1, cut.count()), 20_000)).mapInArrow(load, RECORD)  # a task for each range
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
