@@ -56,11 +56,11 @@ def texts(seed, groups=12, copies=9):
     return out
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 32), (2, 2), (3, 2)])
-def test_against_all_pairs(spark, seed, small):
+@pytest.mark.parametrize(("seed", "cell"), [(1, 1024), (2, 3), (3, 1)])
+def test_against_all_pairs(spark, seed, cell):
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts(seed))]
     random.Random(seed).shuffle(rows)
-    assert got(spark, rows, small=small) == brute(rows)
+    assert got(spark, rows, cell=cell) == brute(rows)
 
 
 def test_chain_of_copies(spark):
@@ -73,7 +73,7 @@ def test_chain_of_copies(spark):
             t[8 * j + 3] = f"new{j}"
         rows.append((100 - k, " ".join(t)))
     assert len({r[2] for r in brute(rows)}) == 1
-    assert got(spark, rows, small=2) == brute(rows)
+    assert got(spark, rows, cell=2) == brute(rows)
 
 
 def test_edges(spark):
