@@ -44,3 +44,12 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sent(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be joined by broadcast if it has at most so many rows, which is counted; else as it is, to be joined by a shuffle.
+
+    For tables of narrow rows that don't grow with the documents: counts by language, by length, by writing task.
+    """
+    held = materialize(df, "sent")
+    return F.broadcast(held) if held.count() <= rows else held

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, read
+from .common import held_out, read, sent
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZE = 400
@@ -98,7 +98,7 @@ def train(docs: DataFrame, texts_per_language: int = 4000, size: int = SIZE) ->
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("draw"))
     n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = n.select(F.col("lang").alias("name"), F.least(F.lit(1 << 20), F.ceil(F.lit(float(texts_per_language << 20)) / F.col("n"))).alias("most"))
-    drawn = rows.join(F.broadcast(share.limit(10_000)), (F.col("lang") == F.col("name")) & (F.col("draw") < F.col("most"))).select("lang", "text")
+    drawn = rows.join(sent(share), (F.col("lang") == F.col("name")) & (F.col("draw") < F.col("most"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, sent
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -102,7 +102,7 @@ def cosine(a: Block, r: np.ndarray, b: Block, c: np.ndarray) -> np.ndarray:
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """block, dim, ids, vectors (64-bit floats): rows dealt to blocks of about `size`, none of more."""
     n = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    dealt = rows.join(n, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.col("v")), F.ceil(F.col("n") / size)).cast("int"))
+    dealt = rows.join(sent(n), "dim").withColumn("block", F.pmod(F.xxhash64("id", F.col("v")), F.ceil(F.col("n") / size)).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "dim", "ids", "vectors"]
@@ -141,7 +141,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     queries = _blocks(held.filter("is_query").drop("is_query"), query_block).select("dim", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
     # each block of queries goes to each block of candidates of the same length: whole blocks are joined, not rows
     places = candidates.groupBy("dim").agg(F.collect_list("tile").alias("tiles"))
-    queries = queries.join(places, "dim").select(F.explode("tiles").alias("tile"), "a_ids", "a")
+    queries = queries.join(sent(places, 100), "dim").select(F.explode("tiles").alias("tile"), "a_ids", "a")
     tiles = queries.join(candidates.select("tile", "dim", "b_ids", "b"), "tile").select("dim", "a_ids", "a", "b_ids", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
