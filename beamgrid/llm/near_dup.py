@@ -262,3 +262,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the component of every document."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle, on whole tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS shingle FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM t x JOIN t y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN m ON s.doc_id = m.a
+"""

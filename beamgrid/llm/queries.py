@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL}
+    return {"op2_warc": warc.SQL, "op9_near_dup": near_dup.SQL}
