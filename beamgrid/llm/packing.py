@@ -74,6 +74,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     )
     pieces = F.transform(F.concat(fulls, rest), lambda p: F.struct(p["start"].alias("start"), p["k"].alias("k"), (F.element_at("base", p["k"] + 1) + F.element_at("before", p["k"] + 1) + p["i"]).alias("sequence_id")))
     size = F.expr("cast(shiftleft(1, p.k) as int)")
+    # a row of eleven numbers per writing task: sent to all tasks while that is at most 20 MB, else joined by a shuffle
+    bases = F.broadcast(bases) if bases.count() <= 200_000 else bases
     return (
         held.join(bases, "part")
         .select("doc_id", "ids", "doc_tokens", F.explode(pieces).alias("p"))
