@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: White space next to a space: there the split at spaces is not a boundary of the vocabulary's own pre-tokens.
-_SPACES = re.compile(r"\s | \s")
 
 
 def default_tokenizer() -> str:
@@ -29,7 +26,7 @@ class Encoder:
     encoded again.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000, longest: int = 40):
+    def __init__(self, path: str, cache_words: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,7 +57,7 @@ class Encoder:
 
     def _chunk_ids(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of each chunk after a space: those of its word, then those of the punctuation that ends it, a pre-token."""
-        cut = {c: w if (w := c.rstrip(_PUNCTUATION)).isalpha() else c for c in chunks}
+        cut = {c: c if c.isalpha() or not (w := c.rstrip(_PUNCTUATION)).isalpha() else w for c in chunks}
         words = {w: self.cache.get(w) for w in set(cut.values())}
         missing = [w for w, ids in words.items() if ids is None]
         for w, ids in zip(missing, self._encode_chunks(missing), strict=True):
@@ -76,17 +73,12 @@ class Encoder:
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         out, group = [], 1024
         for i in range(0, len(texts), group):
-            chunks, whole = [], {}
-            for k, text in enumerate(texts[i : i + group]):
-                if not text:
-                    chunks.append(())
-                elif _SPACES.search(text):
-                    whole[k] = text
-                    chunks.append(())
-                else:
-                    first, *rest = text.split(" ")
-                    chunks.append([first, *rest])
-            known = self._chunk_ids({c for row in chunks for c in row[1:]})
+            chunks = [t.split(" ") if t else [] for t in texts[i : i + group]]
+            distinct = {c for row in chunks for c in row[1:]}
+            # white space beside a space belongs to a longer run
+            runs = {c for c in distinct if not c or c[0].isspace() or c[-1].isspace()}
+            whole = {k: texts[i + k] for k, row in enumerate(chunks) if row and (len(row) > 1 and row[0][-1:].isspace() or runs and not runs.isdisjoint(row[1:]))}
+            known = self._chunk_ids(distinct - runs)
             firsts = self._encode([row[0] if row else "" for row in chunks])
             wholes = dict(zip(whole, self._encode(list(whole.values())), strict=True))
             out += [wholes[k] + end if k in wholes else b"".join([firsts[k], *map(known.__getitem__, row[1:]), end]) for k, row in enumerate(chunks)]
