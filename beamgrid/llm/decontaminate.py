@@ -33,6 +33,12 @@ WORD = re.compile(r"\w+")
 RADIUS, K = 15, 5
 LEAKS = "array<struct<item_id:long,start_word:int,n_words:int,similarity:double>>"
 _NOISE = 4096
+_PAIRS = 1 << 22
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of a pair of neighbouring words in a table of fixed size; pairs that share one only let more windows through."""
+    return (a * 2654435761 + b * 40503 + (b >> 3) * 97) & (_PAIRS - 1)
 
 
 def _shingles(ids: list) -> Counter:
@@ -60,8 +66,12 @@ class Index:
         for size, own in by_size.items():
             prints = self.fingerprints(np.array([ids for _, ids in own]))
             blocks = prints.view(np.uint8).reshape(-1, 8)
-            near = [[np.flatnonzero(np.bitwise_count(blocks[:, b] ^ np.uint8(v)) <= RADIUS // 8) for v in range(256)] for b in range(8)]
+            near = [np.bitwise_count(blocks[None, :, b] ^ np.arange(256, dtype=np.uint8)[:, None]) <= RADIUS // 8 for b in range(8)]
             self.groups[size] = ([i for i, _ in own], [_shingles(ids) for _, ids in own], prints, near)
+        self.pairs = np.zeros(_PAIRS, bool)
+        for own in by_size.values():
+            for _, ids in own:
+                self.pairs[_pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))] = True
         self.pad = max(by_size, default=0) // 4 + 2
 
     def fingerprints(self, windows: np.ndarray) -> np.ndarray:
@@ -86,29 +96,33 @@ class Index:
             flat += pads
         at, begin = np.array(flat, np.int64), np.array(begin)
         sizes = np.array([len(r) for r in rows])
-        total = np.concatenate([[0], np.cumsum((at > 0) & (at <= len(self.vocabulary)), dtype=np.int32)])
+        total = np.concatenate([[0], np.cumsum(self.pairs[_pair(at[:-1], at[1:])], dtype=np.int32)])
         for size, (names, sets, prints, near) in self.groups.items():
             if len(at) < size:
                 continue
-            enough = max(1, -(-3 * (size - K + 1) // 4) + K - 1 if size >= K else size)
-            starts = np.flatnonzero(total[size:] - total[:-size] >= enough)
+            if size == 1:
+                starts = np.flatnonzero((at > 0) & (at <= len(self.vocabulary)))
+            else:
+                enough = -(-3 * (size - K + 1) // 4) + K - 2 if size >= K else size - 1
+                starts = np.flatnonzero(total[size - 1 :] - total[: len(total) - size + 1] >= enough)
             for part in (starts[i : i + 512] for i in range(0, len(starts), 512)):
                 windows = self.fingerprints(at[part[:, None] + np.arange(size)])
                 blocks = windows.view(np.uint8).reshape(-1, 8)
-                for row, start in enumerate(part.tolist()):
-                    items = np.unique(np.concatenate([near[b][blocks[row, b]] for b in range(8)]))
-                    items = items[np.bitwise_count(prints[items] ^ windows[row]) <= RADIUS]
-                    if not len(items):
-                        continue
+                close = near[0][blocks[:, 0]]
+                for b in range(1, 8):
+                    close = close | near[b][blocks[:, b]]
+                row, item = np.nonzero(close)
+                within = np.bitwise_count(prints[item] ^ windows[row]) <= RADIUS
+                for start, j in zip(part[row[within]].tolist(), item[within].tolist(), strict=True):
                     doc = int(np.searchsorted(begin, start + size // 2, "right")) - 1
                     first = max(start - int(begin[doc]), 0)
                     own = rows[doc][first : max(0, min(start + size - int(begin[doc]), int(sizes[doc])))]
                     held = _shingles(own)
-                    for j in items.tolist():
-                        both = (held & sets[j]).total()
-                        alike = both / (held.total() + sets[j].total() - both)
-                        if alike >= 0.75 and alike > found[doc].get(j_key := (names[j], j, size), (0, 0, 0.0))[2]:
-                            found[doc][j_key] = (first, len(own), alike)
+                    both = (held & sets[j]).total()
+                    alike = both / (held.total() + sets[j].total() - both)
+                    key = (names[j], j, size)
+                    if alike >= 0.75 and alike > found[doc].get(key, (0, 0, 0.0))[2]:
+                        found[doc][key] = (first, len(own), alike)
         return [[(k[0], *v) for k, v in sorted(f.items(), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1:]))] for f in found]
 
 
