@@ -1,40 +1,57 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of runs of pieces, in DataFrame functions only.
 
 A line is a physical line or a sentence-like part of one: a text is cut after each line feed, after a sentence mark
-and a space, and after a space before a capitalised word; the lines of a text, joined, are the text. Lines are equal if
-they are without the white space around them.
-
-Fingerprints are window minima: a line of 20 words or more is a fingerprint by itself (a window of one); of the pairs
-of neighbouring lines, the lesser hash in each window of two pairs is one. A run of at least 40 words has either a
-line of 20 words or at least three lines, hence two pairs, so every repeated run of that length has a fingerprint.
-Each fingerprint is joined to its first position in the corpus only (documents by doc_id, then by text hash; positions
-in order), so links grow with the lines, not with the square of the copies. From each link equal lines are extended
-both ways; runs of at least `min_words` words are deleted in the later place. Runs inside one document are found in the same way; the source of a deleted run may itself be deleted there,
-as it then has a still earlier one.
-
-Defined cases: null stays null and empty stays empty; rows equal in doc_id and text count as one document and share
+and a space, and after a space before a capitalised word; the lines of a text, joined, are the text. Lines are cut further
+into pieces of a few words, before words of some lengths, so a passage that begins or ends inside a line, or has neither
+case nor marks, is cut alike wherever it stands. In scripts written without spaces pieces end after marks, after frequent
+characters, from kana to kanji and before leading vowels. Pieces are equal if they are without the white space around them.
+
+A fingerprint is the hash of a run of pieces that is long enough by itself: the fewest pieces from a place on, or up to a
+place, that hold `min_words` words. It is taken at every piece. All but the first place of a fingerprint in the corpus are
+deleted (documents by doc_id, then by text hash; places in order). A piece of any repeated run of that length is in such a
+run, so nothing is extended or compared, and a piece goes if and only if it is in a run that stands earlier too. The first
+place may lose pieces itself to a still earlier one.
+
+Words are parted by white space or bars; two characters of Han or kana, or four of Thai, Lao, Khmer or Burmese, count as one
+more. Defined cases: null stays null and empty stays empty; rows equal in doc_id and text count as one document and share
 its result; a null doc_id comes last. An empty table gives no row. Other columns are kept as they are, whatever their
 names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import read
 
 CUT = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] )|(?=\p{Lu}[\p{Ll} ]))"
-LONG = 20
+SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+HAN, INDIC = r"\u3041-\u30ff\u3400-\u9fff", r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+MARKS = r"\u3001\u3002\uff01-\uff1f"
+# before words of 5, 7 or 9 characters, whatever they are
+FORM = rf"(?=[^{SPACE}|]{{5}}(?:[^{SPACE}|]{{2}}){{0,2}}(?![^{SPACE}|]))"
+# after a mark, from kana to kanji, after a frequent character, before a leading vowel, after some vowel signs
+UNSPACED = rf"(?<=[{HAN}{MARKS}{INDIC}])(?=[^{SPACE}{MARKS}])(?:(?<=[{MARKS}\u104a\u104b\u17d4])|(?<=[\u3041-\u30ff])(?=[\u3400-\u9fff])|(?<=[\u7684\u4e86\u662f\u5728\u4e0d\u6211\u6709\u4eba\u8fd9\u9019\u4e00\u4ed6\u4eec\u5011\u56fd\u570b\u4e2d\u5927])|(?=[\u0e40-\u0e44\u0ec0-\u0ec4])|(?<=[\u1038\u17b6]))"
+PIECE = rf"(?<=[{SPACE}|])(?=[^{SPACE}|])(?:(?<=\n[{SPACE}]{{0,16}})|(?<=[.!?][{SPACE}]{{1,3}})|(?=\p{{Lu}}[\p{{Ll}} ])|{FORM})|{UNSPACED}"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, CUT, -1)
 
 
-def _words(line: Column) -> Column:
-    bare = F.trim(line)
-    return F.when(bare == "", 0).otherwise(F.least(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1, F.lit(32767)))
+def _pieces(text: Column) -> Column:
+    return F.split(text, PIECE, -1)
+
+
+def _words(piece: Column) -> Column:
+    bare = F.trim(piece, F.lit(SPACES + "|"))
+    single = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+    spaced = F.when(F.rlike(bare, F.lit(rf"[{SPACE}|]{{2}}|[{SPACE}|&&[^ ]]")), F.size(F.split(bare, rf"[{SPACE}|]+"))).otherwise(single)
+    more = lambda chars, n: F.floor(F.length(F.regexp_replace(bare, f"[^{chars}]", "")) / n).cast("int")
+    unspaced = F.when(F.rlike(bare, F.lit(f"[{HAN}{INDIC}]")), more(HAN, 2) + more(INDIC, 4)).otherwise(0)
+    return F.when(bare == "", 0).otherwise(spaced + unspaced)
 
 
 def _doc() -> tuple[Column, Column]:
@@ -42,112 +59,72 @@ def _doc() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.hash("text")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """id, tag: the document; h: hashes of its lines; w: their words; chosen: places of its fingerprints, by key."""
-    own_id, tag = _doc()
-    rows = docs.filter("text is not null and text != ''").select(own_id.alias("id"), tag.alias("tag"), _lines(F.col("text")).alias("lines"))
-    held = rows.select("id", "tag", F.transform("lines", lambda x: F.xxhash64(F.trim(x, F.lit(" \n\t\r")))).alias("h"), F.transform("lines", _words).cast("array<short>").alias("w"))
-    return held.withColumn("k", _keys()).withColumn("chosen", F.transform(F.array_sort(_chosen()), lambda e: e["pos"])).drop("k")
-
-
-def _keys() -> Column:
-    """The key at each place: a long line's hash, else that of the pair with the next line; null where there is none."""
-    return F.transform("h", lambda x, i: F.when(F.element_at("w", i + 1) >= LONG, x).when(i + 1 < F.size("h"), F.xxhash64(x, F.try_element_at("h", i + 2))))
-
+CHUNK = 64
 
-def _chosen() -> Column:
-    """Window minima among the keys k, as (key, pos)."""
-    last = F.lit(2**63 - 1)
-    # a pair is the minimum of the window with the pair before it or of that with the pair after it
-    return F.filter(
-        F.transform("k", lambda x, p: F.struct(x.alias("key"), p.alias("pos"))),
-        lambda e: e["key"].isNotNull()
-        & (
-            (F.element_at("w", e["pos"] + 1) >= LONG)
-            | (e["key"] <= F.coalesce(F.try_element_at("k", e["pos"] + 2), last))
-            | ((e["pos"] > 0) & (e["key"] <= F.coalesce(F.try_element_at("k", F.greatest(e["pos"], F.lit(1))), last)))
-        ),
-    )
 
+def _sums(w: Column) -> Column:
+    """Sums of the first 0, 1, ... elements of w; in chunks, as an array grows by a copy."""
+    n = F.size(w)
+    run = lambda a, start: F.aggregate(a, F.array(start), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: run(F.slice(w, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0)))
+    totals = lambda cs: run(F.transform(cs, lambda c: F.element_at(c, -1)), F.lit(0))
+    # bound once, by transforms over arrays of one
+    placed = F.transform(F.array(chunks), lambda cs: F.transform(F.array(totals(cs)), lambda t: F.flatten(F.zip_with(cs, F.slice(t, 1, F.size(cs)), lambda c, before: F.transform(F.slice(c, 2, CHUNK), lambda x: x + before)))))
+    return F.concat(F.array(F.lit(0)), F.flatten(F.flatten(placed)))
 
-NEAR = 64
 
+def run_table(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """id, tag: the document; key, place: a row for each of its shortest runs of min_words words; place is first piece * 2**16 + pieces."""
+    assert 0 < min_words < 2**15
+    own_id, tag = _doc()
+    rows = docs.filter("text is not null and text != ''").select(own_id.alias("id"), tag.alias("tag"), F.explode(F.array(_pieces(F.col("text")))).alias("p"))
+    rows = rows.select("id", "tag", F.transform("p", lambda x: F.xxhash64(F.trim(x, F.lit(SPACES)))).alias("h"), F.explode(F.array(F.transform("p", _words))).alias("w"))
+    rows = rows.select("id", "tag", "h", F.explode(F.array(_sums(F.col("w")))).alias("c"))
+    # pieces after the first have a word at least, so min_words + 1 of them are enough
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range((min_words + 1).bit_length()))))
 
-def _equal(h: Column, at: Column, other: Column, p: Column, n: Column) -> Column:
-    """How many lines from at on equal those of other from p on (0-based), of n: looks NEAR lines ahead, then at all."""
-
-    def of(m: Column) -> Column:
-        x, y = F.slice(h, at + 1, m), F.slice(other, p + 1, m)
-        return F.array_position(F.zip_with(x, y, lambda u, v: u == v), F.lit(False)).cast("int") - 1
-
-    near = of(F.least(n, F.lit(NEAR)))
-    return F.when(near >= 0, near).when(n <= NEAR, n).otherwise(F.when(of(n) >= 0, of(n)).otherwise(n))
+    def end(i: Column, x: Column) -> Column:
+        """The end of the shortest run from i on: one more than the last place whose sum is too small."""
+        return F.aggregate(steps, i, lambda at, step: F.when(F.try_element_at("c", at + step + 1) - x < min_words, at + step).otherwise(at)) + 1
 
+    starts = F.filter(F.transform("c", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: F.element_at("c", -1) - e["x"] >= min_words)
+    ends = F.transform(starts, lambda e: end(e["i"], e["x"]))
+    rows = rows.select("id", "tag", "h", F.size("h").alias("n"), F.explode(F.array(ends)).alias("e"))
+    # from i to e[i]; up to those ends that no such run has, from the last start that is early enough
+    ended = rows.select("id", "tag", "h", "n", "e", F.posexplode("e").alias("i", "b"))
+    ended = ended.withColumn("b", F.explode(F.sequence("b", F.greatest(F.col("b"), F.coalesce(F.try_element_at("e", F.col("i") + 2) - 1, F.col("n"))))))
+    return ended.select(F.xxhash64(F.slice("h", F.col("i") + 1, F.col("b") - F.col("i"))).alias("key"), "id", "tag", (F.col("i").cast("long") * 65536 + (F.col("b") - F.col("i"))).alias("place"))
 
-def _runs(min_words: int) -> Column:
-    """Of a row with links (pos, from), h, w, its reverse rh, and ph, rph of the source: the lines [a, b) of equal runs.
 
-    Links are taken in order; one that a run found before covers is passed over.
-    """
-    size, psize = F.size("w"), F.size("pw")
+def repeated(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """id, tag, kept: for each document that repeats something, the pieces [a, b) to keep; b of the last is null, its end."""
+    order = Window.partitionBy("key").orderBy("id", "tag", "place")
+    # rows of one place, from rows equal in doc_id and text, have one rank
+    later = run_table(docs, min_words).withColumn("rank", F.rank().over(order)).filter("rank > 1")
+    held = later.groupBy("id", "tag").agg(F.array_sort(F.collect_list("place")).alias("places"))
     zero = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        pos, at = e["pos"], e["at"]
-        ahead = _equal(F.col("h"), pos, F.col("ph"), at, F.least(size - pos, psize - at))
-        back = _equal(F.col("rh"), size - pos, F.col("rph"), psize - at, F.least(pos, at))
-        run = F.struct((pos - back).alias("a"), (pos + ahead).alias("b"))
-        # one evaluation of the run, bound by a transform over an array of one
-        tried = F.element_at(
-            F.transform(
-                F.array(run),
-                lambda r: F.when(
-                    F.aggregate(F.slice("w", r["a"] + 1, r["b"] - r["a"]), F.lit(0), lambda x, y: x + y.cast("int")) >= min_words,
-                    F.struct(r["b"].alias("until"), F.concat(s["out"], F.array(r)).alias("out")),
-                ).otherwise(s),
-            ),
-            1,
-        )
-        return F.when(pos < s["until"], s).otherwise(tried)
-
-    return F.aggregate(F.array_sort("links"), zero, step, lambda s: s["out"])
-
+    def step(s: Column, p: Column) -> Column:
+        a = F.shiftright(p, 16).cast("int")
+        b = a + p.bitwiseAND(F.lit(0xFFFF)).cast("int")
+        gap = F.struct(s["until"].alias("a"), a.alias("b"))
+        return F.struct(F.greatest(s["until"], b).alias("until"), F.when(a > s["until"], F.concat(s["out"], F.array(gap))).otherwise(s["out"]).alias("out"))
 
-def repeated(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """id, tag, ranges: for each document that has some, the lines [a, b) that repeat an earlier run."""
-    table = materialize(line_table(docs), "lines")
-    # a key is made from the lines again, which is cheaper than to store it
-    line = lambda p: F.try_element_at("h", p + 1)
-    key = lambda p: F.when(F.element_at("w", p + 1) >= LONG, line(p)).otherwise(F.xxhash64(line(p), line(p + 1)))
-    before = lambda i: F.try_element_at("chosen", F.greatest(i, F.lit(1)))
-    # at: the key's place before this one in the same document, else this one
-    place = lambda p, i: F.when((i > 0) & (key(before(i)) == key(p)), before(i)).otherwise(p)
-    prints = table.select("id", "tag", F.transform("chosen", lambda p, i: F.struct(key(p).alias("key"), p.alias("pos"), place(p, i).alias("at"))).alias("prints"))
-    # of a key's places in one document only the first meets other documents; the rest are linked to the one before
-    firsts = F.filter("prints", lambda e: e["pos"] == e["at"])
-    spot = F.shiftleft(F.col("tag").cast("long"), 32).bitwiseOR(F.col("e.pos").cast("long"))  # tag and place in one number, in their order
-    apart = prints.select("id", "tag", F.explode(firsts).alias("e")).select("id", F.col("e.key").alias("key"), spot.alias("spot"))
-    first = apart.groupBy("key").agg(F.min(F.struct("id", "spot")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    tag = lambda c: F.shiftright(c, 32).cast("int")
-    pos = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    links = apart.join(first, "key").filter((F.col("id") != F.col("first.id")) | (tag("spot") != tag("first.spot")))
-    links = links.groupBy("id", tag("spot").alias("tag"), F.col("first.id").alias("s_id"), tag("first.spot").alias("s_tag")).agg(F.collect_set(F.struct(pos("spot").alias("pos"), pos("first.spot").alias("at"))).alias("links"))
-    inside = prints.select("id", "tag", F.col("id").alias("s_id"), F.col("tag").alias("s_tag"), F.transform(F.filter("prints", lambda e: e["pos"] > e["at"]), lambda e: F.struct(e["pos"].alias("pos"), e["at"].alias("at"))).alias("links")).filter(F.size("links") > 0)
-    whole = table.groupBy("id", "tag").agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    # both sides read the same columns, so they share one shuffle
-    sources = whole.select(F.col("id").alias("s_id"), F.col("tag").alias("s_tag"), F.col("h").alias("ph"), F.col("w").alias("pw"))
-    joined = links.union(inside).join(sources, ["s_id", "s_tag"]).join(whole, ["id", "tag"])
-    runs = joined.withColumns({"rh": F.reverse("h"), "rph": F.reverse("ph")}).select("id", "tag", F.explode(_runs(min_words)).alias("range"))
-    return runs.groupBy("id", "tag").agg(F.collect_set("range").alias("ranges"))
+    kept = F.aggregate("places", zero, step, lambda s: F.concat(s["out"], F.array(F.struct(s["until"].alias("a"), F.lit(None).cast("int").alias("b")))))
+    return held.select("id", "tag", kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """docs with the later repeated runs taken out of text, and a column lines_deleted (int)."""
+    """docs with the later repeated runs taken out of text, and a column lines_deleted (int): lines, and parts of lines, taken out."""
     held = docs.withColumns(dict(zip(("_id", "_tag"), _doc(), strict=True)))
-    hit = repeated(docs, min_words).select(F.col("id").alias("_r_id"), F.col("tag").alias("_r_tag"), F.col("ranges").alias("_ranges"))
+    hit = repeated(docs, min_words).select(F.col("id").alias("_r_id"), F.col("tag").alias("_r_tag"), F.col("kept").alias("_kept"))
     joined = held.join(hit, (F.col("_id") == F.col("_r_id")) & (F.col("_tag") == F.col("_r_tag")) & (F.col("text") != ""), "left")
-    kept = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.when(~F.exists("_ranges", lambda r: (r["a"] <= i) & (i < r["b"])), x)), lambda x: x.isNotNull())
-    both = F.when(F.col("_ranges").isNotNull(), F.struct(F.array_join(kept, "").alias("text"), (F.size(_lines(F.col("text"))) - F.size(kept)).alias("n")))
+    joined = joined.withColumn("_p", F.explode(F.array(F.when(F.col("_kept").isNotNull(), _pieces(F.col("text"))))))
+    part = lambda a, b: F.array_join(F.slice("_p", a + 1, b - a), "")
+    left = F.array_join(F.transform("_kept", lambda r: part(r["a"], F.coalesce(r["b"], F.size("_p")))), "")
+    gone = F.transform("_kept", lambda r, k: part(F.when(k > 0, F.try_element_at("_kept", F.greatest(k, F.lit(1)))["b"]).otherwise(0), r["a"]))
+    n = F.aggregate(gone, F.lit(0), lambda s, x: s + F.size(F.filter(_lines(x), lambda y: y != "")))
+    both = F.when(F.col("_kept").isNotNull(), F.struct(left.alias("text"), n.alias("n")))
     joined = joined.withColumn("_new", F.explode(F.array(both)))  # computed once, whatever is asked of it
     return joined.select(*(F.coalesce("_new.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce("_new.n", F.lit(0)).alias("lines_deleted"))
 

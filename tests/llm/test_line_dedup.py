@@ -91,3 +91,68 @@ def test_stage_and_plan(spark):
     # no run of 50 words is left whole in two places, lines taken as the operator cuts them
     lines = [x.strip() for r in got.values() for x in cut(r.text) if len(x.split()) >= 50]
     assert len(lines) == len(set(lines))
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdeéklmnrst", k=rng.randint(2, 10))) for _ in range(n)]
+
+
+def test_lines_seen_apart_before(spark):
+    rng = random.Random(4)
+    lines = [sentence(rng, 25) for _ in range(8)]
+    apart = "\n".join(f"{sentence(rng, 6)}\n{x}" for x in lines)
+    passage = "\n".join(lines) + "\n"
+    one, two = sentence(rng, 50), sentence(rng, 50)
+    out, _ = run(spark, [(1, apart), (2, f"{one}\n{passage}"), (3, f"{two}\n{passage}")])
+    got = {k: t for (k, _), t in out.items()}
+    assert got[1] == apart and got[2] == f"{one}\n{passage}" and got[3] == f"{two}\n"
+    # each place of a passage, where it runs on longer than before: the last short line goes with it
+    a, b, c = sentence(rng, 30), sentence(rng, 30), sentence(rng, 5)
+    out, _ = run(spark, [(1, f"{a}\n{b}\n{one}"), (2, f"{a}\n{b}\n{c}\n{two}"), (3, f"{two[::-1]}\n{a}\n{b}\n{c}\n")])
+    assert [t for (k, _), t in out.items() if k == 3] == [f"{two[::-1]}\n"]
+
+
+@pytest.mark.parametrize("join", [" ", "\t", " | ", "|", "\u3000", "  "])
+def test_passage_inside_a_line(spark, join):
+    rng = random.Random(5)
+    passage = words(rng, 90)
+    rows = [(k, join.join(words(rng, 30) + passage + words(rng, 30))) for k in range(3)]
+    got = {k: t for (k, _), t in run(spark, rows)[0].items()}
+    assert got[0] == rows[0][1]
+    for k in (1, 2):
+        own = rows[k][1].split(join)
+        left = re.findall(r"[^\s|]+", got[k])
+        assert left[:30] == own[:30] and left[-30:] == own[-30:]
+        assert len(left) <= 60 + 20  # some words at each end stay
+
+
+def test_unspaced_script(spark):
+    rng = random.Random(6)
+    for low, high in ((0x4E00, 0x5200), (0x0E01, 0x0E45)):
+        han = lambda n: "".join(chr(rng.randint(low, high)) for _ in range(n))
+        passage = "".join(han(9) + rng.choice("的了เ、") for _ in range(60))
+        rows = [(k, han(50) + passage + han(50)) for k in range(2)]
+        got = {k: t for (k, _), t in run(spark, rows)[0].items()}
+        assert got[0] == rows[0][1] and 100 <= len(got[1]) < 300
+
+
+def test_against_every_run(spark):
+    rng = random.Random(7)
+    pool = [" ".join(words(rng, rng.randint(1, 9))) + ".\n" for _ in range(12)]
+    rows = []
+    for k in range(25):
+        parts = [" ".join(words(rng, 12)) + ".\n", *(x for a in rng.sample(range(12), 4) for x in pool[a : a + rng.randint(1, 9)])]
+        rows.append((k, "".join(parts)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", line_dedup._pieces(F.col("text")).alias("p")).orderBy("doc_id").collect()
+    seen, wanted = set(), {}
+    for r in table:
+        w, gone = [len(x.split()) for x in r.p], set()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if sum(w[i:j]) >= 40:
+                    run_ = tuple(x.strip() for x in r.p[i:j])
+                    gone |= set(range(i, j)) if run_ in seen else set()
+                    seen.add(run_)
+        wanted[r.doc_id] = "".join(x for i, x in enumerate(r.p) if i not in gone)
+    assert {k: t for (k, _), t in run(spark, rows)[0].items()} == wanted
+    assert sum(wanted[k] != t for k, t in rows) > 5
