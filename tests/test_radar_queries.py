@@ -157,3 +157,10 @@ def test_model(spark):
     sweeps = spark.createDataFrame([("v", 0, 0, 2), ("v", 1, 3, 4)], "volume_id string, sweep_idx int, start_ray int, end_ray int")
     out = model.split_sweeps(rays, sweeps).orderBy("ray_idx").collect()
     assert [(r.ray_idx, r.sweep_idx) for r in out] == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_every_sweep_is_gridded(spark):
+    d = "/root/testdata/sf0.01"
+    out = registry.queries()["grid_ppi_sweeps"](spark, d).groupBy("sweep_idx").count().collect()
+    n = spark.read.parquet(f"{d}/events.parquet").select(F.floor(F.col("event_id") / 5000)).distinct().count()
+    assert n > 1 and {r["count"] for r in out} == {26 * 21} and len(out) == n
