@@ -216,6 +216,12 @@ def grid_rhi(spark, d):
     return _grid_shown(grid.grid_rhi(volume(spark, d).filter("ray_idx % 50 < 5"), KINDS, R, Z, 375.0, V_ROI, INFLATION, POWER), ["iz", "ir"], KINDS)
 
 
+def grid_rhi_azimuths(spark, d):
+    """Every azimuth's rays as a volume of their own."""
+    g = volume(spark, d).withColumn("volume_id", F.col("ray_idx") % 50)
+    return _grid_shown(grid.grid_rhi(g, KINDS, R, Z, 375.0, V_ROI, INFLATION, POWER).withColumnRenamed("volume_id", "azimuth_idx"), ["azimuth_idx", "iz", "ir"], KINDS)
+
+
 def grid_column(spark, d):
     return _grid_shown(grid.grid_column(volume(spark, d), KINDS, Z, V_ROI, INFLATION, POWER), ["iz"], KINDS)
 
@@ -279,7 +285,7 @@ _PLANAR = "(gx - x) * (gx - x) + (gy - y) * (gy - y) <= eff_h * eff_h"
 _AZ = "CASE WHEN pi() / 2 - atan2(y - y0, x - x0) < 0 THEN pi() / 2 - atan2(y - y0, x - x0) + 2 * pi() ELSE pi() / 2 - atan2(y - y0, x - x0) END"
 _HAVERSINE = "2e0 * asin(least(1e0, sqrt(sin(({e} - el) / 2) ^ 2 + cos(el) * cos({e}) * sin((({a}) - az) / 2) ^ 2)))"
 
-QUERIES = {f.__name__: f for f in (beam_height, beam_info, gate_position, azimuth_offset, rhohv_fix, platform_motion, db_linear, appx_inverse, spherical_angle, qc_copies, qc_below, qc_above, qc_four, clutter_mask, clutter_stats, height_mask, sector_mask, despeckle_range, despeckle_azimuth, phidp_std_mask, split_sweeps, volume_time_span, regular_grid, tile_name, terrain_mask, pack_int16, route_scans, grid_composite, grid_volume, grid_ppi, grid_ppi_sweeps, grid_rhi, grid_column)}
+QUERIES = {f.__name__: f for f in (beam_height, beam_info, gate_position, azimuth_offset, rhohv_fix, platform_motion, db_linear, appx_inverse, spherical_angle, qc_copies, qc_below, qc_above, qc_four, clutter_mask, clutter_stats, height_mask, sector_mask, despeckle_range, despeckle_azimuth, phidp_std_mask, split_sweeps, volume_time_span, regular_grid, tile_name, terrain_mask, pack_int16, route_scans, grid_composite, grid_volume, grid_ppi, grid_ppi_sweeps, grid_rhi, grid_rhi_azimuths, grid_column)}
 
 SQL = {
     "beam_height": _sql(f"SELECT ray_idx, gate_idx, round({_H}, 4) + 0e0 AS height FROM g"),
@@ -323,5 +329,6 @@ SQL = {
     "grid_ppi": _sql("", _LOCATED.replace("FROM p)", "FROM p WHERE sweep_idx = 0)") + ", " + _kernel(_FLAT, _PLANAR, "0e0", "0e0", _HAVERSINE.format(e="el", a=_AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["iy", "ix"], flag_any=True)),
     "grid_ppi_sweeps": "SELECT sweep AS sweep_idx, * EXCLUDE (sweep) FROM (" + _sql("", _LOCATED + ", " + _kernel(f"SELECT f.*, n.sweep FROM ({_FLAT}) f, (SELECT DISTINCT sweep_idx AS sweep FROM g) n", "c.sweep = q.sweep_idx AND " + _PLANAR, "0e0", "0e0", _HAVERSINE.format(e="el", a=_AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["sweep", "iy", "ix"], flag_any=True)) + ")",
     "grid_rhi": _sql("", _LOCATED.replace("FROM p)", "FROM p WHERE ray_idx % 50 < 5)") + ", " + _kernel("SELECT CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i", "abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin(sqrt((r * sin(0e0) - x0) ^ 2 + (r * cos(0e0) - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["iz", "ir"])),
+    "grid_rhi_azimuths": "SELECT section AS azimuth_idx, * EXCLUDE (section) FROM (" + _sql("", _LOCATED + ", " + _kernel("SELECT n.section, CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i, (SELECT DISTINCT ray_idx % 50 AS section FROM g) n", "c.section = q.ray_idx % 50 AND abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin(sqrt((r * sin(radians(1e0 * section)) - x0) ^ 2 + (r * cos(radians(1e0 * section)) - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["section", "iz", "ir"])) + ")",
     "grid_column": _sql("", _LOCATED + ", " + _kernel("SELECT CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k", "true", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", "abs(rc - range_m) > 187.5e0", ["iz"])),
 }

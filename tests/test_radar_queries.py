@@ -164,3 +164,8 @@ def test_every_sweep_is_gridded(spark):
     out = registry.queries()["grid_ppi_sweeps"](spark, d).groupBy("sweep_idx").count().collect()
     n = spark.read.parquet(f"{d}/events.parquet").select(F.floor(F.col("event_id") / 5000)).distinct().count()
     assert n > 1 and {r["count"] for r in out} == {26 * 21} and len(out) == n
+
+
+def test_every_azimuth_is_gridded(spark):
+    out = registry.queries()["grid_rhi_azimuths"](spark, "/root/testdata/sf0.01").groupBy("azimuth_idx").count().collect()
+    assert {r["count"] for r in out} == {9 * 51} and sorted(r.azimuth_idx for r in out) == list(range(50))
