@@ -45,10 +45,16 @@ def _pieces(text: Column) -> Column:
     return F.split(text, PIECE, -1)
 
 
-def _words(piece: Column) -> Column:
-    bare = F.trim(piece, F.lit(SPACES + "|"))
+def _bare(piece: Column) -> Column:
+    """piece without the white space around it; the trim of given characters is slow, so it is left out where it can be."""
+    short = F.trim(piece)
+    return F.when(F.rlike(short, F.lit(rf"^[{SPACE}]|[{SPACE}]\z")), F.trim(piece, F.lit(SPACES))).otherwise(short)
+
+
+def _words(bare: Column) -> Column:
     single = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    spaced = F.when(F.rlike(bare, F.lit(rf"[{SPACE}|]{{2}}|[{SPACE}|&&[^ ]]")), F.size(F.split(bare, rf"[{SPACE}|]+"))).otherwise(single)
+    parts = F.filter(F.split(bare, rf"[{SPACE}|]+"), lambda x: x != "")
+    spaced = F.when(F.rlike(bare, F.lit(rf"[{SPACE}|]{{2}}|[{SPACE}|&&[^ ]]")), F.greatest(F.size(parts), F.lit(1))).otherwise(single)
     more = lambda chars, n: F.floor(F.length(F.regexp_replace(bare, f"[^{chars}]", "")) / n).cast("int")
     unspaced = F.when(F.rlike(bare, F.lit(f"[{HAN}{INDIC}]")), more(HAN, 2) + more(INDIC, 4)).otherwise(0)
     return F.when(bare == "", 0).otherwise(spaced + unspaced)
@@ -78,7 +84,8 @@ def run_table(docs: DataFrame, min_words: int = 40) -> DataFrame:
     assert 0 < min_words < 2**15
     own_id, tag = _doc()
     rows = docs.filter("text is not null and text != ''").select(own_id.alias("id"), tag.alias("tag"), F.explode(F.array(_pieces(F.col("text")))).alias("p"))
-    rows = rows.select("id", "tag", F.transform("p", lambda x: F.xxhash64(F.trim(x, F.lit(SPACES)))).alias("h"), F.explode(F.array(F.transform("p", _words))).alias("w"))
+    rows = rows.select("id", "tag", F.explode(F.array(F.transform("p", _bare))).alias("p"))
+    rows = rows.select("id", "tag", F.transform("p", lambda x: F.xxhash64(x)).alias("h"), F.explode(F.array(F.transform("p", _words))).alias("w"))
     rows = rows.select("id", "tag", "h", F.explode(F.array(_sums(F.col("w")))).alias("c"))
     # pieces after the first have a word at least, so min_words + 1 of them are enough
     steps = F.array(*(F.lit(1 << b) for b in reversed(range((min_words + 1).bit_length()))))
@@ -90,10 +97,14 @@ def run_table(docs: DataFrame, min_words: int = 40) -> DataFrame:
     starts = F.filter(F.transform("c", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: F.element_at("c", -1) - e["x"] >= min_words)
     ends = F.transform(starts, lambda e: end(e["i"], e["x"]))
     rows = rows.select("id", "tag", "h", F.size("h").alias("n"), F.explode(F.array(ends)).alias("e"))
-    # from i to e[i]; up to those ends that no such run has, from the last start that is early enough
-    ended = rows.select("id", "tag", "h", "n", "e", F.posexplode("e").alias("i", "b"))
-    ended = ended.withColumn("b", F.explode(F.sequence("b", F.greatest(F.col("b"), F.coalesce(F.try_element_at("e", F.col("i") + 2) - 1, F.col("n"))))))
-    return ended.select(F.xxhash64(F.slice("h", F.col("i") + 1, F.col("b") - F.col("i"))).alias("key"), "id", "tag", (F.col("i").cast("long") * 65536 + (F.col("b") - F.col("i"))).alias("place"))
+
+    def from_one(b: Column, i: Column) -> Column:
+        """From i to e[i]; up to those ends that no such run has, from the last start that is early enough."""
+        last = F.greatest(b, F.coalesce(F.try_element_at("e", i + 2) - 1, F.col("n")))
+        return F.transform(F.sequence(b, last), lambda x: F.struct(F.xxhash64(F.slice("h", i + 1, x - i)).alias("key"), (i.cast("long") * 65536 + (x - i)).alias("place")))
+
+    # the arrays must not go into each row
+    return rows.select("id", "tag", F.explode(F.flatten(F.transform("e", from_one))).alias("r")).select("r.key", "id", "tag", "r.place")
 
 
 def repeated(docs: DataFrame, min_words: int = 40) -> DataFrame:
