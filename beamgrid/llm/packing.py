@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, payloads
 
 
 def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, length: int) -> DataFrame:
@@ -32,15 +32,14 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int,
         part, seen = TaskContext.get().partitionId(), np.zeros(levels, np.int64)
         call = encoder(tokenizer)
         for batch in batches:
-            for rows in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                payloads = call(rows.column(1).to_pylist(), end_id)
-                n = np.array([len(p) // 4 for p in payloads], np.int64)
+            for first, ids, bounds in call.blocks(batch.column(1), end_id):
+                n = np.diff(bounds)
                 counts = (n[:, None] >> np.arange(levels)) & 1
                 counts[:, -1] = n // length
                 before = seen + np.cumsum(counts, axis=0) - counts
                 seen = before[-1] + counts[-1]
                 nested = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * levels), pa.array(before.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(payloads, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), nested], names=["doc_id", "ids", "doc_tokens", "part", "before"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), payloads(ids, bounds), pa.array(n), pa.array(np.full(len(n), part, np.int32)), nested], names=["doc_id", "ids", "doc_tokens", "part", "before"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -112,17 +112,17 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
         kind = np.dtype(f"<u{width}")
         number = TaskContext.get().partitionId()
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                payloads = encode(part.column("text").to_pylist(), end_id)
+            for first, ids, bounds in encode.blocks(batch.column("text"), end_id):
                 if sink is None:
                     fs, path = filesystem(f"{out}/shard-{number:06d}.ids")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
                     sink = fs.open_output_stream(tmp)
-                sink.write(np.frombuffer(b"".join(payloads), "<u4").astype(kind).tobytes())
-                sizes = np.array([len(p) // 4 for p in payloads], np.int64)
-                starts = n + np.cumsum(sizes) - sizes
-                n += int(sizes.sum())
+                sink.write(ids.astype(kind).tobytes())
+                sizes = np.diff(bounds)
+                starts = n + bounds[:-1]
+                n += int(bounds[-1])
+                part = batch.slice(first, len(sizes))
                 yield pa.RecordBatch.from_arrays([part.column("doc_key"), part.column("text_hash"), pa.array(np.full(len(sizes), number, np.int32)), pa.array(starts), pa.array(sizes)], names=["doc_key", "text_hash", "shard", "first_id", "n_tokens"])
         if sink is not None:
             sink.close()

@@ -17,7 +17,6 @@ SCHEMA = "doc_id long, text string, shard string"
 
 def own():
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 0]
 
 
@@ -91,3 +90,25 @@ def test_queries(spark):
     assert got == {k: (start[k], len(ids(t)), crc(ids(t))) for k, t in docs.items()}
     for r in packing.query(spark, d).collect():
         assert crc(ids(docs[r.doc_id])[r.start : r.start + r.length]) == r.ids_crc32
+
+
+def test_encoder_long_text_and_other_kinds(monkeypatch):
+    """Texts beyond a block, pieces beyond the table's keys, a table that fills up, a tokenizer that can't be cut."""
+    import random
+
+    import public_tokenizers
+
+    from beamgrid.llm import tokens
+
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    rng, ids = random.Random(3), own()
+    parts = [*"ab ÄZ0.,'!\n\t ½é_-\x0b\u00a0\u3000中|<>", "<|endoftext|>", " the", "'s", "x" * 30, "à "]
+    texts = ["".join(rng.choices(parts, k=n)) for n in (5, 0, 4000, 60, 9000, 1)] + [None, "z" * 5000]
+    e = Encoder(default_tokenizer(), cache_words=40)
+    for _ in range(3):
+        assert [np.frombuffer(g, "<u4").tolist() for g in e(texts)] == [ids(t) for t in texts]
+        assert [np.frombuffer(g, "<u4").tolist() for g in e(texts, None)] == [ids(t)[:-1] for t in texts]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, whole = Encoder(path), Tokenizer.from_file(path)
+    assert not other.cuttable
+    assert [np.frombuffer(g, "<u4").tolist() for g in other(texts, 7)] == [[*whole.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
