@@ -1,155 +1,220 @@
-"""Line dedup by hashes of runs of pieces, in DataFrame functions only.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A line is a physical line or a sentence-like part of one: a text is cut after each line feed, after a sentence mark
-and a space, and after a space before a capitalised word; the lines of a text, joined, are the text. Lines are cut further
-into pieces of a few words, before words of some lengths, so a passage that begins or ends inside a line, or has neither
-case nor marks, is cut alike wherever it stands. In scripts written without spaces pieces end after marks, after frequent
-characters, from kana to kanji and before leading vowels. Pieces are equal if they are without the white space around them.
+Lines. A text is cut into lines of a few words, where a new physical line or a sentence begins, before a capitalised word
+and before words of some lengths, so a passage that begins or ends inside a sentence, or has neither case nor marks, is
+cut alike wherever it stands. In scripts written without spaces lines end after marks, after frequent characters, from
+kana to kanji and before leading vowels. Lines are hashed without the white space around them.
 
-A fingerprint is the hash of a run of pieces that is long enough by itself: the fewest pieces from a place on, or up to a
-place, that hold `min_words` words. It is taken at every piece. All but the first place of a fingerprint in the corpus are
-deleted (documents by doc_id, then by text hash; places in order). A piece of any repeated run of that length is in such a
-run, so nothing is extended or compared, and a piece goes if and only if it is in a run that stands earlier too. The first
-place may lose pieces itself to a still earlier one.
+A run is a sequence of lines that hold `min_words` words and would not without its first or without its last line. Deleted are the
+lines in all runs that stand earlier in the corpus too (documents by doc_id, then by text hash; places in order). Any
+longer repeated passage is made of such runs.
+
+Winnowing. A fingerprint is the hash of the fewest lines from a place on that hold `print_words` words. Each run selects the
+least fingerprint inside it, so equal runs have selected equal fingerprints, and neighbouring runs mostly the same one:
+a fingerprint is stored once with the hashes of all runs that selected it. Only selected fingerprints are grouped over the
+corpus. Where one stands in more than one place, the positions are joined, and the match is extended both ways over the runs
+around it by their hashes, each of which is looked up among those of all other places. Nothing is compared with one chosen
+source, and no group is gathered: counts and first places are combined before the shuffle.
 
 Words are parted by white space or bars; two characters of Han or kana, or four of Thai, Lao, Khmer or Burmese, count as one
 more. Defined cases: null stays null and empty stays empty; rows equal in doc_id and text count as one document and share
-its result; a null doc_id comes last. An empty table gives no row. Other columns are kept as they are, whatever their
-names.
+its result; null doc_ids come last, told apart by 128 bits of hashes of their texts. An empty table gives no row. Other columns
+are kept as they are, whatever their names; one named lines_deleted is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
+#: What counts as one line or sentence in lines_deleted.
 CUT = r"(?<=[\n ])(?:(?<=\n)|(?<=[.!?] )|(?=\p{Lu}[\p{Ll} ]))"
-SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 HAN, INDIC = r"\u3041-\u30ff\u3400-\u9fff", r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
 MARKS = r"\u3001\u3002\uff01-\uff1f"
-# before words of 5, 7 or 9 characters, whatever they are
-FORM = rf"(?=[^{SPACE}|]{{5}}(?:[^{SPACE}|]{{2}}){{0,2}}(?![^{SPACE}|]))"
+#: A line begins here, behind white space: at a capital, before words of 5 or 7 characters, at a new line or sentence.
+STARTS = r"(?:(?=\p{Lu}[\p{Ll} ]|[^%s]{5}(?:[^%s]{2})?(?![^%s]))|%s)"
+ANY = SPACE + "|"
+
+
 # after a mark, from kana to kanji, after a frequent character, before a leading vowel, after some vowel signs
-UNSPACED = rf"(?<=[{HAN}{MARKS}{INDIC}])(?=[^{SPACE}{MARKS}])(?:(?<=[{MARKS}\u104a\u104b\u17d4])|(?<=[\u3041-\u30ff])(?=[\u3400-\u9fff])|(?<=[\u7684\u4e86\u662f\u5728\u4e0d\u6211\u6709\u4eba\u8fd9\u9019\u4e00\u4ed6\u4eec\u5011\u56fd\u570b\u4e2d\u5927])|(?=[\u0e40-\u0e44\u0ec0-\u0ec4])|(?<=[\u1038\u17b6]))"
-PIECE = rf"(?<=[{SPACE}|])(?=[^{SPACE}|])(?:(?<=\n[{SPACE}]{{0,16}})|(?<=[.!?][{SPACE}]{{1,3}})|(?=\p{{Lu}}[\p{{Ll}} ])|{FORM})|{UNSPACED}"
+UNSPACED = rf"(?<=[\u0e00-\uffff])(?<=[{HAN}{MARKS}{INDIC}])(?=[^{SPACE}{MARKS}])(?:(?<=[{MARKS}\u104a\u104b\u17d4])|(?<=[\u3041-\u30ff])(?=[\u3400-\u9fff])|(?<=[\u7684\u4e86\u662f\u5728\u4e0d\u6211\u6709\u4eba\u8fd9\u9019\u4e00\u4ed6\u4eec\u5011\u56fd\u570b\u4e2d\u5927])|(?=[\u0e40-\u0e44\u0ec0-\u0ec4])|(?<=[\u1038\u17b6]))"
+_ANY = STARTS % (ANY, ANY, ANY, rf"(?<=\n[{ANY}]{{0,3}})|(?<=[.!?][{ANY}]{{1,3}})")
+#: Where all white space is single spaces and line feeds these give the same cuts, faster.
+_FEW = STARTS % (r" \n", r" \n", r" \n", r"(?<=[.!?\n] |\n)")
+#: The cuts with the white space before them, for bare lines, and without any width.
+BARE = {True: rf"[{ANY}]++(?!\z){_ANY}|{UNSPACED}", False: rf"[ \n]++(?!\z){_FEW}"}
+WHOLE = {True: rf"(?<=[{ANY}])(?=[^{ANY}]){_ANY}|{UNSPACED}", False: rf"(?<=[ \n])(?=[^ \n]){_FEW}"}
+#: Lines of a text, in the low bits of what orders fingerprints.
+PLACE = (1 << 28) - 1
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, CUT, -1)
 
 
+def _body(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACES))
+
+
+def _odd(body: Column) -> Column:
+    """Whether there is other white space than single spaces and line feeds, a bar, or a script without spaces."""
+    marks = [F.contains(body, F.lit(x)) for x in ("  ", "\t", "|", "\r", "\x0b", "\f", "\x85", "\xa0")]
+    out = F.when(F.octet_length(body) > F.length(body), F.rlike(body, F.lit(r"[\u0e00-\uffff\u1680]"))).otherwise(False)
+    for m in marks:
+        out = m | out
+    return out
+
+
+def _cut(body: Column, by: dict[bool, str]) -> Column:
+    return F.when(_odd(body), F.split(body, by[True], -1)).otherwise(F.split(body, by[False], -1))
+
+
 def _pieces(text: Column) -> Column:
-    return F.split(text, PIECE, -1)
-
-
-def _bare(piece: Column) -> Column:
-    """piece without the white space around it; the trim of given characters is slow, so it is left out where it can be."""
-    short = F.trim(piece)
-    return F.when(F.rlike(short, F.lit(rf"^[{SPACE}]|[{SPACE}]\z")), F.trim(piece, F.lit(SPACES))).otherwise(short)
-
-
-def _words(bare: Column) -> Column:
-    single = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    parts = F.filter(F.split(bare, rf"[{SPACE}|]+"), lambda x: x != "")
-    spaced = F.when(F.rlike(bare, F.lit(rf"[{SPACE}|]{{2}}|[{SPACE}|&&[^ ]]")), F.greatest(F.size(parts), F.lit(1))).otherwise(single)
-    more = lambda chars, n: F.floor(F.length(F.regexp_replace(bare, f"[^{chars}]", "")) / n).cast("int")
-    unspaced = F.when(F.rlike(bare, F.lit(f"[{HAN}{INDIC}]")), more(HAN, 2) + more(INDIC, 4)).otherwise(0)
-    return F.when(bare == "", 0).otherwise(spaced + unspaced)
-
-
-def _doc() -> tuple[Column, Column]:
-    """What tells documents apart, in their order: doc_id (null last), then a hash of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.hash("text")
-
-
-CHUNK = 64
-
-
-def _sums(w: Column) -> Column:
-    """Sums of the first 0, 1, ... elements of w; in chunks, as an array grows by a copy."""
-    n = F.size(w)
-    run = lambda a, start: F.aggregate(a, F.array(start), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: run(F.slice(w, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0)))
-    totals = lambda cs: run(F.transform(cs, lambda c: F.element_at(c, -1)), F.lit(0))
-    # bound once, by transforms over arrays of one
-    placed = F.transform(F.array(chunks), lambda cs: F.transform(F.array(totals(cs)), lambda t: F.flatten(F.zip_with(cs, F.slice(t, 1, F.size(cs)), lambda c, before: F.transform(F.slice(c, 2, CHUNK), lambda x: x + before)))))
-    return F.concat(F.array(F.lit(0)), F.flatten(F.flatten(placed)))
-
-
-def run_table(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """id, tag: the document; key, place: a row for each of its shortest runs of min_words words; place is first piece * 2**16 + pieces."""
-    assert 0 < min_words < 2**15
-    own_id, tag = _doc()
-    rows = docs.filter("text is not null and text != ''").select(own_id.alias("id"), tag.alias("tag"), F.explode(F.array(_pieces(F.col("text")))).alias("p"))
-    rows = rows.select("id", "tag", F.explode(F.array(F.transform("p", _bare))).alias("p"))
-    rows = rows.select("id", "tag", F.transform("p", lambda x: F.xxhash64(x)).alias("h"), F.explode(F.array(F.transform("p", _words))).alias("w"))
-    rows = rows.select("id", "tag", "h", F.explode(F.array(_sums(F.col("w")))).alias("c"))
-    # pieces after the first have a word at least, so min_words + 1 of them are enough
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range((min_words + 1).bit_length()))))
-
-    def end(i: Column, x: Column) -> Column:
-        """The end of the shortest run from i on: one more than the last place whose sum is too small."""
-        return F.aggregate(steps, i, lambda at, step: F.when(F.try_element_at("c", at + step + 1) - x < min_words, at + step).otherwise(at)) + 1
-
-    starts = F.filter(F.transform("c", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: F.element_at("c", -1) - e["x"] >= min_words)
-    ends = F.transform(starts, lambda e: end(e["i"], e["x"]))
-    rows = rows.select("id", "tag", "h", F.size("h").alias("n"), F.explode(F.array(ends)).alias("e"))
-
-    def from_one(b: Column, i: Column) -> Column:
-        """From i to e[i]; up to those ends that no such run has, from the last start that is early enough."""
-        last = F.greatest(b, F.coalesce(F.try_element_at("e", i + 2) - 1, F.col("n")))
-        return F.transform(F.sequence(b, last), lambda x: F.struct(F.xxhash64(F.slice("h", i + 1, x - i)).alias("key"), (i.cast("long") * 65536 + (x - i)).alias("place")))
-
-    # the arrays must not go into each row
-    return rows.select("id", "tag", F.explode(F.flatten(F.transform("e", from_one))).alias("r")).select("r.key", "id", "tag", "r.place")
-
-
-def repeated(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """id, tag, kept: for each document that repeats something, the pieces [a, b) to keep; b of the last is null, its end."""
-    order = Window.partitionBy("key").orderBy("id", "tag", "place")
-    # rows of one place, from rows equal in doc_id and text, have one rank
-    later = run_table(docs, min_words).withColumn("rank", F.rank().over(order)).filter("rank > 1")
-    held = later.groupBy("id", "tag").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    zero = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        a = F.shiftright(p, 16).cast("int")
-        b = a + p.bitwiseAND(F.lit(0xFFFF)).cast("int")
-        gap = F.struct(s["until"].alias("a"), a.alias("b"))
-        return F.struct(F.greatest(s["until"], b).alias("until"), F.when(a > s["until"], F.concat(s["out"], F.array(gap))).otherwise(s["out"]).alias("out"))
-
-    kept = F.aggregate("places", zero, step, lambda s: F.concat(s["out"], F.array(F.struct(s["until"].alias("a"), F.lit(None).cast("int").alias("b")))))
-    return held.select("id", "tag", kept.alias("kept"))
-
-
-def dedup(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """docs with the later repeated runs taken out of text, and a column lines_deleted (int): lines, and parts of lines, taken out."""
-    held = docs.withColumns(dict(zip(("_id", "_tag"), _doc(), strict=True)))
-    hit = repeated(docs, min_words).select(F.col("id").alias("_r_id"), F.col("tag").alias("_r_tag"), F.col("kept").alias("_kept"))
-    joined = held.join(hit, (F.col("_id") == F.col("_r_id")) & (F.col("_tag") == F.col("_r_tag")) & (F.col("text") != ""), "left")
-    joined = joined.withColumn("_p", F.explode(F.array(F.when(F.col("_kept").isNotNull(), _pieces(F.col("text"))))))
-    part = lambda a, b: F.array_join(F.slice("_p", a + 1, b - a), "")
-    left = F.array_join(F.transform("_kept", lambda r: part(r["a"], F.coalesce(r["b"], F.size("_p")))), "")
-    gone = F.transform("_kept", lambda r, k: part(F.when(k > 0, F.try_element_at("_kept", F.greatest(k, F.lit(1)))["b"]).otherwise(0), r["a"]))
+    """The lines of a text with the white space behind them; joined, they are the text."""
+    own = _cut(_body(text), WHOLE)
+    lead = F.substring(text, F.lit(1), F.length(text) - F.length(_body(text)))
+    return F.concat(F.array(F.concat(lead, F.element_at(own, 1))), F.slice(own, F.lit(2), F.size(own)))
+
+
+def _words(line: Column) -> Column:
+    """Words of a line of a text with odd characters."""
+    parts = F.greatest(F.size(F.filter(F.split(line, rf"[{SPACE}|]+"), lambda x: x != "")), F.lit(1))
+    more = lambda chars, n: F.floor(F.length(F.regexp_replace(line, f"[^{chars}]", "")) / n).cast("int")
+    return parts + F.when(F.rlike(line, F.lit(f"[{HAN}{INDIC}]")), more(HAN, 2) + more(INDIC, 4)).otherwise(0)
+
+
+def _document(text: Column) -> dict[str, Column]:
+    """What tells documents apart, in their order. Without a doc_id a second hash of the text stands for it."""
+    return {"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)), "tag": F.xxhash64(text)}
+
+
+DOCUMENT = ["none", "id", "tag"]
+
+
+def _held(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """keep and one made column, which is computed once, however often it is used."""
+    ((name, c),) = made.items()
+    return df.select(*keep, F.explode(F.array(c)).alias(name))
+
+
+def _layout(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, h: hash of each line, at: the line of each word, first: the first word of each line, and their number.
+
+    rows: keep, body. All but keep is null where body is.
+    """
+    bare = _held(rows, [*keep, _odd(F.col("body")).alias("odd")], p=_cut(F.col("body"), BARE))
+    last = F.array(F.rtrim(F.element_at("p", -1), F.lit(SPACES)))
+    bare = _held(bare, [*keep, "odd"], p=F.concat(F.slice("p", F.lit(1), F.size("p") - 1), last))
+    words = F.when(F.col("odd"), F.transform("p", _words)).otherwise(F.transform("p", lambda x: F.size(F.split(x, " "))))
+    rows = _held(bare, [*keep, F.transform("p", lambda x: F.xxhash64(x)).alias("h")], w=words)
+    rows = _held(rows, [*keep, "h"], at=F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n))))
+    begins = F.transform("at", lambda i, k: F.when((k == 0) | (F.element_at("at", F.greatest(k, F.lit(1))) != i), k))
+    return _held(rows, [*keep, "h", "at"], first=F.concat(F.array_compact(begins), F.array(F.size("at"))))
+
+
+def _from(end: Column, words: int) -> Column:
+    """The last line from which on there are so many words up to the end."""
+    return F.element_at("at", F.element_at("first", end + 1) - words + 1)
+
+
+def _runs(min_words: int, print_words: int) -> Column:
+    """start, end, last (the start of its last fingerprint) of each run of a layout, by end, then start; null where there is none."""
+
+    def ending(end: Column) -> Column:
+        low = F.when(F.element_at("first", end) >= min_words, _from(end - 1, min_words) + 1).otherwise(0)
+        high, last = _from(end, min_words).alias("start"), _from(end, print_words).alias("last")
+        more = F.transform(F.sequence(low, _from(end, min_words)), lambda i: F.struct(i.alias("start"), end.alias("end"), last))
+        return F.when(low < _from(end, min_words), more).otherwise(F.array(F.struct(high, end.alias("end"), last)))
+
+    ends = F.when(F.size("at") >= min_words, F.sequence(F.try_element_at("at", F.lit(min_words)) + 1, F.size("h")))
+    return F.flatten(F.transform(ends, ending))
+
+
+def fingerprints(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
+    """The document (none, id, tag), print: a selected fingerprint; run, keys: number of the first run that selected it, hashes of all."""
+    if not 0 < print_words <= min_words:
+        raise ValueError("a fingerprint has from one to min_words words")
+    text = F.col("text")
+    rows = docs.select(*(c.alias(n) for n, c in _document(text).items()), _body(text).alias("body")).filter("body != ''")
+    rows = _layout(rows, DOCUMENT).filter(F.size("at") >= min_words)
+    rows = _held(rows, [*DOCUMENT, "h", "at", "first"], runs=_runs(min_words, print_words))
+    starts = F.slice("first", F.lit(1), F.element_at("at", F.size("at") - print_words + 1) + 1)
+    prints = F.transform(starts, lambda x, i: F.xxhash64(F.slice("h", i + 1, F.element_at("at", x + print_words) + 1 - i)))
+    rows = _held(rows, [*DOCUMENT, "h", "runs"], prints=prints)
+    # the least fingerprint, and of equal ones the first, is the least of these
+    rows = _held(rows, [*DOCUMENT, "h", "runs", "prints"], order=F.transform("prints", lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))))
+    least = lambda r: F.array_min(F.slice("order", r["start"] + 1, r["last"] - r["start"] + 1))
+    key = lambda r: F.xxhash64(F.slice("h", r["start"] + 1, r["end"] - r["start"]))
+    made = F.transform("runs", lambda r: F.struct(least(r).bitwiseAND(F.lit(PLACE)).cast("int").alias("chosen"), key(r).alias("key")))
+    rows = _held(rows, [*DOCUMENT, "prints"], runs=made)
+    # the least of a sliding window never moves back, so the runs that selected a fingerprint follow one another
+    new = F.transform("runs", lambda r, k: F.when((k == 0) | (F.element_at("runs", F.greatest(k, F.lit(1)))["chosen"] != r["chosen"]), k))
+    rows = _held(rows, [*DOCUMENT, "prints", "runs"], new=F.array_compact(new))
+    one = lambda k, j: F.struct(
+        F.element_at("prints", F.element_at("runs", k + 1)["chosen"] + 1).alias("print"),
+        k.alias("run"),
+        F.transform(F.slice("runs", k + 1, F.coalesce(F.try_element_at("new", j + 2), F.size("runs")) - k), lambda r: r["key"]).alias("keys"),
+    )
+    return rows.select(*DOCUMENT, F.explode(F.transform("new", one)).alias("f")).select(*DOCUMENT, "f.print", "f.run", "f.keys")
+
+
+def repeated(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
+    """none, id, tag, runs: for each document that repeats something, the numbers of its runs that stand earlier too."""
+    held = materialize(fingerprints(docs, min_words, print_words), "fingerprints")
+    often = held.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    matched = materialize(held.join(often, "print").select(*DOCUMENT, "run", "keys"), "matched")
+    runs = matched.select(*DOCUMENT, "run", F.posexplode("keys").alias("k", "key"))
+    runs = runs.select("key", F.struct(*DOCUMENT, (F.col("run") + F.col("k")).alias("run")).alias("place"))
+    first = runs.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    later = runs.join(first, "key").filter(F.col("place") > F.col("first"))
+    return later.groupBy(*(F.col(f"place.{c}").alias(c) for c in DOCUMENT)).agg(F.collect_set("place.run").alias("runs"))
+
+
+def _left(hit: Column, runs: Column) -> Column:
+    """The lines [a, b) to keep, without the runs of the numbers in hit; b of the last is null, the end."""
+    # starts and ends both ascend, so a gap is what lies between the end of a run and the start of the next
+    places = F.transform(F.array_sort(hit), lambda k: F.element_at(runs, k + 1))
+    begin = F.concat(F.array(F.lit(0)), F.transform(places, lambda r: r["end"]))
+    end = F.concat(F.transform(places, lambda r: r["start"]), F.array(F.lit(None).cast("int")))
+    gaps = F.zip_with(begin, end, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.filter(gaps, lambda r: r["b"].isNull() | (r["a"] < r["b"]))
+
+
+def dedup(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
+    """docs with the later repeated runs taken out of text, and a column lines_deleted (int): lines and sentences, and parts of them, taken out."""
+    docs = docs.drop("lines_deleted")
+    hit = repeated(docs, min_words, print_words).select(*(F.col(c).alias(f"r_{c}") for c in DOCUMENT), F.col("runs").alias("hit"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), *(c.alias(n) for n, c in _document(F.col("text")).items()))
+    rows = rows.join(hit, [F.col(c) == F.col(f"r_{c}") for c in DOCUMENT], "left")
+    # cut again, where something goes
+    rows = rows.select("d", "hit", F.when(F.col("hit").isNotNull(), _body(F.col("d.text"))).alias("body"))
+    rows = _held(_layout(rows, ["d", "hit"]), ["d", "hit"], runs=_runs(min_words, print_words))
+    rows = _held(rows, ["d"], kept=_left(F.col("hit"), F.col("runs")))
+    rows = _held(rows, ["d", "kept"], p=F.when(F.col("kept").isNotNull(), _pieces(F.col("d.text"))))
+    part = lambda a, b: F.array_join(F.slice("p", a + 1, b - a), "")
+    left = F.array_join(F.transform("kept", lambda r: part(r["a"], F.coalesce(r["b"], F.size("p")))), "")
+    gone = F.transform("kept", lambda r, k: part(F.when(k > 0, F.try_element_at("kept", F.greatest(k, F.lit(1)))["b"]).otherwise(0), r["a"]))
     n = F.aggregate(gone, F.lit(0), lambda s, x: s + F.size(F.filter(_lines(x), lambda y: y != "")))
-    both = F.when(F.col("_kept").isNotNull(), F.struct(left.alias("text"), n.alias("n")))
-    joined = joined.withColumn("_new", F.explode(F.array(both)))  # computed once, whatever is asked of it
-    return joined.select(*(F.coalesce("_new.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce("_new.n", F.lit(0)).alias("lines_deleted"))
+    rows = _held(rows, ["d"], new=F.when(F.col("kept").isNotNull(), F.struct(left.alias("text"), n.alias("n"))))
+    return rows.select(*(F.coalesce("new.text", "d.text").alias("text") if c == "text" else F.col("d")[c].alias(c) for c in docs.columns), F.coalesce("new.n", F.lit(0)).alias("lines_deleted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs are deleted; a document of which nothing is left goes, n_chars follows the text."""
-    out = dedup(docs.drop("lines_deleted"))
+    out = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
+    out = dedup(out)
     out = out.filter((F.col("lines_deleted") == 0) | (F.trim("text", F.lit(" \n\t\r")) != ""))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("lines_deleted") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("lines_deleted") == 0, F.col("whole.n_chars")).otherwise(F.length("text").cast(kind))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col("whole")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document's text without later repeated runs."""
-    return dedup(read(spark, sf_dir, "documents")).select("doc_id", "lines_deleted", "text")
+    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines_deleted", "text")

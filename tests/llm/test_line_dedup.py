@@ -156,3 +156,39 @@ def test_against_every_run(spark):
         wanted[r.doc_id] = "".join(x for i, x in enumerate(r.p) if i not in gone)
     assert {k: t for (k, _), t in run(spark, rows)[0].items()} == wanted
     assert sum(wanted[k] != t for k, t in rows) > 5
+
+
+def test_repeats_first_seen_in_other_pairs(spark):
+    """The places of a passage's parts lie in different documents; the whole run stands in one of them only."""
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 12) + "\n" for _ in range(5))
+    pad = [sentence(rng, 20) + "\n" for _ in range(6)]
+    rows = [(k + 1, pad[k] + x) for k, x in enumerate([a + b, b + c, c + d, d + e, a + b + c + d + e, a + b + c + d + e])]
+    got = {k: t for (k, _), t in run(spark, rows)[0].items()}
+    assert got == dict(rows) | {6: pad[5]}
+
+
+def test_nulls_apart_and_clashing_names(spark):
+    rng = random.Random(10)
+    long, other = (" ".join(sentence(rng, 9) for _ in range(6)) for _ in range(2))
+    rows = [(None, long, 1, "p", 2, 3, 4), (None, other, 5, "q", 6, 7, 8), (None, f"{other} {long}", 9, "r", 10, 11, 12), (1, long, 13, None, 14, 15, 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, tag string, d int, lines_deleted int, hit int")
+    out = line_dedup.dedup(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "lines_deleted"), "lines_deleted"]
+    got = {r["_id"]: r for r in out.collect()}
+    assert {k: (r.tag, r.d, r.hit) for k, r in got.items()} == {r[2]: (r[3], r[4], r[6]) for r in rows}
+    assert got[13].text == long and got[1].text == ""  # a null doc_id comes after 1
+    assert [got[k].lines_deleted for k in (13, 1)] == [0, 6] and {got[5].text, got[9].text.strip()} >= {""}
+    kept = line_dedup.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r["_id"]: r.lines_deleted for r in kept.collect()}.items() <= {r[2]: r[5] for r in rows}.items()
+
+
+def test_very_long_text(spark):
+    rng = random.Random(11)
+    parts = [" ".join(words(rng, 50)) + ".\n" for _ in range(60)]
+    mixed = "".join(x + sentence(rng, 11) + "\n" for x in rng.sample(parts, 60))
+    big = "".join(" ".join(words(rng, 13)) + ".\n" for _ in range(20_000))
+    got = {k: t for (k, _), t in run(spark, [(1, "".join(parts)), (2, mixed + big), (3, big + mixed)])[0].items()}
+    assert not any(x in got[2] for x in parts) and got[2].endswith(big)
+    assert len(got[3]) < 200
