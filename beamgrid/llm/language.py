@@ -28,19 +28,35 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read, sent
 
+#: Candidates for word ends: digits, marks, white space, and a few characters that count as words but not as letters.
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZE = 400
+#: Characters of a text that are counted at once; counts of the parts are summed, so a part may end anywhere between words.
 SLICE = 1 << 20
 
 
+def _letters(text: str) -> str:
+    """Lower-cased words parted by single spaces; letters are what str.isalpha says, so that no number sign is one."""
+    words = NOT_LETTERS.sub(" ", text.lower())
+    if not words.isascii():
+        odd = {c for c in set(words) if c != " " and not c.isalpha()}
+        if odd:
+            words = " ".join(words.translate(dict.fromkeys(map(ord, odd), " ")).split())
+    return words.strip()
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams as integers, how often) of a whole text; 21 bits for each character, marks between words are spaces."""
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, counts = [], []
-    for i in range(0, len(text), SLICE):  # bounded memory for very long texts
-        words = NOT_LETTERS.sub(" ", text[i : i + SLICE].lower())
-        c = np.frombuffer(f" {words.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    words = _letters(text)
+    a = 0
+    while a < len(words):  # bounded memory for very long texts
+        b = words.find(" ", a + SLICE)
+        b = len(words) if b < 0 else b
+        c = np.frombuffer(f" {words[a:b].strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        a = b
         if len(c) < 3:
             continue
         letter = c != 32
@@ -50,8 +66,8 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         k, n = np.unique(np.concatenate([c[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]]), return_counts=True)
         keys.append(k)
         counts.append(n)
-    if len(keys) < 2:
-        return (keys[0], counts[0]) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(keys) < 3:
+        return keys[-1], counts[-1]
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
@@ -122,20 +138,20 @@ def train(docs: DataFrame, texts_per_language: int = 4000, size: int = SIZE) ->
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = docs.select("*", predict("text").alias("_language"))
-    return found.select(*(F.col(c) for c in docs.columns if c not in ("lang_pred", "score")), "_language.lang_pred", "_language.score")
+    found = docs.select(F.struct(*docs.columns).alias("d"), predict("text").alias("found"))
+    return found.select(*(F.col("d")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")), "found.lang_pred", "found.score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are und, or share nothing with any profile, go."""
-    out = identify(docs.drop("lang_pred", "score"), train(docs))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*docs.columns)
+    out = identify(docs.select(F.struct(*docs.columns).alias("d"), "text"), train(docs))
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*(F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,11 +165,13 @@ def fingerprints(docs: DataFrame, min_words: int = 40, print_words: int = 12) ->
 def repeated(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
     """none, id, tag, runs: for each document that repeats something, the numbers of its runs that stand earlier too."""
     held = materialize(fingerprints(docs, min_words, print_words), "fingerprints")
-    often = held.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    # written, so that both sides of each join are read through a shuffle of their own and a hot key can be split
+    often = materialize(held.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "often")
     matched = materialize(held.join(often, "print").select(*DOCUMENT, "run", "keys"), "matched")
     runs = matched.select(*DOCUMENT, "run", F.posexplode("keys").alias("k", "key"))
     runs = runs.select("key", F.struct(*DOCUMENT, (F.col("run") + F.col("k")).alias("run")).alias("place"))
     first = runs.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    first = materialize(first, "first")
     later = runs.join(first, "key").filter(F.col("place") > F.col("first"))
     return later.groupBy(*(F.col(f"place.{c}").alias(c) for c in DOCUMENT)).agg(F.collect_set("place.run").alias("runs"))
 

@@ -252,11 +252,11 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; of rows equal in doc_id and text, one."""
-    named = {"_near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_near_hash": F.col("text_hash")}
-    kept = near_duplicates(docs).filter("kept").select(*(c.alias(n) for n, c in named.items()))
-    marked = docs.withColumns(named | {"_near_hash": F.xxhash64("text")})
-    return marked.join(kept, list(named), "left_semi").dropDuplicates(list(named)).select(*docs.columns)
+    """One document of each component stays; of rows equal in doc_id and text, one. All columns stay, whatever their names."""
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k_id"), F.col("text_hash").alias("k_hash"))
+    marked = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("hash"))
+    left = marked.join(kept, (F.col("id") == F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi").dropDuplicates(["id", "hash"])
+    return left.select(*(F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ _PLACES = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of texts whose powers a worker keeps: 16 bytes each.
+KEPT = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,13 +24,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, b in enumerate((_BASE, inverse)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+    """Powers 0..n of the base and of its inverse; kept for the next call unless there are more than KEPT."""
+    if len(_powers[0]) > n:
+        return _powers[0][: n + 1], _powers[1][: n + 1]
+    size = max(n + 1, 1 << 16)
+    inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+    made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_BASE, inverse)]
+    if size <= KEPT:
+        _powers[:] = made
+    return made[0][: n + 1], made[1][: n + 1]
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +49,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(start, bounds)
 
 
-def batches_of(texts: list[str | None], limit: int = 2 << 20):
+def batches_of(texts: list[str | None], limit: int = 1 << 20):
     """Slices of the texts as bytes, of about limit bytes at most unless one text is longer; ASCII letters lower-cased."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -71,3 +71,52 @@ def test_cases_and_stage(spark):
     kept = language.stage(spark, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows + odd} - {900, 901, 902}
     assert language.stage(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ ①", "٣٤ _", "🙂 —"])
+def test_no_letter(text):
+    assert not any(c.isalpha() for c in text)
+    assert Profiles({"x": [key("a")], "y": [key("b")]}).predict(text) == ("und", 0.0)
+
+
+def test_long_text_is_counted_whole(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcdé½", k=rng.randint(1, 30))) for _ in range(300))
+    whole = [x.tolist() for x in grams(text)]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(language, "SLICE", size)
+        assert [x.tolist() for x in grams(text)] == whole
+
+
+def test_query_against_plain_form(spark):
+    """Every prediction and score, from profiles counted with dictionaries."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts.setdefault(r.lang, {})
+            for g, n in plain(r.text).items():
+                counts[r.lang][g] = counts[r.lang].get(g, 0) + n
+    top = lambda c: [g for g in sorted(c, key=lambda g: (-c[g], key(g)))[: language.SIZE]]
+    place = {x: {g: i for i, g in enumerate(top(c))} for x, c in sorted(counts.items())}
+    got = {r.doc_id: r for r in language.query(spark, d).collect()}
+    for r in docs:
+        own = top(plain(r.text or ""))
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        far = {x: sum(abs(p[g] - i) if g in p else language.SIZE for i, g in enumerate(own)) / language.SIZE / len(own) for x, p in place.items()}
+        best = min(far, key=far.get)
+        assert got[r.doc_id].lang_pred == best
+        mean = sum(far.values()) / len(far)
+        assert got[r.doc_id].score == pytest.approx(0.0 if far[best] >= 1 else min(1.0, max(0.0, 2 * (1 - far[best] / mean))), abs=1e-9)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "the cat", "aa", "x", 0.5, 1, 2), (2, "12", "aa", "y", 0.25, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, d int, found int")
+    out = language.identify(docs, language.train(docs))
+    assert out.columns == ["doc_id", "text", "lang", "d", "found", "lang_pred", "score"] and {(r.d, r.found) for r in out.collect()} == {(1, 2), (3, 4)}
+    kept = language.stage(spark, docs, "").collect()
+    assert [tuple(r) for r in kept] in ([rows[0]], [])

@@ -99,3 +99,11 @@ def test_query_on_table(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
     out = sorted(map(tuple, near_dup.query(spark, d).collect()), key=str)
     assert out == brute([tuple(r) for r in docs])
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, "p", 2), (2, "a b c d e f", 3, "q", 4), (None, None, 5, "r", 6), (3, "", 7, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, hash string, _near_id int")
+    out = near_dup.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {rows[0], rows[2], rows[3]}
