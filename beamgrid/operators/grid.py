@@ -63,7 +63,12 @@ def _bins(low: Column, high: Column, width: float) -> Column:
 
 
 def near_columns(gates: DataFrame, columns: DataFrame, radius: float) -> DataFrame:
-    """Pairs of located gates and columns (y, x, eff_h <= radius) not farther apart than eff_h."""
+    """Pairs of located gates and columns (y, x, eff_h <= radius) not farther apart than eff_h.
+
+    The columns of one grid are the small side, whatever the number of volumes: a row for each column and bin it reaches,
+    of five numbers. Where they are too many to be broadcast, the join is shuffled by bin, and bins that many gates
+    fall into are split between tasks, for which both sides are left as plain shuffles.
+    """
     cells = columns.withColumn("_by", _bins(F.col("y") - F.col("eff_h"), F.col("y") + F.col("eff_h"), radius)).withColumn("_bx", _bins(F.col("x") - F.col("eff_h"), F.col("x") + F.col("eff_h"), radius))
     held = gates.withColumns({"_by": F.floor(F.col("gy") / radius), "_bx": F.floor(F.col("gx") / radius)})
     dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
@@ -145,12 +150,13 @@ def _accumulate(pairs: DataFrame, cell: list[str], moments: dict[str, str], vert
 
 
 def fill_grid(found: DataFrame, volumes: DataFrame, spark: SparkSession, axes: dict[str, Axis], moments: list[str]) -> DataFrame:
-    """All cells of the grid for each volume, with found's values where it has some."""
-    n, step = math.prod(a[2] for a in axes.values()), math.prod(a[2] for a in axes.values())
-    cells = volumes.select("volume_id").distinct().select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_id"))
+    """All cells of the grid for each volume, with found's values where it has some.
+
+    Axis by axis, so that no row ever holds more than the points of one axis.
+    """
+    cells = volumes.select("volume_id").distinct()
     for name, a in axes.items():
-        step //= a[2]
-        cells = cells.withColumn(f"i{name}", (F.floor(F.col("_id") / step) % a[2]).cast("int"))
+        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(a[2] - 1))).alias(f"i{name}"))
     keys = ["volume_id", *(f"i{name}" for name in axes)]
     joined = cells.join(found, keys, "left")
     return joined.select(*keys, *(_at(a, F.col(f"i{name}")).alias(name) for name, a in axes.items()), *(F.coalesce(m, F.lit(UNSEEN)).alias(m) for m in moments))

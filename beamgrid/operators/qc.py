@@ -66,19 +66,21 @@ def unfold(velocity: Column, ew: Column, ns: Column, w: Column, azimuth_deg: Col
 
 
 def _short_runs(gates: DataFrame, moments: list[str], n: int, line: list[str], place: str) -> DataFrame:
-    """Null runs of at most n present values along a line; its last place is neither changed nor counted."""
+    """Null runs of at most n present values along a line; its last place is neither changed nor counted.
+
+    A short run has a missing place before it and one within n places after each of its own; one sort serves all moments.
+    """
     if n <= 0:
         raise ValueError("speckle must be above 0")
     along = Window.partitionBy(*line).orderBy(place)
-    out = gates.withColumns({"_row": F.row_number().over(along), "_last": F.max(place).over(Window.partitionBy(*line))})
-    for m in moments:
-        present = F.col(m).isNotNull() & (F.col(place) < F.col("_last"))
-        out = out.withColumn("_present", present)
-        run = F.col("_row") - F.sum(F.col("_present").cast("int")).over(along)
-        out = out.withColumn("_run", run)
-        length = F.count(F.lit(1)).over(Window.partitionBy(*line, "_present", "_run"))
-        out = out.withColumn(m, F.when(F.col("_present") & (length <= n), F.lit(None)).otherwise(F.col(m)))
-    return out.drop("_row", "_last", "_present", "_run")
+    before, after = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, n)
+    out = gates.withColumns({"_row": F.row_number().over(along), "_next": F.lead(place).over(along)})
+    gap = {m: F.when(F.col(m).isNull() | F.col("_next").isNull(), F.col("_row")) for m in moments}
+    out = out.withColumns({f"_before_{m}": F.max(g).over(before) for m, g in gap.items()} | {f"_after_{m}": F.min(g).over(after) for m, g in gap.items()})
+    short = lambda m: F.col(f"_after_{m}") - F.coalesce(f"_before_{m}", F.lit(0)) - 1 <= n
+    inside = lambda m: F.col(m).isNotNull() & F.col("_next").isNotNull()
+    changed = {m: F.when(inside(m) & F.coalesce(short(m), F.lit(False)), F.lit(None)).otherwise(F.col(m)) for m in moments}
+    return out.withColumns(changed).drop("_row", "_next", *(f"_{x}_{m}" for m in moments for x in ("before", "after")))
 
 
 def despeckle(gates: DataFrame, moments: list[str], n: int) -> DataFrame:
@@ -116,6 +118,9 @@ def route_scans(files: DataFrame) -> DataFrame:
     been seen, which every later volume then follows.
     """
     name = F.col("scan_name")
-    second = F.max(name.contains("VOL2").cast("int")).over(Window.orderBy("file_order").rowsBetween(Window.unboundedPreceding, 0))
+    # one number, however many files: where the second volume begins
+    first = files.filter(name.contains("VOL2")).agg(F.min("file_order").alias("_second"))
+    files = files.join(F.broadcast(first))
     volume = name.rlike("PICCOLO_LONG|CIRL|CIRC|PICO_LONGVOL|VOL2")
-    return files.withColumn("product", F.when(name.contains("RHI"), "rhi").when(volume & (F.coalesce(second, F.lit(0)) == 1), "volume2").when(volume, "volume1").otherwise("none"))
+    second = F.coalesce(F.col("file_order") >= F.col("_second"), F.lit(False))
+    return files.withColumn("product", F.when(name.contains("RHI"), "rhi").when(volume & second, "volume2").when(volume, "volume1").otherwise("none")).drop("_second")
