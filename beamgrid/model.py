@@ -6,7 +6,7 @@ sweep_idx. The operators take the gates with the ray columns they need already j
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,23 @@ def split_sweeps(rays: DataFrame, sweeps: DataFrame) -> DataFrame:
 def volume_times(rays: DataFrame) -> DataFrame:
     """volume_id, start, stop: the times of the first and the last ray, not the least and greatest."""
     return rays.groupBy("volume_id").agg(F.min_by("time", "ray_idx").alias("start"), F.max_by("time", "ray_idx").alias("stop"))
+
+
+def merge_volumes(rays: DataFrame, gates: DataFrame, sweeps: DataFrame, into: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rays, gates and sweeps of files that belong together, as volumes named by `into` (a column of rays).
+
+    Rays are numbered anew by time; ties go by the file's name, then the ray's own number. Sweeps are numbered by the time of
+    their first ray, and hold the rays from their first to their last one.
+    """
+    order = Window.partitionBy("merged").orderBy("time", "volume_id", "ray_idx")
+    placed = rays.withColumn("merged", into).withColumn("new_ray", (F.row_number().over(order) - 1).cast("int"))
+    number = placed.select("volume_id", "ray_idx", "merged", "new_ray")
+    held = split_sweeps(number, sweeps).groupBy("merged", "volume_id", "sweep_idx").agg(F.min("new_ray").alias("start_ray"), F.max("new_ray").alias("end_ray"))
+    by_start = Window.partitionBy("merged").orderBy("start_ray", "volume_id", "sweep_idx")
+    held = held.join(sweeps.drop("start_ray", "end_ray"), ["volume_id", "sweep_idx"]).withColumn("new_sweep", (F.row_number().over(by_start) - 1).cast("int"))
+    own = [c for c in sweeps.columns if c not in ("volume_id", "sweep_idx", "start_ray", "end_ray")]
+    return (
+        placed.select(F.col("merged").alias("volume_id"), F.col("new_ray").alias("ray_idx"), *(c for c in rays.columns if c not in ("volume_id", "ray_idx"))),
+        gates.join(number, ["volume_id", "ray_idx"]).select(F.col("merged").alias("volume_id"), F.col("new_ray").alias("ray_idx"), *(c for c in gates.columns if c not in ("volume_id", "ray_idx"))),
+        held.select(F.col("merged").alias("volume_id"), F.col("new_sweep").alias("sweep_idx"), *own, "start_ray", "end_ray"),
+    )

@@ -202,8 +202,9 @@ def grid_volume(spark, d):
 
 
 def grid_ppi(spark, d):
-    g = volume(spark, d).filter("sweep_idx = 0")
-    return _grid_shown(grid.grid_ppi(g, KINDS, X, Y, H_ROI, INFLATION, POWER), ["iy", "ix"], KINDS)
+    """Every sweep as a volume of its own, with the radius that the increment gives."""
+    g = volume(spark, d).withColumn("volume_id", F.col("sweep_idx"))
+    return _grid_shown(grid.radar_ppi(g, KINDS, X, Y, INFLATION, POWER).withColumnRenamed("volume_id", "sweep_idx"), ["sweep_idx", "iy", "ix"], KINDS)
 
 
 def grid_ppi_sweeps(spark, d):
@@ -213,7 +214,9 @@ def grid_ppi_sweeps(spark, d):
 
 
 def grid_rhi(spark, d):
-    return _grid_shown(grid.grid_rhi(volume(spark, d).filter("ray_idx % 50 < 5"), KINDS, R, Z, 375.0, V_ROI, INFLATION, POWER), ["iz", "ir"], KINDS)
+    """Every azimuth's rays as a volume of their own, with the radii that the increments give."""
+    g = volume(spark, d).withColumn("volume_id", F.col("ray_idx") % 50)
+    return _grid_shown(grid.radar_rhi(g, KINDS, R, Z, INFLATION, POWER).withColumnRenamed("volume_id", "azimuth_idx"), ["azimuth_idx", "iz", "ir"], KINDS)
 
 
 def grid_rhi_azimuths(spark, d):
@@ -326,9 +329,9 @@ SQL = {
         _LOCATED + f", m AS (SELECT ray_idx, gate_idx, gx, gy, sqi, " + ", ".join(f"CASE WHEN sqi < 0.35e0 THEN NULL ELSE {m} END AS {m}" for m in KINDS) + f" FROM q), cells AS ({_FLAT}), b AS (SELECT iy, ix, max(CASE WHEN sqi IS NOT NULL THEN 1 ELSE 0 END) AS seen, " + ", ".join(f"arg_max({{'v': {m}}}, {{'v': dbz, 'r': -ray_idx, 'g': -gate_idx}}) FILTER (dbz IS NOT NULL).v AS {m}" for m in KINDS) + f" FROM cells c JOIN m ON {_PLANAR} GROUP BY iy, ix)",
     ),
     "grid_volume": _sql("", _LOCATED + ", " + _kernel(_LEVELS.format(flat=_FLAT), _PLANAR, "abs(h - z)", "z", _HAVERSINE.format(e="elc", a=_AZ), f"sin(sqrt((x - x0) ^ 2 + (y - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["iz", "iy", "ix"])),
-    "grid_ppi": _sql("", _LOCATED.replace("FROM p)", "FROM p WHERE sweep_idx = 0)") + ", " + _kernel(_FLAT, _PLANAR, "0e0", "0e0", _HAVERSINE.format(e="el", a=_AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["iy", "ix"], flag_any=True)),
     "grid_ppi_sweeps": "SELECT sweep AS sweep_idx, * EXCLUDE (sweep) FROM (" + _sql("", _LOCATED + ", " + _kernel(f"SELECT f.*, n.sweep FROM ({_FLAT}) f, (SELECT DISTINCT sweep_idx AS sweep FROM g) n", "c.sweep = q.sweep_idx AND " + _PLANAR, "0e0", "0e0", _HAVERSINE.format(e="el", a=_AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["sweep", "iy", "ix"], flag_any=True)) + ")",
-    "grid_rhi": _sql("", _LOCATED.replace("FROM p)", "FROM p WHERE ray_idx % 50 < 5)") + ", " + _kernel("SELECT CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i", "abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin(sqrt((r * sin(0e0) - x0) ^ 2 + (r * cos(0e0) - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["iz", "ir"])),
     "grid_rhi_azimuths": "SELECT section AS azimuth_idx, * EXCLUDE (section) FROM (" + _sql("", _LOCATED + ", " + _kernel("SELECT n.section, CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i, (SELECT DISTINCT ray_idx % 50 AS section FROM g) n", "c.section = q.ray_idx % 50 AND abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin(sqrt((r * sin(radians(1e0 * section)) - x0) ^ 2 + (r * cos(radians(1e0 * section)) - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["section", "iz", "ir"])) + ")",
     "grid_column": _sql("", _LOCATED + ", " + _kernel("SELECT CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k", "true", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", "abs(rc - range_m) > 187.5e0", ["iz"])),
 }
+# the same grids by the drivers, which take the radii from the increments
+SQL |= {"grid_ppi": SQL["grid_ppi_sweeps"], "grid_rhi": SQL["grid_rhi_azimuths"]}

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamgrid.plans import radar_queries
+from beamgrid.plans import file_queries, radar_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(radar_queries.QUERIES)
+    return radar_queries.QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(radar_queries.SQL)
+    return radar_queries.SQL | file_queries.SQL

@@ -29,8 +29,14 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def _volume_id(path: str) -> str:
-    return path.rpartition("/")[2].removesuffix(".nc")
+def _plain(uri: str) -> str:
+    """A path without its scheme and the slashes around it."""
+    return (uri.partition("://")[2] if "://" in uri else uri.removeprefix("file:")).strip("/")
+
+
+def _volume_id(path: str, folder: str) -> str:
+    """The path inside the folder, so that files of one name in different folders are different volumes."""
+    return _plain(path).removeprefix(_plain(folder)).strip("/").removesuffix(".nc")
 
 
 def _times(data: netcdf.Dataset) -> np.ndarray:
@@ -44,7 +50,7 @@ def _decoded(spark: SparkSession, folder: str, schema, decode) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield decode(_volume_id(path), content)
+                yield decode(_volume_id(path, folder), content)
 
     return _files(spark, folder).mapInArrow(each, schema)
 
@@ -110,21 +116,42 @@ LAYOUTS = {
     "cartesian": [("z", "z0"), ("y", "y0"), ("x", "x0")],
     "latlon": [("z", "z0"), ("lat", "y0"), ("lon", "x0")],
 }
+#: Names of the latitudes and longitudes of a layout's cells, and the axes that these depend on. Fixed names of the format.
+_PLACES = {"volume": ("latitude", "longitude", ("y", "x")), "ppi": ("latitude", "longitude", ("y", "x")), "rhi": ("latitude", "longitude", ("r",)), "column": ("latitude", "longitude", ()), "cartesian": ("lat0", "lon0", ("y", "x")), "latlon": None}
+_AXIS = {"X": "projection_x_coordinate", "Y": "projection_y_coordinate", "Z": "altitude", "R": "projection_range_coordinate"}
+_SECONDS = "seconds since 1970-01-01T00:00:00Z"
+
+
+def _moment(data: netcdf.Dataset, name: str) -> pa.Scalar:
+    """A time of the file in microseconds; missing where the file lacks it."""
+    v = data.get(name)
+    return pa.scalar(None if v is None or np.isnan(v).all() else int(np.rint(np.ravel(v)[0] * 1e6)), pa.timestamp("us", "UTC"))
 
 
 def read_grid(spark: SparkSession, folder: str, layout: str, moments: list[str]) -> DataFrame:
-    """A row per cell: i<axis>, <axis> and the moments. Cells not seen are missing; NO_VALID stays a value."""
-    axes = LAYOUTS[layout]
-    keys = ", ".join(f"i{a} int" for a, _ in axes) + ", " + ", ".join(f"{a} double" for a, _ in axes)
-    schema = f"volume_id string, {keys}, " + ", ".join(f"{m} double" for m in moments)
+    """A row per cell: i<axis>, <axis>, lat and lon of the cell, start and stop of the volume, and the moments.
+
+    Places and times that the file lacks are missing. Cells not seen are missing; NO_VALID stays a value.
+    """
+    axes, places = LAYOUTS[layout], _PLACES[layout]
+    more = [] if places is None else ["lat", "lon"]
+    keys = ", ".join(f"i{a} int" for a, _ in axes) + ", " + ", ".join(f"{a} double" for a in [*(a for a, _ in axes), *more])
+    schema = f"volume_id string, {keys}, start timestamp, stop timestamp, " + ", ".join(f"{m} double" for m in moments)
 
     def decode(volume: str, content: bytes) -> pa.RecordBatch:
-        data = netcdf.loads(content, {*(v for _, v in axes), *moments})
+        data = netcdf.loads(content, {*(v for _, v in axes), *moments, "start_time", "stop_time", *(places or ())[:2]})
         at = [data.get(v) for _, v in axes]
-        index = np.indices([len(a) for a in at]).reshape(len(at), -1)
-        columns = [pa.array([volume] * index.shape[1]), *(pa.array(i.astype(np.int32)) for i in index), *(pa.array(a[i]) for a, i in zip(at, index, strict=True))]
+        shape = [len(a) for a in at]
+        index = np.indices(shape).reshape(len(at), -1)
+        n = index.shape[1]
+        columns = [pa.array([volume] * n), *(pa.array(i.astype(np.int32)) for i in index), *(pa.array(a[i]) for a, i in zip(at, index, strict=True))]
+        for name in places[:2] if places else ():
+            v = data.get(name)
+            own = [k for k, (a, _) in enumerate(axes) if a in places[2]]
+            columns.append(pa.nulls(n, pa.float64()) if v is None else _float(v.reshape([shape[k] for k in own])[tuple(index[k] for k in own)] if own else np.full(n, np.ravel(v)[0])))
+        columns += [pa.array([_moment(data, x).as_py()] * n, pa.timestamp("us", "UTC")) for x in ("start_time", "stop_time")]
         columns += [_float(np.where(data.get(m) == UNSEEN, np.nan, data.get(m)).ravel()) for m in moments]
-        return pa.RecordBatch.from_arrays(columns, names=["volume_id", *(f"i{a}" for a, _ in axes), *(a for a, _ in axes), *moments])
+        return pa.RecordBatch.from_arrays(columns, names=["volume_id", *(f"i{a}" for a, _ in axes), *(a for a, _ in axes), *more, "start", "stop", *moments])
 
     return _decoded(spark, folder, schema, decode)
 
@@ -135,7 +162,7 @@ def _save(folder: str, volume: str, content: bytes) -> str:
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    where.create_dir(path, recursive=True)
+    where.create_dir(f"{path}/{volume}".rpartition("/")[0], recursive=True)
     tmp = f"{path}/.{uuid.uuid4().hex}"
     with where.open_output_stream(tmp) as f:
         f.write(content)
@@ -143,24 +170,51 @@ def _save(folder: str, volume: str, content: bytes) -> str:
     return f"{path}/{volume}.nc"
 
 
-def write_grid(grid: DataFrame, folder: str, layout: str, moments: list[str], **attributes: str) -> DataFrame:
-    """One file per volume_id, which replaces any of that name; returns volume_id, path. A grid file is held by one task."""
-    axes = LAYOUTS[layout]
+def write_grid(grid: DataFrame, folder: str, layout: str, moments: list[str], about: DataFrame | None = None, **attributes: str) -> DataFrame:
+    """One file per volume_id, which replaces any of that name; returns volume_id, path. A grid file is held by one task.
+
+    Columns lat and lon of the grid become the places of its cells. about has a row per volume: volume_id and any of start,
+    stop (timestamps), lat0, lon0 (the reference of the projection), heading, azimuth.
+    """
+    axes, places = LAYOUTS[layout], _PLACES[layout]
 
-    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def save(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"volume_id": [], "path": []})
         pdf = pdf.sort_values([f"i{a}" for a, _ in axes])
+        said = {} if not len(own) else {k: v for k, v in own.iloc[0].items() if not pd.isna(v)}
         data = netcdf.Dataset()
         data.attrs = {"Conventions": "CF-1.12", **attributes}
         shape = [int(pdf[f"i{a}"].max()) + 1 for a, _ in axes]
+        if "start" in said:
+            data.put("time", ("time",), np.array([said["start"].timestamp()]), standard_name="time", long_name="Data time", units=_SECONDS, axis="T")
+        for name in ("start", "stop"):
+            if name in said:
+                data.put(f"{name}_time", ("time",), np.array([said[name].timestamp()]), standard_name=f"{name}_time", long_name=f"Data {name} time", units=_SECONDS)
         for k, (a, v) in enumerate(axes):
-            data.put(v, (v,), np.moveaxis(pdf[a].to_numpy().reshape(shape), k, 0).reshape(shape[k], -1)[:, 0].astype(np.float32), units="degrees" if a in ("lat", "lon") else "m")
+            more = {"standard_name": _AXIS[v], "axis": v} if v in _AXIS else {}
+            data.put(v, (v,), np.moveaxis(pdf[a].to_numpy().reshape(shape), k, 0).reshape(shape[k], -1)[:, 0].astype(np.float32), units="degrees" if a in ("lat", "lon") else "m", **more)
+        for column, name, units in zip(("lat", "lon"), places[:2] if places else (), ("degrees_north", "degrees_east"), strict=False):
+            if column in pdf.columns:
+                kept = tuple(slice(None) if a in places[2] else 0 for a, _ in axes)
+                values = pdf[column].to_numpy(np.float64).reshape(shape)[kept].astype(np.float32)
+                data.put(name, ("time", *(v for a, v in axes if a in places[2])), values[None], standard_name={"degrees_north": "latitude", "degrees_east": "longitude"}[units], units=units)
+        if {"lat0", "lon0"} <= said.keys():
+            data.put("grid_mapping", (), np.int32(UNSEEN), grid_mapping_name="transverse_mercator", scale_factor_at_central_meridian=1.0, longitude_of_central_meridian=float(said["lon0"]), latitude_of_projection_origin=float(said["lat0"]), reference_ellipsoid_name="WGS84", false_easting=0.0, false_northing=0.0)
+        for name in ("heading", "azimuth"):
+            if name in said:
+                data.put(name, ("time",), np.array([said[name]], np.float32), standard_name=name, units="degrees")
         for m in moments:
             meta = field_metadata(m if m in FIELDS else m.upper())
+            mapped = {"grid_mapping": "grid_mapping"} if "grid_mapping" in data.variables else {}
             values = pdf[m].fillna(UNSEEN).to_numpy(np.float32).reshape([1, *shape])
-            data.put(m, ("time", *(v for _, v in axes)), values, _FillValue=np.float32(UNSEEN), **meta)
+            data.put(m, ("time", *(v for _, v in axes)), values, _FillValue=np.float32(UNSEEN), **meta, **mapped)
         return pd.DataFrame({"volume_id": [key[0]], "path": [_save(folder, key[0], netcdf.dumps(data))]})
 
-    return grid.groupBy("volume_id").applyInPandas(save, "volume_id string, path string")
+    if about is None:
+        about = grid.select("volume_id").limit(0)
+    about = about.select(F.col("volume_id").alias("about"), *(c for c in about.columns if c != "volume_id"))
+    return grid.groupBy("volume_id").cogroup(about.groupBy("about")).applyInPandas(save, "volume_id string, path string")
 
 
 def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder: str, profile: str) -> DataFrame:
@@ -197,4 +251,5 @@ def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder:
         return pd.DataFrame({"volume_id": [key[0]], "path": [_save(folder, key[0], netcdf.dumps(data))]})
 
     packed = apply_profile(gates, profile)
-    return packed.groupBy("volume_id").cogroup(lists.groupBy("volume_id")).applyInPandas(save, "volume_id string, path string")
+    lists = lists.select(F.col("volume_id").alias("about"), "rays", "sweeps")
+    return packed.groupBy("volume_id").cogroup(lists.groupBy("about")).applyInPandas(save, "volume_id string, path string")

@@ -1,14 +1,17 @@
 """Volumes that keep arriving: each new table file is quality-controlled and gridded once.
 
 A volume is complete in itself, so no state is kept between batches: a file stream hands over the gates that arrived, and
-each batch is processed by the same functions as a table at rest.
+each batch is processed by the same functions as a table at rest. A volume that arrives in two batches is an error: the
+stream stops before it writes, so nothing of the first part is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -16,11 +19,20 @@ from pyspark.sql.types import StructType
 def grid_arrivals(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], once: bool = False) -> StreamingQuery:
     """Start a query that applies `process` to the gates of new Parquet files and appends the result, by volume, to `sink`.
 
-    A batch that runs again after a failure replaces the volumes it had written.
+    A batch that runs again after a failure replaces the volumes it had written; batch_id in the sink tells which one that was.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        out = process(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume_id")
+    def write(batch: DataFrame, number: int) -> None:
+        try:
+            earlier = batch.sparkSession.read.parquet(sink).filter(F.col("batch_id") != number).select("volume_id").distinct()
+        except AnalysisException:  # the first batch: there is no sink yet
+            earlier = None
+        if earlier is not None:
+            kind = earlier.schema["volume_id"].dataType
+            twice = batch.select(F.col("volume_id").cast(kind)).distinct().join(earlier, "volume_id", "left_semi").first()
+            if twice:
+                raise ValueError(f"volume {twice[0]} has arrived in an earlier batch")
+        out = process(batch).withColumn("batch_id", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume_id")
         out.parquet(sink)
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

@@ -57,6 +57,10 @@ def test_volume_round_trip(spark, tmp_path, fixed):
         volumes.read_gates(spark, str(tmp_path / "in"), ["ZDR"]).collect()
     both = gates.selectExpr("*", "DBZ AS raw_DBZ")
     assert volumes.write_volumes(both, rays, sweeps, str(tmp_path / "out"), "packed").count() == 2
+    for site in ("a", "b"):  # one file name in two folders
+        (tmp_path / "sites" / site).mkdir(parents=True)
+        a_file(tmp_path / "sites" / site / "v1.nc", fixed)
+    assert {r.volume_id for r in volumes.read_rays(spark, f"file://{tmp_path}/sites").collect()} == {"a/v1", "b/v1"}
     again = volumes.read_gates(spark, str(tmp_path / "out"), ["DBZ", "DBZ_L1", "ZDR"]).orderBy("volume_id", "ray_idx", "gate_idx").collect()
     assert [r.DBZ_L1 for r in again[:6]] == pytest.approx([1.0, None, 2.5, 0.03, 0.04, 0.05], abs=1e-6) and all(r.ZDR is None for r in again)
     assert sorted(volumes.read_sweeps(spark, str(tmp_path / "out")).collect()) == sorted(sweeps.collect())
@@ -74,6 +78,29 @@ def test_grid_round_trip(spark, tmp_path, layout):
     key = [c for c in g.columns if c.startswith("i")]
     wanted = [tuple(r) for r in g.selectExpr(*g.columns[:-1], f"double(nullif(DBZ, {UNSEEN})) AS DBZ").orderBy(*key).collect()]
     assert [tuple(r) for r in back.select(*g.columns).orderBy(*key).collect()] == wanted
+    assert all(r.start is None and r.stop is None for r in back.collect())
+
+
+@pytest.mark.parametrize("layout", ["volume", "ppi", "rhi", "column", "cartesian"])
+def test_grid_file_places_and_times(spark, tmp_path, layout):
+    from datetime import UTC, datetime
+
+    axes = {a: (10.0 * k, 5.0, k + 2) for k, (a, _) in enumerate(volumes.LAYOUTS[layout])}
+    g = grid.regular_grid(spark, **axes)
+    lat = {"rhi": "r / 100", "column": "7.5"}.get(layout, "y / 100 + x / 1000")
+    g = g.selectExpr("'v' AS volume_id", "*", "1.5 AS DBZ", f"double({lat}) AS lat", f"double(-({lat})) AS lon")
+    about = spark.sql("SELECT 'v' AS volume_id, timestamp_micros(1714557600250000) AS start, timestamp_micros(1714557900000000) AS stop, -2.5 AS lat0, -45.25 AS lon0, 12.5 AS heading, double(null) AS azimuth")
+    path = volumes.write_grid(g, str(tmp_path), layout, ["DBZ"], about, title="t").first().path
+    rows = volumes.read_grid(spark, str(tmp_path), layout, ["DBZ"]).collect()
+    wanted = {tuple(r[c] for c in g.columns if c[0] == "i"): (r.lat, r.lon) for r in g.collect()}
+    assert len(rows) == len(wanted)
+    for r in rows:
+        assert (r.lat, r.lon) == pytest.approx(wanted[tuple(r[c] for c in g.columns if c[0] == "i")], abs=1e-6)
+        assert r.start.replace(microsecond=0) <= r.start and (r.stop - r.start).total_seconds() == pytest.approx(299.75)
+    data = netcdf.loads(open(path, "rb").read())
+    assert {"time", "start_time", "stop_time", "grid_mapping", "heading"} <= data.variables.keys() and "azimuth" not in data.variables
+    assert data.get("start_time")[0] == datetime(2024, 5, 1, 10, 0, 0, 250000, UTC).timestamp() and data.attrs["title"] == "t"
+    assert data.variables["grid_mapping"][2]["latitude_of_projection_origin"] == -2.5 and data.variables["DBZ"][2]["grid_mapping"] == "grid_mapping"
 
 
 def test_stream(spark, tmp_path):
@@ -85,4 +112,7 @@ def test_stream(spark, tmp_path):
     gates.filter("volume_id = 'v2'").write.mode("append").parquet(f"{tmp_path}/in")
     run()
     out = spark.read.parquet(f"{tmp_path}/out")
+    gates.filter("volume_id = 'v0'").write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="earlier batch"):
+        run()
     assert out.count() == 27 and {r.dbz for r in out.filter("volume_id = 'v2'").collect()} <= {2.0, UNSEEN}
