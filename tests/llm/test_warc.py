@@ -53,3 +53,37 @@ def test_query_equals_sql(spark):
     got = warc.query(spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(warc.SQL).fetchall())
     assert got.columns == [x[0] for x in c.sql(warc.SQL).description]
+
+
+def member(*head, block=b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"):
+    return gzip.compress("\r\n".join(["WARC/1.0", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_foreign_and_broken_records(spark, tmp_path):
+    sha = hashlib.sha1(b"abc")
+    b32 = base64.b32encode(sha.digest()).decode()
+    length = "Content-Length: 41"
+    records = {
+        "hex": member("WARC-Type: response", length, f"WARC-Payload-Digest: sha1:{sha.hexdigest()}"),
+        "lower": member("warc-type: response", length, f"WARC-Payload-Digest: SHA1:{b32.lower()}"),
+        "other": member("WARC-Type: response", length, "WARC-Payload-Digest: sha256:abc"),
+        "wrong": member("WARC-Type: response", length, "WARC-Payload-Digest: sha1:" + "A" * 32),
+        "endless": member("WARC-Type: response", "Content-Length: \u00b2"),
+        "none": member("WARC-Type: response"),
+        "revisit": member("WARC-Type: revisit", "Content-Length: 0", block=b""),
+        "info": member("WARC-Type: warcinfo", length),
+    }
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records.values()))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    got = warc.scan(spark, f"file://{tmp_path}").orderBy("offset").collect()
+    assert len(got) == 7 and all(r.page_id is None for r in got)
+    assert all((bytes(r.payload), r.payload_digest, r.payload_bytes) == (b"abc", b32, 3) for r in got[:6])
+    assert [bool(r.problem) for r in got] == [False, False, False, True, True, True, True]
+    assert (got[6].record_type, got[6].payload_bytes, got[6].payload_digest) == ("revisit", None, None)
+
+
+def test_files_of_an_earlier_attempt_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, SCHEMA)
+    written = warc.write(pages, f"file://{tmp_path}/w", archive_bytes=300)
+    (tmp_path / "w" / "part-999999-0007.warc.gz").write_bytes(warc.record(77, "u", b"left over", None, "2024-01-01T00:00:00Z"))
+    assert warc.scan(spark, written).filter("page_id = 77").count() == 0 and warc.scan(spark, written).count() == len(ROWS)
