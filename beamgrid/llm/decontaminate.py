@@ -8,8 +8,9 @@ the five-word shingles (a shingle's weight is how often it occurs: sum of minima
 more. Windows of which so few words occur in any item that they can't reach it are passed over before hashing; that
 loses nothing. A window may reach over an end of its document by up to a quarter of its words.
 
-The items' tables are made in the tasks, from at most part_bytes of item text at a time; a larger benchmark is searched in
-as many passes as it has parts of that size.
+The benchmark is dealt to parts of about part_bytes and written to the shared folder; a task reads one part at a time and makes
+its tables, so neither the driver nor a task ever holds the whole. Words are counted over all items, and a word's signs
+follow from the word alone, so the parts change no result.
 
 Defined cases: null and empty texts have no leak; items that are null, empty or without words match nothing; items of
 fewer than five words match equal word sequences; equal items are all reported; of several windows the best counts, then
@@ -18,16 +19,19 @@ the first. An empty benchmark or table gives no leak. Other columns are kept as
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import filesystem, materialize, read, scratch_path
 
 WORD = re.compile(r"\w+")
 RADIUS, K = 15, 5
@@ -45,18 +49,27 @@ def _shingles(ids: list) -> Counter:
     return Counter(tuple(ids[i : i + K]) for i in range(max(1, len(ids) - K + 1))) if ids else Counter()
 
 
+def _signs(words: list[str]) -> np.ndarray:
+    """64 signs for each word, from a hash of it."""
+    data = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
+    return np.unpackbits(np.frombuffer(data, np.uint8)).reshape(-1, 64).astype(np.float32) * 2 - 1
+
+
 class Index:
-    """Items of a benchmark, by their number of words."""
+    """Items of a benchmark, by their number of words.
+
+    spread: in how many items each word is, of n_items in all; counted over these items where it is not given.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], spread: dict[str, int] | None = None, n_items: int | None = None):
         split = [(i, WORD.findall((t or "").lower())) for i, t in items]
         split = [(i, w) for i, w in split if w]
-        spread = Counter(x for _, w in split for x in set(w))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(spread), 1)}
-        rng = np.random.default_rng(7)
-        signs = rng.integers(0, 2, (len(self.vocabulary) + 1 + _NOISE, 64)).astype(np.float32) * 2 - 1
+        spread = Counter(x for _, w in split for x in set(w)) if spread is None else spread
+        n_items = len(split) if n_items is None else n_items
+        self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in split for x in w}), 1)}
+        signs = np.concatenate([np.zeros((1, 64), np.float32), _signs(list(self.vocabulary)), _signs([f"noise {k}" for k in range(_NOISE)])])
         weight = np.ones(len(signs), np.float32)
-        weight[1 : len(spread) + 1] = [1 + np.log(len(split) / spread[w]) for w in self.vocabulary]
+        weight[1 : len(self.vocabulary) + 1] = [1 + np.log(max(1.0, n_items / spread[w])) for w in self.vocabulary]
         self.signs = signs * weight[:, None]
         self.signs[0] = 0
         self.groups = {}
@@ -126,37 +139,63 @@ class Index:
         return [[(k[0], *v) for k, v in sorted(f.items(), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1:]))] for f in found]
 
 
-_index: dict[int, Index] = {}
+_index: dict[str, Index] = {}
 
 
-def _finder(items: list[tuple[int, str | None]]):
-    @F.pandas_udf(LEAKS)
-    def find(texts: pd.Series) -> pd.Series:
-        key = zlib.crc32(repr(items).encode())
-        if key not in _index:
-            _index.clear()
-            _index[key] = Index(items)
-        out, held, size = [], [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t or "")
-            if size > 1 << 20:
-                out += _index[key].search(held)
-                held, size = [], 0
-        out += _index[key].search(held)
-        return pd.Series([[{"item_id": a, "start_word": b, "n_words": c, "similarity": d} for a, b, c, d in x] for x in out])
-
-    return find
+def _load(path: str, part: int, n_items: int) -> Index:
+    """The index of one part, which a worker keeps until it needs another."""
+    key = f"{path} {part}"
+    if key not in _index:
+        import pyarrow.parquet as pq
+
+        fs, root = filesystem(path)
+        table = pq.read_table(f"{root}/part={part}", filesystem=fs, partitioning=None)
+        items = list(zip(*(table.column(c).to_pylist() for c in ("item_id", "text")), strict=True))
+        spread = {w: n for row in table.column("words").to_pylist() for w, n in row or ()}
+        _index.clear()
+        _index[key] = Index(items, spread, n_items)
+    return _index[key]
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, text -> row, word: the distinct words of each item."""
+    for batch in batches:
+        pairs = [(r, w) for r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in sorted(set(WORD.findall(t.lower())))]
+        r, w = zip(*pairs, strict=True) if pairs else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.string())], names=["row", "word"])
 
 
 def leaks(benchmark: DataFrame, text: Column | str = "text", part_bytes: int = 4 << 20) -> Column:
     """For each text the items that it holds, as LEAKS. benchmark: item_id, text."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").withColumn("row", F.monotonically_increasing_id())
+    items = materialize(items, "items")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    of = F.pmod(F.xxhash64("text"), F.lit(parts))
-    found = [_finder([tuple(r) for r in items.filter(of == k).collect()])(text) for k in range(parts)]
-    return found[0] if parts == 1 else F.concat(*found)
+    words = items.select("row", "text").mapInArrow(_words_of, "row long, word string")
+    n_items = words.select(F.count_distinct("row")).first()[0]
+    spread = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.join(spread, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    held = items.join(counted, "row").select("item_id", "text", F.map_from_entries("words").alias("words"), F.pmod(F.xxhash64("text"), F.lit(parts)).alias("part"))
+    path = scratch_path(spark, "benchmark")
+    held.repartition("part").write.partitionBy("part").parquet(path)
+    filled = [r[0] for r in spark.read.parquet(path).select("part").distinct().orderBy("part").collect()] if n_items else []
+
+    @F.pandas_udf(LEAKS)
+    def find(texts: pd.Series) -> pd.Series:
+        out: list[list] = [[] for _ in range(len(texts))]
+        for part in filled:
+            index, held, size, first = _load(path, part, n_items), [], 0, 0
+            for k, t in enumerate(texts):
+                held.append(t)
+                size += len(t or "")
+                if size > 1 << 20 or k + 1 == len(texts):
+                    for j, found in enumerate(index.search(held), first):
+                        out[j] += found
+                    held, size, first = [], 0, k + 1
+        return pd.Series([[{"item_id": a, "start_word": b, "n_words": c, "similarity": d} for a, b, c, d in sorted(x, key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))] for x in out])
+
+    return find(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
