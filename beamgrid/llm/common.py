@@ -46,10 +46,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sent(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df to be joined by broadcast if it has at most so many rows, which is counted; else as it is, to be joined by a shuffle.
+def sent(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """df to be joined by broadcast if its rows, written as JSON, have at most so many bytes; else to be joined by a shuffle.
 
-    For tables of narrow rows that don't grow with the documents: counts by language, by length, by writing task.
+    For tables that don't grow with the documents: counts by language, by length, tiles by length.
     """
     held = materialize(df, "sent")
-    return F.broadcast(held) if held.count() <= rows else held
+    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct(*held.columns))))).first()[0] or 0
+    return F.broadcast(held) if size <= most_bytes else held

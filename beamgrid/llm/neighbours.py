@@ -59,8 +59,9 @@ class Block:
         self.q, self.scale, self.kept, self.lost = quantise(unit)
 
 
-def tile(a: Block, b: Block, k: int, pairs: int = 1 << 15) -> Iterator[tuple[int, int, float]]:
-    """(query, candidate, cosine) of the k best candidates in b of each query in a."""
+def tile(a: Block, b: Block, k: int, components: int = 1 << 22) -> Iterator[tuple[int, int, float]]:
+    """(query, candidate, cosine) of the k best candidates in b of each query in a; survivors of so many components at once."""
+    pairs = max(k, components // max(1, a.x.shape[1]))
     near = product(a.q, b.q) * a.scale[:, None] * b.scale[None, :]
     slack = a.kept[:, None] * b.lost[None, :] + a.lost[:, None] * b.kept[None, :] + a.lost[:, None] * b.lost[None, :]
     other = a.ids[:, None] != b.ids[None, :]
@@ -136,12 +137,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     held = rows.filter(F.col(vector).isNotNull() & F.col(key).isNotNull() & sound)
     held = held.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"), is_query.alias("is_query"))
-    candidates = materialize(_blocks(held.drop("is_query"), block), "candidates").select(F.monotonically_increasing_id().alias("tile"), "dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
+    candidates = _blocks(held.drop("is_query"), block).select(F.monotonically_increasing_id().alias("tile"), "dim", F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
     candidates = materialize(candidates, "candidates")
     queries = _blocks(held.filter("is_query").drop("is_query"), query_block).select("dim", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
     # each block of queries goes to each block of candidates of the same length: whole blocks are joined, not rows
     places = candidates.groupBy("dim").agg(F.collect_list("tile").alias("tiles"))
-    queries = queries.join(sent(places, 100), "dim").select(F.explode("tiles").alias("tile"), "a_ids", "a")
+    queries = queries.join(sent(places), "dim").select(F.explode("tiles").alias("tile"), "a_ids", "a")
     tiles = queries.join(candidates.select("tile", "dim", "b_ids", "b"), "tile").select("dim", "a_ids", "a", "b_ids", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

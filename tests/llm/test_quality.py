@@ -56,3 +56,31 @@ def test_cases(spark, labelled):
         assert {r.score for r in out} == {0.5}
     empty = quality.table(docs.limit(0))
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
+
+
+def test_query_against_plain_form(spark):
+    """Every score, from sums over all rows at once."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS))).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    stats = np.array([quality.statistics(r.text) for r in docs])
+    learn = np.array([r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in docs])
+    y = np.array([float(label.get(r.doc_id, 0)) for r in docs])[learn]
+    fold = np.array([r.fold for r in docs])[learn]
+    model = quality.Model(stats[learn].mean(axis=0), np.maximum(stats[learn].std(axis=0), 1e-6))
+    z = model.features(stats[learn])
+    amount = 1e-2 * max(1.0, np.trace(z.T @ z) / (z.shape[1] + 1))
+    solve = lambda own: np.linalg.solve(z[own].T @ z[own] + amount * np.eye(z.shape[1]), z[own].T @ y[own])
+    raw = np.zeros(len(y))
+    for k in range(quality.FOLDS):
+        raw[fold == k] = z[fold == k] @ solve(fold != k)
+    at = np.clip(((raw + 1) / 3 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = np.unique(at)
+    model.weights = solve(np.ones(len(y), bool))
+    model.x, model.y = quality.isotonic(*(np.array([f(at == b) for b in bins]) for f in (lambda m: raw[m].mean(), lambda m: y[m].mean(), lambda m: float(m.sum()))))
+    wanted = dict(zip((r.doc_id for r in docs), np.clip(model.score(stats), 0, 1), strict=True))
+    got = {r.doc_id: r.score for r in quality.query(spark, d).collect()}
+    assert got.keys() == wanted.keys()
+    assert max(abs(got[k] - wanted[k]) for k in got) < 1e-6
