@@ -7,6 +7,7 @@ volume_id; writers of files give one file per volume.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -107,6 +108,26 @@ def read_gates(spark: SparkSession, folder: str, moments: list[str]) -> DataFram
     return _decoded(spark, folder, gates_schema(moments), decode)
 
 
+#: What a volume file holds beside its gates: a row per variable, and one without a name for the global attributes (JSON).
+EXTRAS = "volume_id string, name string, dims array<string>, shape array<int>, type string, numbers array<double>, text binary, attributes string"
+
+
+def read_extras(spark: SparkSession, folder: str) -> DataFrame:
+    """Global attributes and all variables that aren't fields of gates: calibration, georeference, sweeps, instrument."""
+
+    def decode(volume: str, content: bytes) -> pa.RecordBatch:
+        data = netcdf.loads(content, lambda name, dims: not {"time", "range"} <= set(dims))
+        rows = [(volume, None, None, None, None, None, None, json.dumps(data.attrs))]
+        for name, (dims, v, attrs) in data.variables.items():
+            text = v.dtype.kind == "S"
+            rows.append((volume, name, list(dims), list(v.shape), v.dtype.str[1:], None if text else v.astype(np.float64).ravel().tolist(), v.tobytes() if text else None, json.dumps(attrs)))
+        types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.list_(pa.float64()), pa.binary(), pa.string()]
+        names = [x.partition(" ")[0] for x in EXTRAS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return _decoded(spark, folder, EXTRAS, decode)
+
+
 #: Axis variables of each layout of grid file, outermost first, as (name here, name in the file).
 LAYOUTS = {
     "volume": [("z", "Z"), ("y", "Y"), ("x", "X")],
@@ -217,14 +238,24 @@ def write_grid(grid: DataFrame, folder: str, layout: str, moments: list[str], ab
     return grid.groupBy("volume_id").cogroup(about.groupBy("about")).applyInPandas(save, "volume_id string, path string")
 
 
-def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder: str, profile: str) -> DataFrame:
-    """One file per volume_id with the fields of a profile; gates hold raw_<name> and <name> columns."""
+def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder: str, profile: str, extras: DataFrame | None = None) -> DataFrame:
+    """One file per volume_id with the fields of a profile; gates hold raw_<name> and <name> columns.
+
+    extras (EXTRAS) brings the attributes and variables of the files that the volumes came from; those that are written here
+    anyway win.
+    """
     from beamgrid.sources.profiles import apply_profile
 
     fields: list[Field] = PROFILES[profile]
     lists = rays.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("ray_idx", F.unix_micros("time").alias("t"), "scan_name", *_PER_RAY))).alias("rays"))
     lists = lists.join(sweeps.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("sweep_idx", "fixed_angle", "start_ray", "end_ray"))).alias("sweeps")), "volume_id", "left")
 
+    if extras is not None:
+        own = extras.groupBy(F.col("volume_id").alias("of")).agg(F.collect_list(F.struct(*(c for c in extras.columns if c != "volume_id"))).alias("extras"))
+        lists = lists.join(own, lists["volume_id"] == own["of"], "left").drop("of")
+    else:
+        lists = lists.withColumn("extras", F.lit(None).cast("array<struct<name:string>>"))
+
     def save(key: tuple, pdf: pd.DataFrame, meta: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(meta):
             return pd.DataFrame({"volume_id": [], "path": []})
@@ -232,8 +263,12 @@ def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder:
         own, sw = meta["rays"].iloc[0], meta["sweeps"].iloc[0]
         n_rays, n_gates = len(own), int(pdf.gate_idx.max()) + 1
         data = netcdf.Dataset()
-        data.attrs = {"scan_name": str(own[0]["scan_name"]), "Conventions": "CF-1.7"}
+        more = [] if meta["extras"].iloc[0] is None else list(meta["extras"].iloc[0])
         t = np.array([r["t"] for r in own]) / 1e6
+        said = {k: v for e in more if e["name"] is None for k, v in json.loads(e["attributes"]).items()}
+        data.attrs = {"Conventions": "CF-1.7", **said, "scan_name": str(own[0]["scan_name"])}
+        for name, at in (("time_coverage_start", t[0]), ("time_coverage_end", t[-1])):
+            data.attrs[name] = f"{datetime.fromtimestamp(np.floor(at), UTC):%Y-%m-%dT%H:%M:%S}Z"
         data.put("time", ("time",), t - np.floor(t[0]), units=f"seconds since {datetime.fromtimestamp(np.floor(t[0]), UTC):%Y-%m-%dT%H:%M:%S}Z")
         r = pdf.range_m.to_numpy(np.float32)[:n_gates]
         data.put("range", ("range",), r, meters_to_center_of_first_gate=float(r[0]), meters_between_gates=float(r[1] - r[0]) if n_gates > 1 else 0.0)
@@ -244,12 +279,19 @@ def write_volumes(gates: DataFrame, rays: DataFrame, sweeps: DataFrame, folder:
         if sw is not None:
             for name, variable in (("fixed_angle", "fixed_angle"), ("start_ray", "sweep_start_ray_index"), ("end_ray", "sweep_end_ray_index")):
                 data.put(variable, ("sweep",), np.array([x[name] for x in sw], np.float32 if name == "fixed_angle" else np.int32))
+            data.put("sweep_number", ("sweep",), np.array([x["sweep_idx"] for x in sw], np.int32))
+        data.put("ray_n_gates", ("time",), np.full(n_rays, n_gates, np.int32))
+        data.put("ray_start_index", ("time",), np.arange(n_rays, dtype=np.int32) * n_gates)
         for f in fields:
             kind = np.int16 if f.scale is not None else np.float32
             extra = {"scale_factor": f.scale, "add_offset": f.offset} if f.scale is not None else {}
             data.put(f.name, ("time", "range"), pdf[f.name].to_numpy(kind).reshape(n_rays, n_gates), _FillValue=kind(f.fill), **extra, **field_metadata(f.name))
+        for e in more:
+            if e["name"] is not None and e["name"] not in data.variables:
+                values = np.frombuffer(e["text"], "S1") if e["type"] == "S1" else np.array(e["numbers"], np.float64).astype(f">{e['type']}")
+                data.put(e["name"], tuple(e["dims"]), values.reshape(tuple(e["shape"])), **json.loads(e["attributes"]))
         return pd.DataFrame({"volume_id": [key[0]], "path": [_save(folder, key[0], netcdf.dumps(data))]})
 
     packed = apply_profile(gates, profile)
-    lists = lists.select(F.col("volume_id").alias("about"), "rays", "sweeps")
+    lists = lists.select(F.col("volume_id").alias("about"), "rays", "sweeps", "extras")
     return packed.groupBy("volume_id").cogroup(lists.groupBy("about")).applyInPandas(save, "volume_id string, path string")

@@ -67,6 +67,28 @@ def test_volume_round_trip(spark, tmp_path, fixed):
     assert [r.time for r in volumes.read_rays(spark, str(tmp_path / "out")).filter("volume_id = 'v1'").orderBy("ray_idx").collect()] == [r.time for r in own]
 
 
+def test_extras_are_copied(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    d = a_file(tmp_path / "in" / "v1.nc")
+    d.attrs |= {"title": "x", "scan_id": np.float32(1.5), "institution": "é"}
+    d.put("r_calib_time", ("r_calib", "string_length"), np.frombuffer(b"2024-01-01ab", "S1").reshape(2, 6))
+    d.put("r_calib_noise", ("r_calib",), np.array([1.5, np.nan], np.float32), units="dBm", _FillValue=np.float32(-9999))
+    d.put("sweep_mode", ("sweep", "string_length"), np.frombuffer(b"sector" * 2, "S1").reshape(2, 6), long_name="mode")
+    d.put("georef_time", ("time",), np.array([1.0, 2.0, 3.0]))
+    d.put("volume_number", (), np.int32(7))
+    (tmp_path / "in" / "v1.nc").write_bytes(netcdf.dumps(d))
+    folder = str(tmp_path / "in")
+    gates = volumes.read_gates(spark, folder, ["DBZ"]).selectExpr("*", "DBZ AS raw_DBZ")
+    path = volumes.write_volumes(gates, volumes.read_rays(spark, folder), volumes.read_sweeps(spark, folder), str(tmp_path / "out"), "packed", volumes.read_extras(spark, folder)).first().path
+    back = netcdf.loads(open(path, "rb").read())
+    assert back.attrs.items() >= {"title": "x", "scan_id": 1.5, "institution": "é", "scan_name": "SUR", "time_coverage_start": "2024-05-01T00:00:10Z", "time_coverage_end": "2024-05-01T00:00:13Z"}.items()
+    for name in ("r_calib_time", "r_calib_noise", "sweep_mode", "georef_time", "volume_number", "name"):
+        dims, values, attrs = d.variables[name]
+        assert back.variables[name][0] == dims and back.variables[name][1].tobytes() == np.asarray(values, back.variables[name][1].dtype).tobytes()
+        assert back.variables[name][2] == {k: pytest.approx(v) if not isinstance(v, str) else v for k, v in attrs.items()}
+    assert back.get("sweep_number").tolist() == [0, 1] and back.get("ray_n_gates").tolist() == [2, 2, 2]
+
+
 @pytest.mark.parametrize("layout", sorted(volumes.LAYOUTS))
 def test_grid_round_trip(spark, tmp_path, layout):
     axes = {a: (10.0 * k, 5.0, k + 2) for k, (a, _) in enumerate(volumes.LAYOUTS[layout])}
