@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, sent
 from .graph import components
 from .shingles import batches_of, mix, shingle_sets
 
@@ -194,7 +194,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, members: int = 256) -> DataFrame
     A centre with many partners is dealt to several groups of about `members` of them, each with the centre's text.
     """
     n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = materialize(pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / members)).cast("int").alias("chunk")), "dealt")
+    # sent to all tasks where it is small, so that a hot centre's pairs stay where they are; else written, so that they can be split
+    dealt = materialize(pairs.join(sent(n), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / members)).cast("int").alias("chunk")), "dealt")
     member = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "text")
     centre = dealt.select("a", "chunk").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     rows = centre.union(member).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
@@ -207,7 +208,7 @@ def open_pairs(buckets: DataFrame, found: DataFrame, classes: DataFrame, texts:
     share = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
     share = share.agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("components")).filter("components > 1")
     share = share.select("key", F.col("most.component").alias("main"), F.ceil((F.col("n") - F.col("most.m")) / cell).alias("rows"), F.ceil(F.col("n") / cell).alias("columns"))
-    held = placed.join(share, "key")
+    held = placed.join(sent(share), "key")
     wanted = held.select("node").distinct()
     own = materialize(texts.join(wanted, "node", "left_semi").select("node", "text"), "texts")
     alone = own.mapInArrow(_spread, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m")).filter("m = 1")
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     classes = materialize(classes.select("node", "one.doc_id", "one.text_hash", "sig", "n_shingles"), "classes")
     keys = classes.select("node", "sig").mapInArrow(_keys, "key long, slot byte, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(keys.join(shared, "key"), "buckets")  # key, slot, node, low, n
+    buckets = materialize(keys.join(materialize(shared, "shared"), "key"), "buckets")  # key, slot, node, low, n
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["doc_id"]) & (rows["hash"] == wanted["text_hash"])).select("node", "text")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are cut and looked up at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Pieces of more bytes than this are encoded wherever they occur, without the table.
 LONGEST = 24
 _SPACE = np.zeros(256, bool)
