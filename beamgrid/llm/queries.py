@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import best_fit, decontaminate, divergence, language, line_dedup, near_dup, neighbours, packing, pii, quality, token_store, warc
+from . import best_fit, decontaminate, divergence, language, line_dedup, near_dup, neighbours, packing, pii, quality, spelling, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dup": near_dup.query,
         "op10_quality": quality.query,
         "op11_best_fit": best_fit.query,
+        "op12_spelling": spelling.query,
         "op13_divergence": divergence.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op9_near_dup": near_dup.SQL, "op13_divergence": divergence.SQL}
+    return {"op2_warc": warc.SQL, "op9_near_dup": near_dup.SQL, "op12_spelling": spelling.SQL, "op13_divergence": divergence.SQL}
