@@ -83,17 +83,21 @@ def _kruger() -> tuple[float, list[float], list[float]]:
 _E = math.sqrt(WGS84_F * (2 - WGS84_F))
 
 
-def meridian_arc(lat0_deg: float) -> float:
+def meridian_arc(lat0_deg: Column | float) -> Column | float:
     """Metres from the equator along the meridian."""
     radius, forward, _ = _kruger()
+    if isinstance(lat0_deg, Column):
+        s = F.sin(F.radians(lat0_deg))
+        xi = F.atan(F.sinh(F.atanh(s) - _E * F.atanh(_E * s)))
+        return radius * sum((a * F.sin(2.0 * j * xi) for j, a in enumerate(forward, 1)), xi)
     s = math.sin(math.radians(lat0_deg))
     tau = math.sinh(math.atanh(s) - _E * math.atanh(_E * s))
     xi = math.atan(tau)
     return radius * (xi + sum(a * math.sin(2 * (j + 1) * xi) for j, a in enumerate(forward)))
 
 
-def tm_forward(lat_deg: Column, lon_deg: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """Transverse Mercator (x, y) with scale 1 and the reference as origin, on WGS84."""
+def tm_forward(lat_deg: Column, lon_deg: Column, lat0: Column | float, lon0: Column | float) -> tuple[Column, Column]:
+    """Transverse Mercator (x, y) with scale 1 and the reference as origin, on WGS84. The reference may be a column."""
     radius, forward, _ = _kruger()
     s, dl = F.sin(F.radians(lat_deg)), F.radians(lon_deg - lon0)
     t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
@@ -106,7 +110,7 @@ def tm_forward(lat_deg: Column, lon_deg: Column, lat0: float, lon0: float) -> tu
     return radius * x, radius * y - meridian_arc(lat0)
 
 
-def tm_inverse(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
+def tm_inverse(x: Column, y: Column, lat0: Column | float, lon0: Column | float) -> tuple[Column, Column]:
     """(latitude, longitude) of transverse Mercator coordinates."""
     radius, _, inverse = _kruger()
     xi, eta = (y + meridian_arc(lat0)) / radius, x / radius

@@ -1,14 +1,19 @@
 """Gridding: volumes, vertical and horizontal sections, composites and columns.
 
-Gates meet cells by a bin join: space is cut into bins as wide as the largest radius of influence, a gate has one bin, a
-column of cells the few that its radius reaches, and the exact distance test follows the equal join. A pair is
-spread only over the levels near the beam: those whose beam angle can pass the power threshold, and those
-within the vertical radius. All results of a cell (nearest gate, sums, largest weight) come from one aggregation, which is
-partial before its shuffle.
-
-Gates need volume_id, ray_idx, gate_idx, range_m, azimuth, elevation, altitude, x0, y0 (the radar's place) and the moments. Ties
-go to the smallest (ray_idx, gate_idx). Sentinels: UNSEEN where no gate is near, NO_VALID where gates are near without a valid
-value.
+Gates meet cells without a join. On a regular axis the cells that a gate can reach are ranges of index numbers, which follow from
+its own place: if a cell at distance d from the origin takes gates within max(roi, f d), then a gate at distance g reaches
+no farther than max(roi, f g / (1 - f)). A gate is spread over these ranges, the exact distance test follows, and a pair is
+spread only over the levels near the beam: those whose beam angle can pass the power threshold, and those within the vertical
+radius. All results of a cell (nearest gate, sums, largest weight) come from one aggregation, which is partial before its
+shuffle.
+
+Every gate also marks its volume, in the same aggregation, so that volumes are known without a second scan. Cells that no
+gate reaches are filled in line by line: what is shuffled for them is a row for each line of the innermost axis.
+
+Gates need volume_id, ray_idx, gate_idx, range_m, azimuth, elevation, altitude, x0, y0 (the radar's place) and the moments;
+the drivers join them from the rays and take each volume's first ray as its reference. Ties go to the smallest (ray_idx,
+gate_idx). Sentinels: UNSEEN where no gate is near, NO_VALID where gates are near without a valid value. A volume without gates
+has no grid; gates whose place is missing or NaN reach no cell.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from pyspark.sql import functions as F
 from beamgrid.functions import geometry as G
 from beamgrid.model import BEAM_SLOPE, NO_VALID, R_EFF, UNSEEN
 
-Axis = tuple[float, float, int]  # minimum, increment, number
+#: Minimum (a column of the volume, too), increment, number.
+Axis = tuple[float | Column, float, int]
 
 
 def _at(axis: Axis, i: Column) -> Column:
-    return F.lit(float(axis[0])) + float(axis[1]) * i
+    first = axis[0] if isinstance(axis[0], Column) else F.lit(float(axis[0]))
+    return first + float(axis[1]) * i
 
 
 def regular_grid(spark: SparkSession, **axes: Axis) -> DataFrame:
@@ -38,16 +45,12 @@ def regular_grid(spark: SparkSession, **axes: Axis) -> DataFrame:
     return out.select(*(f"i{name}" for name in axes), *(_at(a, F.col(f"i{name}")).alias(name) for name, a in axes.items()))
 
 
-def latlon_axes(lat0: float, lon0: float, latmin: float, latdim: int, lonmin: float, londim: int, degincr: float) -> dict:
-    """The axes of a regular degree grid, its reference and its radius of influence.
-
-    The reference is the radar's place cut towards zero to a multiple of the increment; the minima are offsets to it,
-    rounded to two digits.
-    """
-    ref = [math.trunc(v / degincr) * degincr if abs(v / degincr - round(v / degincr)) > 1e-9 else v for v in (lat0, lon0)]
-    p = math.radians(ref[0])
-    per_degree = math.hypot(111.13209 - 0.56605 * math.cos(2 * p), 111.41513 * math.cos(p))
-    return {"lat0": ref[0], "lon0": ref[1], "lat": (round(ref[0] + latmin, 2), degincr, latdim), "lon": (round(ref[1] + lonmin, 2), degincr, londim), "h_roi": 0.75 * degincr * 1000.0 * per_degree}
+def volume_points(volumes: DataFrame, **axes: Axis) -> DataFrame:
+    """The points of regular_grid for each volume_id, axis by axis, so that no row ever holds more than the points of one axis."""
+    out = volumes.select("volume_id")
+    for name, a in axes.items():
+        out = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(a[2] - 1))).alias(f"i{name}"))
+    return out.select("volume_id", *(f"i{name}" for name in axes), *(_at(a, F.col(f"i{name}")).alias(name) for name, a in axes.items()))
 
 
 def locate(gates: DataFrame) -> DataFrame:
@@ -58,43 +61,99 @@ def locate(gates: DataFrame) -> DataFrame:
     return out.withColumns({"gx": x, "gy": y})
 
 
-def _bins(low: Column, high: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+#: The number that stands for the volume as a whole instead of a cell.
+_WHOLE = -1
 
 
-def near_columns(gates: DataFrame, columns: DataFrame, radius: float) -> DataFrame:
-    """Pairs of located gates and columns (y, x, eff_h <= radius) not farther apart than eff_h.
+def _numbers(axis: Axis, low: Column, high: Column) -> Column:
+    """Numbers of the points of an axis from low to high; none where a bound is missing or NaN."""
+    first = axis[0] if isinstance(axis[0], Column) else F.lit(float(axis[0]))
+    a, b = ((v - first) / float(axis[1]) for v in ((low, high) if axis[1] > 0 else (high, low)))
+    a, b = F.greatest(F.ceil(a).cast("double"), F.lit(0.0)), F.least(F.floor(b).cast("double"), F.lit(axis[2] - 1.0))
+    held = F.when((a <= b) & low.isNotNull() & high.isNotNull() & ~F.isnan(low) & ~F.isnan(high), F.sequence(a.cast("int"), b.cast("int")))
+    return F.coalesce(held, F.array().cast("array<int>"))
+
+
+def _and_whole(numbers: Column) -> Column:
+    return F.concat(numbers, F.array(F.lit(_WHOLE)))
+
+
+def _or_whole(outer: str, numbers: Column) -> Column:
+    return F.when(F.col(outer) == _WHOLE, F.array(F.lit(_WHOLE))).otherwise(numbers)
+
+
+def _within(outer: str, test: Column) -> Column:
+    return (F.col(outer) == _WHOLE) | test
 
-    The columns of one grid are the small side, whatever the number of volumes: a row for each column and bin it reaches,
-    of five numbers. Where they are too many to be broadcast, the join is shuffled by bin, and bins that many gates
-    fall into are split between tasks, for which both sides are left as plain shuffles.
-    """
-    cells = columns.withColumn("_by", _bins(F.col("y") - F.col("eff_h"), F.col("y") + F.col("eff_h"), radius)).withColumn("_bx", _bins(F.col("x") - F.col("eff_h"), F.col("x") + F.col("eff_h"), radius))
-    held = gates.withColumns({"_by": F.floor(F.col("gy") / radius), "_bx": F.floor(F.col("gx") / radius)})
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    return held.join(cells, ["_by", "_bx"]).filter(dx * dx + dy * dy <= F.col("eff_h") * F.col("eff_h")).drop("_by", "_bx")
 
+def inflated(distance: Column, roi: Column | float, inflation: float) -> Column:
+    roi = roi if isinstance(roi, Column) else F.lit(float(roi))
+    return F.greatest(inflation * distance, roi) if inflation > 0 else roi
 
-def inflated(distance: Column, roi: float, inflation: float) -> Column:
-    return F.greatest(inflation * distance, F.lit(float(roi))) if inflation > 0 else F.lit(float(roi))
 
+def reach(distance: Column, roi: Column | float, inflation: float) -> Column:
+    """How far from a gate at a distance from the origin a cell can be whose radius it lies in, rounded up."""
+    if inflation >= 1:
+        return F.lit(1e12)
+    return inflated(distance, roi, inflation / (1 - inflation)) * (1 + 1e-9) + 1e-3
 
-def _levels(z: Axis, power: float) -> Column:
-    """Level numbers that a gate can matter for: near in height, or inside the beam; all where the beam has no limit."""
-    last = z[2] - 1
+
+def near_cells(gates: DataFrame, x: Axis, y: Axis, h_roi: Column | float, inflation: float) -> DataFrame:
+    """Located gates with iy, ix, y, x, d0 of the cells that they are near to, and once with numbers of _WHOLE."""
+    held = gates.withColumn("_e", reach(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), h_roi, inflation))
+    held = held.withColumn("iy", F.explode(_and_whole(_numbers(y, F.col("gy") - F.col("_e"), F.col("gy") + F.col("_e"))))).withColumn("y", _at(y, F.col("iy")))
+    dy = F.col("gy") - F.col("y")
+    half = F.sqrt(F.greatest(F.col("_e") * F.col("_e") - dy * dy, F.lit(0.0)))
+    held = held.withColumn("ix", F.explode(_or_whole("iy", _numbers(x, F.col("gx") - half, F.col("gx") + half)))).withColumn("x", _at(x, F.col("ix")))
+    return _exactly(held, h_roi, inflation)
+
+
+def _exactly(pairs: DataFrame, h_roi: Column | float, inflation: float) -> DataFrame:
+    pairs = pairs.withColumn("d0", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    dx, dy, e = F.col("gx") - F.col("x"), F.col("gy") - F.col("y"), inflated(F.col("d0"), h_roi, inflation)
+    return pairs.filter(_within("iy", dx * dx + dy * dy <= e * e)).drop("_e")
+
+
+def near_degrees(gates: DataFrame, lat: Axis, lon: Axis, h_roi: Column | float, inflation: float) -> DataFrame:
+    """As near_cells, for a grid of regular degrees around each volume's lat0, lon0: iy counts latitudes, ix longitudes.
+
+    The projection never shortens a distance, so the degrees that a gate can reach are bounded as on a sphere of the least
+    radius of curvature, by its own latitude and longitude.
+    """
+    lat0, lon0 = F.col("lat0"), F.col("lon0")
+    glat, glon = G.tm_inverse(F.col("gx"), F.col("gy"), lat0, lon0)
+    held = gates.withColumns({"_e": reach(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), h_roi, inflation), "_lat": glat, "_lon": glon})
+    angle = F.least(F.col("_e") * (1.01 / 6335000.0), F.lit(math.pi))
+    top = F.abs(F.radians("_lat")) + angle
+    wide = F.when(top < 1.57, F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians("_lat"))))).otherwise(math.pi)
+    held = held.withColumns({"_a": F.degrees(angle), "_w": F.degrees(wide)})
+    held = held.withColumn("iy", F.explode(_and_whole(_numbers(lat, F.col("_lat") - F.col("_a"), F.col("_lat") + F.col("_a")))))
+    held = held.withColumn("ix", F.explode(_or_whole("iy", _numbers(lon, F.col("_lon") - F.col("_w"), F.col("_lon") + F.col("_w")))))
+    x, y = G.tm_forward(_at(lat, F.col("iy")), _at(lon, F.col("ix")), lat0, lon0)
+    # behind a generator the long expressions of x and y are not copied into the distance test
+    held = held.select("*", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("_p")).select(*(c for c in held.columns if c not in ("_lat", "_lon", "_a", "_w")), "_p.x", "_p.y")
+    return _exactly(held, h_roi, inflation)
+
+
+def beam_heights(gates: DataFrame, power: float) -> DataFrame:
+    """Located gates with the heights (_low, _high) between which a beam can still have weight; all where it has no limit."""
     if power <= 0:
-        return F.sequence(F.lit(0), F.lit(last))
+        return gates.withColumns({"_low": F.lit(-1e12), "_high": F.lit(1e12)})
     delta = max(0.0, -math.log(min(power, 1.0)) / BEAM_SLOPE) + 1e-9
 
     def height(el: Column) -> Column:
         el = F.greatest(F.least(el, F.lit(math.pi / 2)), F.lit(-math.pi / 2))
         return F.sqrt(F.col("range_m") ** 2 + R_EFF**2 + 2.0 * F.col("range_m") * R_EFF * F.sin(el)) - R_EFF + F.col("altitude")
 
-    low = F.least(height(F.col("el") - delta) - 1.0, F.col("h") - F.col("eff_v"))
-    high = F.greatest(height(F.col("el") + delta) + 1.0, F.col("h") + F.col("eff_v"))
-    first = F.greatest(F.ceil((low - z[0]) / z[1]), F.lit(0)).cast("int")
-    end = F.least(F.floor((high - z[0]) / z[1]), F.lit(last)).cast("int")
-    return F.when(first <= end, F.sequence(first, F.greatest(first, end))).otherwise(F.array().cast("array<int>"))
+    return gates.withColumns({"_low": height(F.col("el") - delta) - 1.0, "_high": height(F.col("el") + delta) + 1.0})
+
+
+def _at_levels(pairs: DataFrame, z: Axis, outer: str | None) -> DataFrame:
+    """Pairs on each level that the gate can matter for: near in height (eff_v), or inside the beam."""
+    low, high = F.least(F.col("_low"), F.col("h") - F.col("eff_v")), F.greatest(F.col("_high"), F.col("h") + F.col("eff_v"))
+    numbers = _numbers(z, low, high)
+    numbers = _and_whole(numbers) if outer is None else _or_whole(outer, numbers)
+    return pairs.withColumn("iz", F.explode(numbers)).withColumn("z", _at(z, F.col("iz")))
 
 
 def _angle_weight(angle: Column, power: float) -> Column:
@@ -113,10 +172,11 @@ def _grid_azimuth(dx: Column, dy: Column) -> Column:
     return F.when(az < 0, az + 2 * math.pi).otherwise(az)
 
 
-def _accumulate(pairs: DataFrame, cell: list[str], moments: dict[str, str], vertical: bool, flag: Column) -> DataFrame:
+def _accumulate(pairs: DataFrame, cell: list[str], moments: dict[str, str], vertical: bool, flag: Column, carry: tuple[str, ...]) -> DataFrame:
     """One row per volume and cell: its nearest gate's distance and flag, and each moment's value.
 
-    pairs: gates with a weight w (0 or null: none), dist (vertical distance) and the cell's columns.
+    pairs: gates with a weight w (0 or null: none), dist (vertical distance) and the cell's columns. carry: columns that are
+    the same in a whole volume.
     """
     w = F.col("w")
     heavy = w > 0
@@ -131,7 +191,7 @@ def _accumulate(pairs: DataFrame, cell: list[str], moments: dict[str, str], vert
         else:
             value = G.db_to_linear(F.col(m)) if kind == "linear" else F.col(m)
             aggregates.append(F.sum(F.when(has, w * value)).alias(f"v_{m}"))
-    out = pairs.groupBy("volume_id", *cell).agg(*aggregates)
+    out = pairs.groupBy("volume_id", *carry, *cell).agg(*aggregates)
     values = {}
     for m, kind in moments.items():
         mean = F.col(f"v_{m}.v") if kind == "nearest" else F.col(f"v_{m}") / F.col(f"w_{m}")
@@ -146,59 +206,87 @@ def _accumulate(pairs: DataFrame, cell: list[str], moments: dict[str, str], vert
         if vertical:
             value = F.when(F.col("near.dist") <= F.col("near.eff_v"), value).otherwise(UNSEEN)
         values[m] = value
-    return out.select("volume_id", *cell, *(v.alias(m) for m, v in values.items()))
+    return out.select("volume_id", *carry, *cell, *(v.alias(m) for m, v in values.items()))
 
 
-def fill_grid(found: DataFrame, volumes: DataFrame, spark: SparkSession, axes: dict[str, Axis], moments: list[str]) -> DataFrame:
-    """All cells of the grid for each volume, with found's values where it has some.
+def fill_grid(found: DataFrame, axes: dict[str, Axis], moments: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """All cells of the grid of each volume, with found's values where it has some.
 
-    Axis by axis, so that no row ever holds more than the points of one axis.
+    found has a row of _WHOLE numbers for each volume, which marks all lines of the innermost axis; a line's cells are then
+    laid out in the task that holds it. No row ever holds more than the points of one axis, or the lines of a volume.
     """
-    cells = volumes.select("volume_id").distinct()
-    for name, a in axes.items():
-        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(a[2] - 1))).alias(f"i{name}"))
-    keys = ["volume_id", *(f"i{name}" for name in axes)]
-    joined = cells.join(found, keys, "left")
-    return joined.select(*keys, *(_at(a, F.col(f"i{name}")).alias(name) for name, a in axes.items()), *(F.coalesce(m, F.lit(UNSEEN)).alias(m) for m in moments))
-
-
-def grid_volume(gates: DataFrame, moments: dict[str, str], x: Axis, y: Axis, z: Axis, h_roi: float, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz", columns: DataFrame | None = None) -> DataFrame:
-    """Values on z, y, x. moments: name to linear, weighted or nearest. columns: iy, ix, y, x of an irregular grid."""
-    spark = gates.sparkSession
-    flat = regular_grid(spark, y=y, x=x) if columns is None else columns
-    far = math.hypot(max(abs(x[0]), abs(x[0] + x[1] * (x[2] - 1))), max(abs(y[0]), abs(y[0] + y[1] * (y[2] - 1))))
-    d0 = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    flat = flat.withColumns({"eff_h": inflated(d0, h_roi, inflation), "eff_v": inflated(d0, v_roi, inflation)})
-    if columns is not None:
-        far = flat.agg(F.max(F.col("eff_h"))).first()[0] / max(inflation, 1e-9)
-    pairs = near_columns(locate(gates), flat, max(inflation * far, h_roi))
-    pairs = pairs.withColumn("iz", F.explode(_levels(z, power))).withColumn("z", _at(z, F.col("iz")))
+    *outer, inner = axes
+    last = axes[inner][2] - 1
+    lines = math.prod(axes[name][2] for name in outer)
+    line, step = F.lit(0).cast("long"), 1
+    for name in reversed(outer):
+        line, step = line + F.col(f"i{name}").cast("long") * step, step * axes[name][2]
+    i = f"i{inner}"
+    marks = F.when(F.col(i) == _WHOLE, F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).otherwise(F.array(line))
+    seen = found.select("volume_id", *carry, F.explode(marks).alias("_line"), F.when(F.col(i) != _WHOLE, F.struct(i, *moments)).alias("_cell"))
+    rows = seen.groupBy("volume_id", *carry, "_line").agg(F.sort_array(F.collect_list("_cell")).alias("_seen"))
+
+    def stretch(k: Column) -> Column:
+        """Unseen cells between seen ones number k - 1 and k, then the latter."""
+        a = F.coalesce(F.get("_seen", k - 1)[i], F.lit(-1)) + 1
+        b = F.coalesce(F.get("_seen", k)[i] - 1, F.lit(last))
+        gap = F.transform(F.sequence(a, F.greatest(a, b)), lambda n: F.struct(n.alias(i), *(F.lit(UNSEEN).alias(m) for m in moments)))
+        none = F.filter(gap, lambda c: F.lit(False))
+        return F.concat(F.when(a <= b, gap).otherwise(none), F.when(k < F.size("_seen"), F.slice("_seen", k + 1, 1)).otherwise(none))
+
+    cells = rows.select("volume_id", *carry, "_line", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_seen")), stretch))).alias("_c"))
+    numbers, step = {}, lines
+    for name in outer:
+        step //= axes[name][2]
+        numbers[f"i{name}"] = (F.floor(F.col("_line") / step) % axes[name][2]).cast("int")
+    out = cells.select("volume_id", *carry, *(v.alias(k) for k, v in numbers.items()), F.col(f"_c.{i}").alias(i), *(F.col(f"_c.{m}").alias(m) for m in moments))
+    return out.select("volume_id", *carry, *(f"i{name}" for name in axes), *(_at(a, F.col(f"i{name}")).alias(name) for name, a in axes.items()), *moments)
+
+
+def _needed(gates: DataFrame, moments, missing_key: str, valid_key: str, carry: tuple[str, ...]) -> DataFrame:
+    """Located gates with the columns that a grid takes."""
+    own = ["volume_id", *carry, "ray_idx", "gate_idx", "range_m", "altitude", "x0", "y0", "az", "el", "h", "s", "gx", "gy"]
+    return locate(gates).select(*dict.fromkeys([*own, *moments, missing_key, valid_key]))
+
+
+def grid_volume(gates: DataFrame, moments: dict[str, str], x: Axis, y: Axis, z: Axis, h_roi: Column | float, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Values on z, y, x. moments: name to linear, weighted or nearest."""
+    held = beam_heights(_needed(gates, moments, missing_key, valid_key, carry), power)
+    found = _volume(near_cells(held, x, y, h_roi, inflation), moments, z, h_roi, v_roi, inflation, power, missing_key, valid_key, carry)
+    return fill_grid(found, {"z": z, "y": y, "x": x}, list(moments), carry)
+
+
+def _volume(pairs: DataFrame, moments: dict[str, str], z: Axis, h_roi: Column | float, v_roi: float, inflation: float, power: float, missing_key: str, valid_key: str, carry: tuple[str, ...]) -> DataFrame:
+    pairs = _at_levels(pairs.withColumn("eff_v", inflated(F.col("d0"), v_roi, inflation)), z, "iy")
     dx, dy, dz = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("z") - F.col("altitude")
     pairs = pairs.withColumn("el_cell", _cell_elevation(dz, F.col("range_m")))
     angle = G.spherical_angle(F.col("az"), F.col("el"), _grid_azimuth(dx, dy), F.col("el_cell"))
     pairs = pairs.withColumn("r_cell", F.sin(F.sqrt(dx * dx + dy * dy) / R_EFF) * (R_EFF + dz) / F.cos("el_cell"))
-    pairs = pairs.withColumns({"w": _weight(angle, power, valid_key, min(h_roi, v_roi)), "dist": F.abs(F.col("h") - F.col("z"))})
-    found = _accumulate(pairs, ["iz", "iy", "ix"], moments, True, F.col(missing_key).isNotNull())
-    if columns is not None:
-        return found
-    return fill_grid(found, gates, spark, {"z": z, "y": y, "x": x}, list(moments))
+    roi = F.least(h_roi, F.lit(float(v_roi))) if isinstance(h_roi, Column) else F.lit(float(min(h_roi, v_roi)))
+    pairs = pairs.withColumns({"w": _weight(angle, power, valid_key, roi), "dist": F.abs(F.col("h") - F.col("z"))})
+    return _accumulate(pairs, ["iz", "iy", "ix"], moments, True, F.col(missing_key).isNotNull(), carry)
 
 
-def _weight(angle: Column, power: float, valid_key: str, roi: float) -> Column:
+def _weight(angle: Column, power: float, valid_key: str, roi: Column | float) -> Column:
     """(cell range / r) * beam weight; nothing where the cell is not visible, the field not valid or the range too far off."""
     off = F.abs(F.col("r_cell") - F.col("range_m")) > roi
     return F.when(F.col(valid_key).isNotNull() & F.col("r_cell").isNotNull() & ~off & (F.col("range_m") > 0), F.col("r_cell") / F.col("range_m") * _angle_weight(angle, power))
 
 
-def grid_rhi(gates: DataFrame, moments: dict[str, str], r: Axis, z: Axis, h_roi: float, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz") -> DataFrame:
-    """Values on z, r: a vertical section along the first ray's azimuth; neighbours by ground range only."""
-    spark = gates.sparkSession
-    first = gates.groupBy("volume_id").agg(F.min_by(F.radians("azimuth"), F.struct("ray_idx", "gate_idx")).alias("az_first"))
-    line = regular_grid(spark, r=r).withColumn("eff_v", inflated(F.abs("r"), v_roi, inflation))
-    cells = line.withColumn("_b", _bins(F.abs("r") - h_roi, F.abs("r") + h_roi, h_roi))
-    held = locate(gates).join(first, "volume_id").withColumn("_b", F.floor(F.col("s") / h_roi))
-    pairs = held.join(cells, "_b").filter(F.abs(F.col("s") - F.abs("r")) <= h_roi)
-    pairs = pairs.withColumn("iz", F.explode(_levels(z, power))).withColumn("z", _at(z, F.col("iz")))
+def grid_rhi(gates: DataFrame, moments: dict[str, str], r: Axis, z: Axis, h_roi: float, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Values on z, r: a vertical section along the first ray's azimuth; neighbours by ground range only.
+
+    The azimuth is the volume's column az_first (radians); where gates lack it, it is taken from them by a scan of its own.
+    """
+    if "az_first" not in gates.columns:
+        first = gates.groupBy("volume_id").agg(F.min_by(F.radians("azimuth"), F.struct("ray_idx", "gate_idx")).alias("az_first"))
+        gates = gates.join(first, "volume_id")
+    held = beam_heights(_needed(gates, [*moments, "az_first"], missing_key, valid_key, carry), power)
+    ahead = _numbers(r, F.col("s") - (h_roi + 1e-3), F.col("s") + (h_roi + 1e-3))
+    behind = _numbers(r, -F.col("s") - (h_roi + 1e-3), -F.col("s") + (h_roi + 1e-3))
+    pairs = held.withColumn("ir", F.explode(_and_whole(F.array_union(ahead, behind)))).withColumn("r", _at(r, F.col("ir")))
+    pairs = pairs.filter(_within("ir", F.abs(F.col("s") - F.abs("r")) <= h_roi)).withColumn("eff_v", inflated(F.abs("r"), v_roi, inflation))
+    pairs = _at_levels(pairs, z, "ir")
     dx = F.col("r") * F.sin("az_first") - F.col("x0")
     dy = F.col("r") * F.cos("az_first") - F.col("y0")
     dz = F.col("z") - F.col("altitude")
@@ -206,94 +294,126 @@ def grid_rhi(gates: DataFrame, moments: dict[str, str], r: Axis, z: Axis, h_roi:
     angle = F.abs(F.col("el_cell") - F.col("el"))
     pairs = pairs.withColumn("r_cell", F.sin(F.sqrt(dx * dx + dy * dy) / R_EFF) * (R_EFF + dz) / F.cos("el_cell"))
     pairs = pairs.withColumns({"w": _weight(angle, power, valid_key, min(h_roi, v_roi)), "dist": F.abs(F.col("h") - F.col("z"))})
-    found = _accumulate(pairs, ["iz", "ir"], moments, True, F.col(missing_key).isNotNull())
-    return fill_grid(found, gates, spark, {"z": z, "r": r}, list(moments))
+    found = _accumulate(pairs, ["iz", "ir"], moments, True, F.col(missing_key).isNotNull(), carry)
+    return fill_grid(found, {"z": z, "r": r}, list(moments), carry)
 
 
-def grid_column(gates: DataFrame, moments: dict[str, str], z: Axis, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz") -> DataFrame:
+def grid_column(gates: DataFrame, moments: dict[str, str], z: Axis, v_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz", carry: tuple[str, ...] = ()) -> DataFrame:
     """Values on z from all gates of a volume; no horizontal place is used, and the cell's range is z / cos(elevation)."""
-    spark = gates.sparkSession
     # the radius of the farthest level bounds the levels a gate is near to; the exact test follows
     far = max(abs(z[0]), abs(z[0] + z[1] * (z[2] - 1)))
-    pairs = locate(gates).withColumn("eff_v", F.lit(max(inflation * far, v_roi)))
-    pairs = pairs.withColumn("iz", F.explode(_levels(z, power))).withColumn("z", _at(z, F.col("iz")))
-    pairs = pairs.withColumn("eff_v", inflated(F.abs("z"), v_roi, inflation))
+    held = beam_heights(_needed(gates, moments, missing_key, valid_key, carry), power).withColumn("eff_v", F.lit(max(inflation * far, v_roi)))
+    pairs = _at_levels(held, z, None).withColumn("eff_v", inflated(F.abs("z"), v_roi, inflation))
     pairs = pairs.withColumn("el_cell", _cell_elevation(F.col("z") - F.col("altitude"), F.col("range_m")))
     pairs = pairs.withColumn("r_cell", F.when(F.col("el_cell").isNotNull(), F.col("z") / F.cos("el")))
     pairs = pairs.withColumns({"w": _weight(F.abs(F.col("el_cell") - F.col("el")), power, valid_key, v_roi), "dist": F.abs(F.col("h") - F.col("z"))})
-    found = _accumulate(pairs, ["iz"], moments, True, F.col(missing_key).isNotNull())
-    return fill_grid(found, gates, spark, {"z": z}, list(moments))
+    found = _accumulate(pairs, ["iz"], moments, True, F.col(missing_key).isNotNull(), carry)
+    return fill_grid(found, {"z": z}, list(moments), carry)
 
 
-def grid_ppi(gates: DataFrame, moments: dict[str, str], x: Axis, y: Axis, h_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz") -> DataFrame:
+def grid_ppi(gates: DataFrame, moments: dict[str, str], x: Axis, y: Axis, h_roi: float, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz", carry: tuple[str, ...] = ()) -> DataFrame:
     """Values on y, x of one scan; planar ranges, no vertical test."""
-    spark = gates.sparkSession
-    flat, far = _flat(spark, x, y, h_roi, inflation)
-    pairs = near_columns(locate(gates), flat, far)
+    pairs = near_cells(_needed(gates, moments, missing_key, valid_key, carry), x, y, h_roi, inflation)
     dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     angle = G.spherical_angle(F.col("az"), F.col("el"), _grid_azimuth(dx, dy), F.col("el"))
     pairs = pairs.withColumn("r_cell", F.sqrt(dx * dx + dy * dy)).withColumn("w", _weight(angle, power, valid_key, h_roi))
-    found = _accumulate(pairs, ["iy", "ix"], moments, False, F.col(missing_key).isNotNull())
-    return fill_grid(found, gates, spark, {"y": y, "x": x}, list(moments))
-
+    found = _accumulate(pairs, ["iy", "ix"], moments, False, F.col(missing_key).isNotNull(), carry)
+    return fill_grid(found, {"y": y, "x": x}, list(moments), carry)
 
-def _flat(spark: SparkSession, x: Axis, y: Axis, h_roi: float, inflation: float) -> tuple[DataFrame, float]:
-    far = math.hypot(max(abs(x[0]), abs(x[0] + x[1] * (x[2] - 1))), max(abs(y[0]), abs(y[0] + y[1] * (y[2] - 1))))
-    d0 = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    return regular_grid(spark, y=y, x=x).withColumn("eff_h", inflated(d0, h_roi, inflation)), max(inflation * far, h_roi)
 
-
-def grid_composite(gates: DataFrame, moments: list[str], x: Axis, y: Axis, h_roi: float, inflation: float, missing_key: str = "sqi", valid_key: str = "dbz") -> DataFrame:
+def grid_composite(gates: DataFrame, moments: list[str], x: Axis, y: Axis, h_roi: float, inflation: float, missing_key: str = "sqi", valid_key: str = "dbz", carry: tuple[str, ...] = ()) -> DataFrame:
     """All moments of the near gate with the largest valid field; NO_VALID where it misses one, or gates near have none."""
-    spark = gates.sparkSession
-    flat, far = _flat(spark, x, y, h_roi, inflation)
-    held = locate(gates).select("volume_id", "ray_idx", "gate_idx", "gx", "gy", *dict.fromkeys([*moments, missing_key, valid_key]))
-    pairs = near_columns(held, flat, far)
+    held = locate(gates).select(*dict.fromkeys(["volume_id", *carry, "ray_idx", "gate_idx", "gx", "gy", *moments, missing_key, valid_key]))
+    pairs = near_cells(held, x, y, h_roi, inflation)
     best = F.max(F.when(F.col(valid_key).isNotNull(), F.struct(F.col(valid_key).alias("v"), (-F.col("ray_idx")).alias("a"), (-F.col("gate_idx")).alias("b"), F.struct(*moments).alias("m"))))
-    found = pairs.groupBy("volume_id", "iy", "ix").agg(best.alias("best"), F.max(F.col(missing_key).isNotNull()).alias("seen"))
-    found = found.select("volume_id", "iy", "ix", *(F.when(F.col("seen"), F.coalesce(f"best.m.{m}", F.lit(NO_VALID))).otherwise(UNSEEN).alias(m) for m in moments))
-    return fill_grid(found, gates, spark, {"y": y, "x": x}, moments)
+    found = pairs.groupBy("volume_id", *carry, "iy", "ix").agg(best.alias("best"), F.max(F.col(missing_key).isNotNull()).alias("seen"))
+    found = found.select("volume_id", *carry, "iy", "ix", *(F.when(F.col("seen"), F.coalesce(f"best.m.{m}", F.lit(NO_VALID))).otherwise(UNSEEN).alias(m) for m in moments))
+    return fill_grid(found, {"y": y, "x": x}, moments, carry)
 
 
-def with_latlon(grid: DataFrame, lat0: float, lon0: float) -> DataFrame:
+def with_latlon(grid: DataFrame, lat0: Column | float, lon0: Column | float) -> DataFrame:
     """A grid on y, x with the latitude and longitude of its cells."""
     lat, lon = G.tm_inverse(F.col("x"), F.col("y"), lat0, lon0)
     return grid.withColumns({"lat": lat, "lon": lon})
 
 
-def place_radar(rays: DataFrame, lat0: float, lon0: float) -> DataFrame:
+def place_radar(rays: DataFrame, lat0: Column | float, lon0: Column | float) -> DataFrame:
     """rays with x0, y0: the radar's place from a reference, ray by ray for moving platforms."""
     x, y = G.tm_forward(F.col("latitude").cast("double"), F.col("longitude").cast("double"), lat0, lon0)
     return rays.withColumns({"x0": x, "y0": y})
 
 
-def radar_volume(gates, moments, x, y, z, inflation, power, **keys) -> DataFrame:
-    """grid_volume with radii of three quarters of the increments."""
-    return grid_volume(gates, moments, x, y, z, 0.75 * x[1], 0.75 * z[1], inflation, power, **keys)
+def cut(degrees: Column, increment: float) -> Column:
+    """A latitude or longitude cut towards zero to a multiple of the increment."""
+    ratio = degrees / increment
+    whole = F.when(ratio < 0, F.ceil(ratio)).otherwise(F.floor(ratio))
+    return F.when(F.abs(ratio - F.round(ratio)) > 1e-9, whole * increment).otherwise(degrees)
+
+
+def reference(rays: DataFrame, increment: float | None = None) -> DataFrame:
+    """volume_id, lat0, lon0, az_first: each volume's reference, which is the place of its first ray, and that ray's azimuth.
+
+    increment: the reference is cut to multiples of so many degrees.
+    """
+    first = rays.groupBy("volume_id").agg(F.min_by(F.struct("latitude", "longitude", "azimuth"), "ray_idx").alias("f"))
+    lat0, lon0 = (F.col(f"f.{c}").cast("double") for c in ("latitude", "longitude"))
+    if increment is not None:
+        lat0, lon0 = cut(lat0, increment), cut(lon0, increment)
+    return first.select("volume_id", lat0.alias("lat0"), lon0.alias("lon0"), F.radians(F.col("f.azimuth").cast("double")).alias("az_first"))
+
+
+def placed(gates: DataFrame, rays: DataFrame, increment: float | None = None) -> DataFrame:
+    """gates with their rays' angles, altitude and place (x0, y0) from the volume's own reference (lat0, lon0, az_first).
+
+    All volumes of a table are placed at once, each by its own first ray. Work that belongs to rays is done on rays.
+    """
+    own = place_radar(rays.join(reference(rays, increment), "volume_id"), F.col("lat0"), F.col("lon0"))
+    angles = ["azimuth", "elevation", "altitude"]
+    own = own.select("volume_id", "ray_idx", *(F.col(c).cast("double").alias(c) for c in angles), "x0", "y0", "lat0", "lon0", "az_first")
+    return gates.drop(*angles, "x0", "y0", "lat0", "lon0", "az_first").join(own, ["volume_id", "ray_idx"])
 
 
-def radar_rhi(gates, moments, r, z, inflation, power, **keys) -> DataFrame:
-    return grid_rhi(gates, moments, r, z, 0.75 * r[1], 0.75 * z[1], inflation, power, **keys)
+def radar_volume(gates: DataFrame, rays: DataFrame, moments: dict[str, str], x: Axis, y: Axis, z: Axis, inflation: float, power: float, **keys) -> DataFrame:
+    """grid_volume around each volume's first ray, with radii of three quarters of the increments, and the places of the cells."""
+    out = grid_volume(placed(gates, rays), moments, x, y, z, 0.75 * x[1], 0.75 * z[1], inflation, power, carry=("lat0", "lon0"), **keys)
+    return with_latlon(out, F.col("lat0"), F.col("lon0"))
 
 
-def radar_ppi(gates, moments, x, y, inflation, power, **keys) -> DataFrame:
-    return grid_ppi(gates, moments, x, y, 0.75 * x[1], inflation, power, **keys)
+def radar_rhi(gates: DataFrame, rays: DataFrame, moments: dict[str, str], r: Axis, z: Axis, inflation: float, power: float, **keys) -> DataFrame:
+    out = grid_rhi(placed(gates, rays), moments, r, z, 0.75 * r[1], 0.75 * z[1], inflation, power, carry=("lat0", "lon0", "az_first"), **keys)
+    lat, lon = G.tm_inverse(F.col("r") * F.sin("az_first"), F.col("r") * F.cos("az_first"), F.col("lat0"), F.col("lon0"))
+    return out.withColumns({"lat": lat, "lon": lon})
 
 
-def radar_composite(gates, moments, x, y, inflation, **keys) -> DataFrame:
-    return grid_composite(gates, moments, x, y, 0.75 * x[1], inflation, **keys)
+def radar_ppi(gates: DataFrame, rays: DataFrame, moments: dict[str, str], x: Axis, y: Axis, inflation: float, power: float, **keys) -> DataFrame:
+    out = grid_ppi(placed(gates, rays), moments, x, y, 0.75 * x[1], inflation, power, carry=("lat0", "lon0"), **keys)
+    return with_latlon(out, F.col("lat0"), F.col("lon0"))
 
 
-def radar_column(gates, moments, z, inflation, power, **keys) -> DataFrame:
-    return grid_column(gates, moments, z, 0.75 * z[1], inflation, power, **keys)
+def radar_composite(gates: DataFrame, rays: DataFrame, moments: list[str], x: Axis, y: Axis, inflation: float, **keys) -> DataFrame:
+    out = grid_composite(placed(gates, rays), moments, x, y, 0.75 * x[1], inflation, carry=("lat0", "lon0"), **keys)
+    return with_latlon(out, F.col("lat0"), F.col("lon0"))
 
 
-def radar_latlon_volume(gates: DataFrame, moments: dict[str, str], lat0: float, lon0: float, latmin: float, latdim: int, lonmin: float, londim: int, degincr: float, z: Axis, inflation: float, power: float, **keys) -> DataFrame:
-    """A volume on regular degrees; gates' x0, y0 must be from the cut reference (latlon_axes)."""
-    a = latlon_axes(lat0, lon0, latmin, latdim, lonmin, londim, degincr)
-    flat = regular_grid(gates.sparkSession, lat=a["lat"], lon=a["lon"])
-    x, y = G.tm_forward(F.col("lat"), F.col("lon"), a["lat0"], a["lon0"])
-    columns = flat.select(F.col("ilat").alias("iy"), F.col("ilon").alias("ix"), "lat", "lon", x.alias("x"), y.alias("y"))
-    found = grid_volume(gates, moments, (0, 1, 1), (0, 1, 1), z, a["h_roi"], 0.75 * z[1], inflation, power, columns=columns, **keys)
-    named = found.withColumnsRenamed({"iy": "ilat", "ix": "ilon"})
-    return fill_grid(named, gates, gates.sparkSession, {"z": z, "lat": a["lat"], "lon": a["lon"]}, list(moments))
+def radar_column(gates: DataFrame, rays: DataFrame, moments: dict[str, str], z: Axis, inflation: float, power: float, **keys) -> DataFrame:
+    out = grid_column(placed(gates, rays), moments, z, 0.75 * z[1], inflation, power, carry=("lat0", "lon0"), **keys)
+    return out.withColumns({"lat": F.col("lat0"), "lon": F.col("lon0")})
+
+
+def latlon_axes(lat0: Column, lon0: Column, latmin: float, latdim: int, lonmin: float, londim: int, degincr: float) -> tuple[Axis, Axis, Column]:
+    """The latitude and longitude axes of a regular degree grid around a cut reference, and its radius of influence.
+
+    The minima are offsets to the reference, rounded to two digits.
+    """
+    lat_km, lon_km = G.degree_lengths(lat0)
+    roi = 0.75 * degincr * 1000.0 * F.sqrt(lat_km * lat_km + lon_km * lon_km)
+    return (F.round(lat0 + latmin, 2), degincr, latdim), (F.round(lon0 + lonmin, 2), degincr, londim), roi
+
+
+def radar_latlon_volume(gates: DataFrame, rays: DataFrame, moments: dict[str, str], latmin: float, latdim: int, lonmin: float, londim: int, degincr: float, z: Axis, inflation: float, power: float, missing_key: str = "sqi", valid_key: str = "dbz") -> DataFrame:
+    """A volume on regular degrees around each volume's first ray, cut to multiples of degincr."""
+    carry = ("lat0", "lon0")
+    lat, lon, roi = latlon_axes(F.col("lat0"), F.col("lon0"), latmin, latdim, lonmin, londim, degincr)
+    held = beam_heights(_needed(placed(gates, rays, degincr), moments, missing_key, valid_key, carry), power)
+    found = _volume(near_degrees(held, lat, lon, roi, inflation), moments, z, roi, 0.75 * z[1], inflation, power, missing_key, valid_key, carry)
+    return fill_grid(found.withColumnsRenamed({"iy": "ilat", "ix": "ilon"}), {"z": z, "lat": lat, "lon": lon}, list(moments), carry)

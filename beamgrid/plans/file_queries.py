@@ -53,22 +53,48 @@ def join_rays(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ray_idx", "gate_idx", "azimuth", "elevation", "time", R._r(F.col("dbz")).alias("dbz"))
 
 
+def _flying(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(gates, rays) of sweeps as volumes, each begun elsewhere, whose platform moves from ray to ray."""
+    g = volume(spark, d).withColumn("volume_id", F.col("sweep_idx"))
+    g = g.withColumns({"latitude": LAT0 + 0.31 * F.col("sweep_idx") + 0.0004 * (F.col("ray_idx") % 50), "longitude": LON0 - 0.23 * F.col("sweep_idx") + 0.0006 * (F.col("ray_idx") % 37)})
+    rays = g.filter("gate_idx = 0").select("volume_id", "ray_idx", "azimuth", "elevation", "altitude", "latitude", "longitude")
+    return g.drop("azimuth", "elevation", "altitude", "latitude", "longitude", "x0", "y0"), rays
+
+
+def _driven(df: DataFrame, keys: list[str], moments=KINDS) -> DataFrame:
+    return df.withColumnRenamed("volume_id", "sweep_idx").select("sweep_idx", *keys, *(R._r(F.col(c), 6).alias(c) for c in ("lat", "lon")), *(R._r(F.col(m)).alias(m) for m in moments))
+
+
 def radar_volume(spark: SparkSession, d: str) -> DataFrame:
-    return R._grid_shown(grid.radar_volume(volume(spark, d), KINDS, X, Y, Z, INFLATION, POWER), ["iz", "iy", "ix"], KINDS)
+    return _driven(grid.radar_volume(*_flying(spark, d), KINDS, X, Y, Z, INFLATION, POWER), ["iz", "iy", "ix"])
 
 
 def radar_composite(spark: SparkSession, d: str) -> DataFrame:
-    g = R.qc.threshold_below(volume(spark, d), ["dbz", "vel", "width"], F.col("sqi"), model.SQI)
-    return R._grid_shown(grid.radar_composite(g, ["dbz", "vel", "width"], X, Y, INFLATION), ["iy", "ix", "y", "x"], KINDS)
+    return _driven(grid.radar_composite(*_flying(spark, d), list(KINDS), X, Y, INFLATION), ["iy", "ix"])
 
 
 def radar_column(spark: SparkSession, d: str) -> DataFrame:
-    return R._grid_shown(grid.radar_column(volume(spark, d), KINDS, Z, INFLATION, POWER), ["iz"], KINDS)
+    return _driven(grid.radar_column(*_flying(spark, d), KINDS, Z, INFLATION, POWER), ["iz"])
+
+
+def grid_ppi(spark: SparkSession, d: str) -> DataFrame:
+    return _driven(grid.radar_ppi(*_flying(spark, d), KINDS, X, Y, INFLATION, POWER), ["iy", "ix"])
+
+
+def grid_rhi(spark: SparkSession, d: str) -> DataFrame:
+    return _driven(grid.radar_rhi(*_flying(spark, d), KINDS, R.R, Z, INFLATION, POWER), ["iz", "ir"])
 
 
 def radar_latlon_volume(spark: SparkSession, d: str) -> DataFrame:
-    out = grid.radar_latlon_volume(volume(spark, d), KINDS, LAT0, LON0, *LAT, *LON, STEP, LEVELS, INFLATION, POWER)
-    return R._grid_shown(out, ["iz", "ilat", "ilon"], KINDS)
+    return _driven(grid.radar_latlon_volume(*_flying(spark, d), KINDS, *LAT, *LON, STEP, LEVELS, INFLATION, POWER), ["iz", "ilat", "ilon"])
+
+
+def volume_reference(spark: SparkSession, d: str) -> DataFrame:
+    """The reference of every sweep by its first ray, and the same cut to tenths of a degree."""
+    _, rays = _flying(spark, d)
+    cut = grid.reference(rays, 0.1).select("volume_id", F.col("lat0").alias("lat_cut"), F.col("lon0").alias("lon_cut"))
+    out = grid.reference(rays).join(cut, "volume_id")
+    return out.select(F.col("volume_id").alias("sweep_idx"), *(R._r(F.col(c), 8).alias(c) for c in ("lat0", "lon0", "az_first", "lat_cut", "lon_cut")))
 
 
 def _by_sweep(g: DataFrame) -> DataFrame:
@@ -95,7 +121,7 @@ def volume_files(spark: SparkSession, d: str) -> DataFrame:
 def grid_files(spark: SparkSession, d: str) -> DataFrame:
     """The composites of all sweeps written as grid files with their places and times, and read back."""
     g = _by_sweep(volume(spark, d))
-    out = grid.with_latlon(grid.radar_composite(g, ["dbz", "vel", "width"], X, Y, INFLATION), LAT0, LON0)
+    out = grid.with_latlon(grid.grid_composite(g, ["dbz", "vel", "width"], X, Y, R.H_ROI, INFLATION), LAT0, LON0)
     about = model.volume_times(_rays(g)).select("volume_id", "start", "stop", F.lit(LAT0).alias("lat0"), F.lit(LON0).alias("lon0"), F.lit(30.0).alias("heading"))
     folder = scratch(spark, "grids")
     rounded = out.withColumns({m: R._r(F.col(m)) for m in KINDS})
@@ -109,7 +135,7 @@ def arriving_volumes(spark: SparkSession, d: str) -> DataFrame:
     g = _by_sweep(volume(spark, d)).drop("time")
     source, sink, state = (scratch(spark, x) for x in ("arrivals", "gridded", "state"))
     g.repartition("volume_id").write.parquet(source)
-    process = lambda b: grid.radar_composite(b, ["dbz", "vel", "width"], X, Y, INFLATION)
+    process = lambda b: grid.grid_composite(b, ["dbz", "vel", "width"], X, Y, R.H_ROI, INFLATION)
     grid_arrivals(spark, source, g.schema, sink, state, process, once=True).awaitTermination()
     return R._grid_shown(spark.read.parquet(sink), ["volume_id", "iy", "ix"], KINDS)
 
@@ -129,7 +155,7 @@ def _e(v: float) -> str:
 
 
 def _tm(lat: str, lon: str) -> tuple[str, str]:
-    """SQL of the projected x and y of a latitude and a longitude."""
+    """SQL of the projected x and y of a latitude and a longitude from LAT0, LON0."""
     radius, forward, _ = G._kruger()
     t = f"sinh(atanh(sin(radians({lat}))) - {_e(G._E)} * atanh({_e(G._E)} * sin(radians({lat}))))"
     dl = f"radians({lon} - ({_e(LON0)}))"
@@ -139,6 +165,82 @@ def _tm(lat: str, lon: str) -> tuple[str, str]:
     return f"{_e(radius)} * ({x})", f"{_e(radius)} * ({y}) - ({_e(G.meridian_arc(LAT0))})"
 
 
+def _projected(source: str, lat: str, lon: str, lat0: str, lon0: str, x: str, y: str) -> str:
+    """SQL of source's rows with x and y of a latitude and a longitude from a reference in columns."""
+    radius, forward, _ = G._kruger()
+
+    def conformal(v: str) -> str:
+        return f"sinh(atanh(sin(radians({v}))) - {_e(G._E)} * atanh({_e(G._E)} * sin(radians({v}))))"
+
+    def series(base: str, f: str, g: str) -> str:
+        return " + ".join([base, *(f"{_e(a)} * {f}({2 * j}e0 * _xi) * {g}({2 * j}e0 * _eta)" for j, a in enumerate(forward, 1))])
+
+    arc = " + ".join(["_xi0", *(f"{_e(a)} * sin({2 * j}e0 * _xi0)" for j, a in enumerate(forward, 1))])
+    first = f"SELECT *, {conformal(lat)} AS _t, radians({lon} - {lon0}) AS _dl, atan({conformal(lat0)}) AS _xi0 FROM {source}"
+    second = f"SELECT *, atan2(_t, cos(_dl)) AS _xi, asinh(sin(_dl) / sqrt(_t * _t + cos(_dl) * cos(_dl))) AS _eta FROM ({first})"
+    return f"SELECT * EXCLUDE (_t, _dl, _xi0, _xi, _eta), {_e(radius)} * ({series('_eta', 'cos', 'sinh')}) AS {x}, {_e(radius)} * ({series('_xi', 'sin', 'cosh')} - ({arc})) AS {y} FROM ({second})"
+
+
+def _unprojected(source: str, x: str, y: str, keep: str) -> str:
+    """SQL of lat and lon of projected places by Newton steps on the forward series, which it inverts without the inverse one."""
+    steps = f"SELECT {keep}, {x} AS _x, {y} AS _y, lat0, lon0, lat0 + {y} / 110574e0 AS _lat, lon0 + {x} / (111320e0 * cos(radians(lat0))) AS _lon FROM {source}"
+    for k in range(4):
+        forward = _projected(f"({steps})", "_lat", "_lon", "lat0", "lon0", "_fx", "_fy")
+        steps = f"SELECT {keep}, _x, _y, lat0, lon0, _lat + (_y - _fy) / 110574e0 AS _lat, _lon + (_x - _fx) / (111320e0 * cos(radians(_lat))) AS _lon FROM ({forward})"
+    return f"SELECT {keep}, round(_lat, 6) + 0e0 AS lat, round(_lon, 6) + 0e0 AS lon FROM ({steps})"
+
+
+def _driver_sql(kernel: str, keys: list[str], cell: list[str], place: str, cut: str = "{v}") -> str:
+    """SQL of a driver's grid: each sweep is placed from its first ray.
+
+    kernel: tables up to a last SELECT of the cells' values; place: SQL of lat and lon by section and the numbers in `cell`.
+    """
+    rays = f"SELECT sweep_idx, ray_idx, azimuth, {_e(LAT0)} + 0.31e0 * sweep_idx + 0.0004e0 * (ray_idx % 50) AS latitude, {_e(LON0)} - 0.23e0 * sweep_idx + 0.0006e0 * (ray_idx % 37) AS longitude FROM g WHERE gate_idx = 0"
+    first = f"SELECT sweep_idx AS section, {cut.format(v='arg_min(latitude, ray_idx)')} AS lat0, {cut.format(v='arg_min(longitude, ray_idx)')} AS lon0, radians(arg_min(azimuth, ray_idx)) AS az_first FROM rays GROUP BY sweep_idx"
+    own = _projected("(SELECT section, r.ray_idx AS own_ray, latitude, longitude, lat0, lon0, az_first FROM rays r JOIN ref ON r.sweep_idx = section)", "latitude", "longitude", "lat0", "lon0", "px", "py")
+    placed = f"rays AS ({rays}), ref AS MATERIALIZED ({first}), own AS MATERIALIZED ({own}), placed AS (SELECT g.* EXCLUDE (x0, y0), own.px AS x0, own.py AS y0, own.az_first, own.section FROM g JOIN own ON g.ray_idx = own.own_ray), {R._LOCATED.replace('FROM g)', 'FROM placed)')}"
+    at = kernel.rindex("SELECT c.")
+    shown = ", ".join([f"o.section AS sweep_idx, {', '.join('o.' + k for k in keys)}, p.lat, p.lon", *KINDS])
+    return R._sql(f"SELECT {shown} FROM values_ o JOIN places p USING (section{''.join(', ' + c for c in cell)})", f"{placed}, {kernel[:at].rstrip()}, values_ AS ({kernel[at:]}), places AS ({place})")
+
+
+_SECTIONS = "(SELECT DISTINCT sweep_idx AS section FROM g) n"
+_FLAT = f"SELECT n.section, f.* FROM ({R._FLAT}) f, {_SECTIONS}"
+_ARC = f"sin(sqrt((x - x0) ^ 2 + (y - y0) ^ 2) / {R._REFF}) * ({R._REFF} + z - altitude) / cos(elc)"
+_OWN = f"c.section = q.section AND {R._PLANAR}"
+
+
+def _flat_places() -> str:
+    return _unprojected("(SELECT DISTINCT section, iy, ix, x, y, lat0, lon0 FROM cells JOIN ref USING (section))", "x", "y", "section, iy, ix")
+
+
+def _composite_kernel() -> str:
+    best = ", ".join(f"arg_max({{'v': {m}}}, {{'v': dbz, 'r': -ray_idx, 'g': -gate_idx}}) FILTER (dbz IS NOT NULL).v AS {m}" for m in KINDS)
+    found = f"b AS (SELECT c.section, iy, ix, max(CASE WHEN sqi IS NOT NULL THEN 1 ELSE 0 END) AS seen, {best} FROM cells c JOIN q ON {_OWN} GROUP BY c.section, iy, ix)"
+    shown = ", ".join(f"round(CASE WHEN seen = 1 THEN coalesce(b.{m}, -9999e0) ELSE -32768e0 END, 4) + 0e0 AS {m}" for m in KINDS)
+    return f"cells AS MATERIALIZED ({_FLAT}), {found} SELECT c.section, c.iy, c.ix, {shown} FROM cells c LEFT JOIN b USING (section, iy, ix)"
+
+
+def _degree_cells() -> str:
+    lat, lon = (f"round({v}0 + {_e(float(first))}, 2) + {_e(STEP)} * {i}.range" for v, first, i in (("lat", LAT[0], "j"), ("lon", LON[0], "i")))
+    roi = f"0.75e0 * {_e(STEP)} * 1e3 * sqrt((111.13209e0 - 0.56605e0 * cos(2e0 * radians(lat0))) ^ 2 + (111.41513e0 * cos(radians(lat0))) ^ 2)"
+    flat = f"(SELECT section, lat0, lon0, CAST(j.range AS INT) AS ilat, CAST(i.range AS INT) AS ilon, {lat} AS lat, {lon} AS lon, {roi} AS roi FROM ref, range({LAT[1]}) j, range({LON[1]}) i)"
+    wide = "greatest(0.01e0 * sqrt(x * x + y * y), {})"
+    return f"SELECT p.* EXCLUDE (lat0, lon0, roi), {wide.format('roi')} AS eff_h, {wide.format('187.5e0')} AS eff_v, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z FROM ({_projected(flat, 'lat', 'lon', 'lat0', 'lon0', 'x', 'y')}) p, range(9) k"
+
+
+_CUT = "(CASE WHEN abs({{v}} / {d} - round({{v}} / {d})) > 1e-9 THEN trunc({{v}} / {d}) * {d} ELSE {{v}} END)"
+_HAVERSINE = R._HAVERSINE.format(e="elc", a=R._AZ)
+_ROUNDED_FAR = "abs(rc - range_m) > 187.5e0"
+DRIVERS = {
+    "radar_volume": _driver_sql(R._kernel(f"SELECT c.*, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z FROM ({_FLAT}) c, range(9) k", _OWN, "abs(h - z)", "z", _HAVERSINE, _ARC, _ROUNDED_FAR, ["section", "iz", "iy", "ix"]), ["iz", "iy", "ix"], ["iy", "ix"], _flat_places()),
+    "radar_composite": _driver_sql(_composite_kernel(), ["iy", "ix"], ["iy", "ix"], _flat_places()),
+    "radar_column": _driver_sql(R._kernel(f"SELECT n.section, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k, {_SECTIONS}", "c.section = q.section", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", _ROUNDED_FAR, ["section", "iz"]), ["iz"], [], "SELECT section, round(lat0, 6) + 0e0 AS lat, round(lon0, 6) + 0e0 AS lon FROM ref"),
+    "grid_ppi": _driver_sql(R._kernel(_FLAT, _OWN, "0e0", "0e0", R._HAVERSINE.format(e="el", a=R._AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["section", "iy", "ix"], flag_any=True), ["iy", "ix"], ["iy", "ix"], _flat_places()),
+    "grid_rhi": _driver_sql(R._rhi_kernel("SELECT DISTINCT sweep_idx AS section FROM g", "section", "az_first"), ["iz", "ir"], ["ir"], _unprojected("(SELECT DISTINCT section, ir, r * sin(az_first) AS x, r * cos(az_first) AS y, lat0, lon0 FROM cells JOIN ref USING (section))", "x", "y", "section, ir")),
+    "radar_latlon_volume": _driver_sql(R._kernel(_degree_cells(), _OWN, "abs(h - z)", "z", _HAVERSINE, _ARC, _ROUNDED_FAR, ["section", "iz", "ilat", "ilon"]), ["iz", "ilat", "ilon"], ["ilat", "ilon"], "SELECT DISTINCT section, ilat, ilon, round(lat, 6) + 0e0 AS lat, round(lon, 6) + 0e0 AS lon FROM cells", _CUT.format(d=_e(STEP))),
+}
+
 _PLACED = f"m AS (SELECT *, {_e(LAT0)} + 0.013e0 * (ray_idx % 50) AS latitude, {_e(LON0)} + 0.017e0 * (ray_idx % 37) - 0.003e0 * gate_idx AS longitude FROM g)"
 
 
@@ -151,33 +253,22 @@ def _composite(source: str, select: str) -> str:
     return R._sql(select, f"{R._LOCATED}, {cells}, {found}, r AS (SELECT c.sweep, 's' || c.sweep AS volume_id, c.iy, c.ix, c.y, c.x, {shown} FROM cells c LEFT JOIN b USING (sweep, iy, ix)){source}")
 
 
-def _latlon_sql() -> str:
-    a = grid.latlon_axes(LAT0, LON0, *LAT, *LON, STEP)
-    lat, lon = (f"({_e(a[k][0])} + {_e(a[k][1])} * {v}.range)" for k, v in (("lat", "j"), ("lon", "i")))
-    x, y = _tm("lat", "lon")
-    flat = f"SELECT *, {x} AS x, {y} AS y FROM (SELECT CAST(j.range AS INT) AS ilat, CAST(i.range AS INT) AS ilon, {lat} AS lat, {lon} AS lon FROM range({a['lat'][2]}) j, range({a['lon'][2]}) i)"
-    wide = lambda roi: f"greatest(0.01e0 * sqrt(x * x + y * y), {_e(roi)})"
-    cells = f"SELECT p.*, {wide(a['h_roi'])} AS eff_h, {wide(187.5)} AS eff_v, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z FROM ({flat}) p, range(9) k"
-    r_cell = f"sin(sqrt((x - x0) ^ 2 + (y - y0) ^ 2) / {R._REFF}) * ({R._REFF} + z - altitude) / cos(elc)"
-    return R._sql("", R._LOCATED + ", " + R._kernel(cells, R._PLANAR, "abs(h - z)", "z", R._HAVERSINE.format(e="elc", a=R._AZ), r_cell, "abs(rc - range_m) > 187.5e0", ["iz", "ilat", "ilon"]))
-
-
 def _file(c: str, offset: str = "0e0") -> str:
     """SQL of a packed value, as read back in single precision."""
     n = f"round(({c} - {offset}) / 0.01e0)"
     return f"round(CAST(CAST(CASE WHEN {n} BETWEEN -32767 AND 32767 THEN {n} * 0.01e0 + {offset} END AS FLOAT) AS DOUBLE), 3) + 0e0"
 
 
-QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, radar_latlon_volume, volume_files, grid_files, arriving_volumes, merge_volumes)}
+QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, grid_files, arriving_volumes, merge_volumes)}
 
-SQL = {
+SQL = DRIVERS | {
     "place_radar": R._sql("SELECT ray_idx, gate_idx, round({}, 3) + 0e0 AS x0, round({}, 3) + 0e0 AS y0 FROM m".format(*_tm("latitude", "longitude")), _PLACED),
     "tm_inverse": R._sql("SELECT ray_idx, gate_idx, round(latitude, 8) + 0e0 AS latitude, round(longitude, 8) + 0e0 AS longitude FROM m", _PLACED),
     "join_rays": R._sql("SELECT g.ray_idx, g.gate_idx, r.azimuth, r.elevation, r.time, round(g.dbz, 4) + 0e0 AS dbz FROM g JOIN (SELECT ray_idx, arg_min(azimuth, gate_idx) AS azimuth, arg_min(elevation, gate_idx) AS elevation, arg_min(time, gate_idx) AS time FROM g GROUP BY ray_idx) r USING (ray_idx)"),
-    "radar_volume": R.SQL["grid_volume"],
-    "radar_composite": R.SQL["grid_composite"],
-    "radar_column": R.SQL["grid_column"],
-    "radar_latlon_volume": _latlon_sql(),
+    "volume_reference": R._sql(
+        f"SELECT sweep_idx, round(lat, 8) + 0e0 AS lat0, round(lon, 8) + 0e0 AS lon0, round(az, 8) + 0e0 AS az_first, round({_CUT.format(d='0.1e0').format(v='lat')}, 8) + 0e0 AS lat_cut, round({_CUT.format(d='0.1e0').format(v='lon')}, 8) + 0e0 AS lon_cut FROM r",
+        f"r AS (SELECT sweep_idx, {_e(LAT0)} + 0.31e0 * sweep_idx + 0.0004e0 * (min(ray_idx) % 50) AS lat, {_e(LON0)} - 0.23e0 * sweep_idx + 0.0006e0 * (min(ray_idx) % 37) AS lon, radians(arg_min(azimuth, ray_idx)) AS az FROM g GROUP BY sweep_idx)",
+    ),
     "volume_files": R._sql(f"SELECT 's' || sweep_idx AS volume_id, CAST(ray_idx - min(ray_idx) OVER (PARTITION BY sweep_idx) AS INT) AS ray_idx, gate_idx, azimuth, elevation, {_file('dbz')} AS dbz, {_file('width', '327.68e0')} AS width, {_file('dbz')} AS dbz_l1, {_file('snr')} AS snr FROM g"),
     "grid_files": _composite(
         ", t AS (SELECT sweep_idx, arg_min(time, ray_idx) AS start, arg_max(time, ray_idx) AS stop FROM g WHERE gate_idx = 0 GROUP BY sweep_idx)",

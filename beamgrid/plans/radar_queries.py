@@ -157,9 +157,9 @@ def volume_time_span(spark, d):
 
 
 def regular_grid(spark, d):
-    """As many points as the volume has rays along x."""
-    n = volume(spark, d).select("ray_idx").distinct().count()
-    return grid.regular_grid(spark, z=Z, y=Y, x=(0.0, 1000.0, n))
+    """The points of a grid for every sweep that the volume has."""
+    sweeps = volume(spark, d).select(F.col("sweep_idx").alias("volume_id")).distinct()
+    return grid.volume_points(sweeps, z=Z, y=Y, x=X).withColumnRenamed("volume_id", "sweep_idx")
 
 
 def tile_name(spark, d):
@@ -201,24 +201,12 @@ def grid_volume(spark, d):
     return _grid_shown(grid.grid_volume(volume(spark, d), KINDS, X, Y, Z, H_ROI, V_ROI, INFLATION, POWER), ["iz", "iy", "ix"], KINDS)
 
 
-def grid_ppi(spark, d):
-    """Every sweep as a volume of its own, with the radius that the increment gives."""
-    g = volume(spark, d).withColumn("volume_id", F.col("sweep_idx"))
-    return _grid_shown(grid.radar_ppi(g, KINDS, X, Y, INFLATION, POWER).withColumnRenamed("volume_id", "sweep_idx"), ["sweep_idx", "iy", "ix"], KINDS)
-
-
 def grid_ppi_sweeps(spark, d):
     """Every sweep as a volume of its own."""
     g = volume(spark, d).withColumn("volume_id", F.col("sweep_idx"))
     return _grid_shown(grid.grid_ppi(g, KINDS, X, Y, H_ROI, INFLATION, POWER).withColumnRenamed("volume_id", "sweep_idx"), ["sweep_idx", "iy", "ix"], KINDS)
 
 
-def grid_rhi(spark, d):
-    """Every azimuth's rays as a volume of their own, with the radii that the increments give."""
-    g = volume(spark, d).withColumn("volume_id", F.col("ray_idx") % 50)
-    return _grid_shown(grid.radar_rhi(g, KINDS, R, Z, INFLATION, POWER).withColumnRenamed("volume_id", "azimuth_idx"), ["azimuth_idx", "iz", "ir"], KINDS)
-
-
 def grid_rhi_azimuths(spark, d):
     """Every azimuth's rays as a volume of their own."""
     g = volume(spark, d).withColumn("volume_id", F.col("ray_idx") % 50)
@@ -236,7 +224,7 @@ def _sql(body: str, with_: str = "") -> str:
 _H = "(sqrt(range_m * range_m + 72157212444444.44e0 + 2e0 * range_m * 8494666.666666666e0 * sin(radians(elevation))) - 8494666.666666666e0 + altitude)"
 _H = _H.replace("72157212444444.44e0", "8494666.666666666e0 * 8494666.666666666e0")
 _S = f"(8494666.666666666e0 * asin(range_m * cos(radians(elevation)) / (8494666.666666666e0 + {_H})))"
-_LOCATED = f"p AS (SELECT *, {_H} AS h, {_S} AS s FROM g), q AS (SELECT *, x0 + s * sin(radians(azimuth)) AS gx, y0 + s * cos(radians(azimuth)) AS gy, radians(azimuth) AS az, radians(elevation) AS el FROM p)"
+_LOCATED = f"p AS (SELECT *, {_H} AS h, {_S} AS s FROM g), q AS MATERIALIZED (SELECT *, x0 + s * sin(radians(azimuth)) AS gx, y0 + s * cos(radians(azimuth)) AS gy, radians(azimuth) AS az, radians(elevation) AS el FROM p)"
 
 
 def _masked(bad: str, moments: list[str] = MOMENTS, skip: tuple[str, ...] = (), source: str = "g") -> str:
@@ -261,15 +249,15 @@ _IS_CLUTTER = f"coalesce(dbz >= 20 AND abs(vel) <= 10 AND width <= 6 AND {_H} <
 _REFF = "8494666.666666666e0"
 
 
-def _kernel(cells: str, on: str, dist: str, z: str, angle: str, r_cell: str, off: str, keys: list[str], eff_v: str = "eff_v", flag_any: bool = False) -> str:
-    """SQL of a weighted grid: pairs by brute force, then the rules for each moment."""
+def _kernel(cells: str, on: str, dist: str, z: str, angle: str, r_cell: str, off: str, keys: list[str], flag_any: bool = False, pairs: str = "cells c JOIN q") -> str:
+    """SQL of a weighted grid: pairs by brute force (or from an equal join, given as `pairs`), then the rules for each moment."""
     el = f"CASE WHEN abs((({z} - altitude + {_REFF}) ^ 2 - range_m ^ 2 - {_REFF} ^ 2) / (2e0 * range_m * {_REFF})) < 1 THEN asin((({z} - altitude + {_REFF}) ^ 2 - range_m ^ 2 - {_REFF} ^ 2) / (2e0 * range_m * {_REFF})) END"
     k = ", ".join(keys)
     near = "max(CASE WHEN sqi IS NOT NULL THEN 1 ELSE 0 END)" if flag_any else "arg_min(CASE WHEN sqi IS NOT NULL THEN 1 ELSE 0 END, {'d': dist, 'r': ray_idx, 'g': gate_idx})"
     reach = "true" if flag_any else "min(dist) <= max(eff_v)"
     return f"""
-cells AS ({cells}),
-pairs AS (SELECT c.*, q.*, {dist} AS dist{'' if flag_any else f', {el} AS elc'} FROM cells c JOIN q ON {on}),
+cells AS MATERIALIZED ({cells}),
+pairs AS (SELECT c.*, q.*, {dist} AS dist{'' if flag_any else f', {el} AS elc'} FROM {pairs} ON {on}),
 angled AS (SELECT *, {angle} AS angle, {r_cell} AS rc FROM pairs),
 weighed AS (SELECT *, CASE WHEN dbz IS NOT NULL AND rc IS NOT NULL AND NOT ({off}) AND exp(-79.43e0 * angle) >= 0.5e0 THEN rc / range_m * exp(-79.43e0 * angle) ELSE 0 END AS w FROM angled),
 found AS (SELECT {k}, {reach} AS reach, {near} AS flag, max(w) > 0 AS any_w,
@@ -288,7 +276,17 @@ _PLANAR = "(gx - x) * (gx - x) + (gy - y) * (gy - y) <= eff_h * eff_h"
 _AZ = "CASE WHEN pi() / 2 - atan2(y - y0, x - x0) < 0 THEN pi() / 2 - atan2(y - y0, x - x0) + 2 * pi() ELSE pi() / 2 - atan2(y - y0, x - x0) END"
 _HAVERSINE = "2e0 * asin(least(1e0, sqrt(sin(({e} - el) / 2) ^ 2 + cos(el) * cos({e}) * sin((({a}) - az) / 2) ^ 2)))"
 
-QUERIES = {f.__name__: f for f in (beam_height, beam_info, gate_position, azimuth_offset, rhohv_fix, platform_motion, db_linear, appx_inverse, spherical_angle, qc_copies, qc_below, qc_above, qc_four, clutter_mask, clutter_stats, height_mask, sector_mask, despeckle_range, despeckle_azimuth, phidp_std_mask, split_sweeps, volume_time_span, regular_grid, tile_name, terrain_mask, pack_int16, route_scans, grid_composite, grid_volume, grid_ppi, grid_ppi_sweeps, grid_rhi, grid_rhi_azimuths, grid_column)}
+
+
+def _rhi_kernel(sections: str, own: str, azimuth: str) -> str:
+    """SQL of vertical sections, each a volume: a gate meets the two points on either side of its ground range."""
+    cells = f"SELECT n.section, CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i, ({sections}) n"
+    between = f"(SELECT q.*, {own} AS own_section, CAST(floor(s / 500e0) AS INT) + unnest([-1, 0, 1, 2]) AS side FROM q) q JOIN cells c"
+    planar = f"sqrt((r * sin({azimuth}) - x0) ^ 2 + (r * cos({azimuth}) - y0) ^ 2)"
+    return _kernel(cells, "c.section = q.own_section AND c.ir = q.side AND abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin({planar} / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["section", "iz", "ir"], pairs=between)
+
+
+QUERIES = {f.__name__: f for f in (beam_height, beam_info, gate_position, azimuth_offset, rhohv_fix, platform_motion, db_linear, appx_inverse, spherical_angle, qc_copies, qc_below, qc_above, qc_four, clutter_mask, clutter_stats, height_mask, sector_mask, despeckle_range, despeckle_azimuth, phidp_std_mask, split_sweeps, volume_time_span, regular_grid, tile_name, terrain_mask, pack_int16, route_scans, grid_composite, grid_volume, grid_ppi_sweeps, grid_rhi_azimuths, grid_column)}
 
 SQL = {
     "beam_height": _sql(f"SELECT ray_idx, gate_idx, round({_H}, 4) + 0e0 AS height FROM g"),
@@ -316,7 +314,7 @@ SQL = {
     ),
     "split_sweeps": _sql("SELECT sweep_idx, ray_idx, any_value(azimuth) AS azimuth, count(dbz) AS n_dbz FROM g GROUP BY sweep_idx, ray_idx"),
     "volume_time_span": _sql("SELECT sweep_idx, arg_min(time, ray_idx) AS start, arg_max(time, ray_idx) AS stop FROM g WHERE gate_idx = 0 GROUP BY sweep_idx"),
-    "regular_grid": "SELECT CAST(k.range AS INT) AS iz, CAST(j.range AS INT) AS iy, CAST(i.range AS INT) AS ix, 250e0 * k.range AS z, 1e3 * j.range AS y, 1e3 * i.range AS x FROM range(9) k, range(26) j, (SELECT DISTINCT CAST(floor(event_id / 100) AS BIGINT) AS range FROM events) i",
+    "regular_grid": _sql("SELECT n.sweep_idx, CAST(k.range AS INT) AS iz, CAST(j.range AS INT) AS iy, CAST(i.range AS INT) AS ix, 250e0 * k.range AS z, 1e3 * j.range AS y, 1e3 * i.range AS x FROM range(9) k, range(26) j, range(21) i, (SELECT DISTINCT sweep_idx FROM g) n"),
     "tile_name": _sql("SELECT ray_idx, gate_idx, (CASE WHEN a < 0 THEN 'S' ELSE 'N' END) || lpad(CAST(CAST(floor(abs(a)) AS INT) + (a < 0)::INT AS VARCHAR), 2, '0') || (CASE WHEN b < 0 THEN 'W' ELSE 'E' END) || lpad(CAST(CAST(floor(abs(b)) AS INT) + (b < 0)::INT AS VARCHAR), 3, '0') AS tile FROM (SELECT *, dbz - 30e0 AS a, vel * 7e0 AS b FROM g)"),
     "terrain_mask": _sql(
         "SELECT ray_idx, gate_idx, round(CASE WHEN sqi IS NOT NULL AND n % 7 <> 0 AND n % 97 > 50 THEN NULL ELSE dbz END, 4) + 0e0 AS dbz, round(CASE WHEN sqi IS NOT NULL AND n % 7 <> 0 AND n % 97 > 50 THEN NULL ELSE vel END, 4) + 0e0 AS vel FROM l LEFT JOIN dem ON dem.r = round((ceil(lat) - lat) * 10) AND dem.c = round((lon - floor(lon)) * 10) AND lat BETWEEN -3 AND -2 AND lon BETWEEN -46 AND -45",
@@ -330,8 +328,6 @@ SQL = {
     ),
     "grid_volume": _sql("", _LOCATED + ", " + _kernel(_LEVELS.format(flat=_FLAT), _PLANAR, "abs(h - z)", "z", _HAVERSINE.format(e="elc", a=_AZ), f"sin(sqrt((x - x0) ^ 2 + (y - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["iz", "iy", "ix"])),
     "grid_ppi_sweeps": "SELECT sweep AS sweep_idx, * EXCLUDE (sweep) FROM (" + _sql("", _LOCATED + ", " + _kernel(f"SELECT f.*, n.sweep FROM ({_FLAT}) f, (SELECT DISTINCT sweep_idx AS sweep FROM g) n", "c.sweep = q.sweep_idx AND " + _PLANAR, "0e0", "0e0", _HAVERSINE.format(e="el", a=_AZ), "sqrt((x - x0) ^ 2 + (y - y0) ^ 2)", "abs(rc - range_m) > 750e0", ["sweep", "iy", "ix"], flag_any=True)) + ")",
-    "grid_rhi_azimuths": "SELECT section AS azimuth_idx, * EXCLUDE (section) FROM (" + _sql("", _LOCATED + ", " + _kernel("SELECT n.section, CAST(k.range AS INT) AS iz, CAST(i.range AS INT) AS ir, 250e0 * k.range AS z, 500e0 * i.range AS r, greatest(5e0 * i.range, 187.5e0) AS eff_v FROM range(9) k, range(51) i, (SELECT DISTINCT ray_idx % 50 AS section FROM g) n", "c.section = q.ray_idx % 50 AND abs(s - r) <= 375e0", "abs(h - z)", "z", "abs(elc - el)", f"sin(sqrt((r * sin(radians(1e0 * section)) - x0) ^ 2 + (r * cos(radians(1e0 * section)) - y0) ^ 2) / {_REFF}) * ({_REFF} + z - altitude) / cos(elc)", "abs(rc - range_m) > 187.5e0", ["section", "iz", "ir"])) + ")",
+    "grid_rhi_azimuths": "SELECT section AS azimuth_idx, * EXCLUDE (section) FROM (" + _sql("", _LOCATED + ", " + _rhi_kernel("SELECT DISTINCT ray_idx % 50 AS section FROM g", "ray_idx % 50", "radians(1e0 * section)")) + ")",
     "grid_column": _sql("", _LOCATED + ", " + _kernel("SELECT CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k", "true", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", "abs(rc - range_m) > 187.5e0", ["iz"])),
 }
-# the same grids by the drivers, which take the radii from the increments
-SQL |= {"grid_ppi": SQL["grid_ppi_sweeps"], "grid_rhi": SQL["grid_rhi_azimuths"]}

@@ -128,7 +128,7 @@ def test_grid_file_places_and_times(spark, tmp_path, layout):
 def test_stream(spark, tmp_path):
     rows = [(f"v{v}", r, g, 100.0 * g + 50, 90.0 * r, 1.0, 0.0, 0.0, 0.0, float(v), 1.0) for v in range(3) for r in range(4) for g in range(5)]
     gates = spark.createDataFrame(rows, "volume_id string, ray_idx int, gate_idx int, range_m double, azimuth double, elevation double, altitude double, x0 double, y0 double, dbz double, sqi double")
-    run = lambda: grid_arrivals(spark, f"{tmp_path}/in", gates.schema, f"{tmp_path}/out", f"{tmp_path}/check", lambda b: grid.radar_composite(b, ["dbz"], (0, 200, 3), (0, 200, 3), 0.0), True).awaitTermination()
+    run = lambda: grid_arrivals(spark, f"{tmp_path}/in", gates.schema, f"{tmp_path}/out", f"{tmp_path}/check", lambda b: grid.grid_composite(b, ["dbz"], (0, 200, 3), (0, 200, 3), 150.0, 0.0), True).awaitTermination()
     gates.filter("volume_id < 'v2'").write.parquet(f"{tmp_path}/in")
     run()
     gates.filter("volume_id = 'v2'").write.mode("append").parquet(f"{tmp_path}/in")

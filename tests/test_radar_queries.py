@@ -118,13 +118,104 @@ def test_constant_field_grids_to_itself(spark):
         assert r.dbz >= max((q[2] for q in near), default=model.UNSEEN)
 
 
+def flying(spark, n_rays=90, n_gates=30, volumes=2):
+    """(gates, rays) of volumes that begin at places of their own and move from ray to ray."""
+    rays = [(f"v{v}", r, 4.0 * r, 0.5, 10.0, 10.26 + 0.5 * v + 1e-4 * r, -20.26 - 0.25 * v + 1e-4 * r) for v in range(volumes) for r in range(n_rays)]
+    gates = [(f"v{v}", r, g, 100.0 * (g + 1), 7.0 + v, 1.0) for v in range(volumes) for r in range(n_rays) for g in range(n_gates)]
+    return spark.createDataFrame(gates, "volume_id string, ray_idx int, gate_idx int, range_m double, dbz double, sqi double"), spark.createDataFrame(rays, "volume_id string, ray_idx int, azimuth double, elevation double, altitude double, latitude double, longitude double")
+
+
 def test_latlon_volume(spark):
-    a = grid.latlon_axes(10.26, -20.26, -0.02, 5, -0.02, 5, 0.01)
-    assert a["lat0"] == pytest.approx(10.26) and a["lat"][0] == pytest.approx(10.24) and a["lon"][0] == pytest.approx(-20.28)
-    rows = [("v", r, g, 100.0 * (g + 1), 4.0 * r, 0.5, 0.0, 0.0, 0.0, 7.0, 1.0) for r in range(90) for g in range(30)]
+    gates, rays = flying(spark)
+    out = grid.radar_latlon_volume(gates, rays, {"dbz": "weighted"}, -0.02, 5, -0.02, 5, 0.01, (0, 100, 2), 0.01, 0.1).collect()
+    assert len(out) == 100
+    for v, lat, lon in (("v0", 10.24, -20.28), ("v1", 10.74, -20.53)):
+        own = [r for r in out if r.volume_id == v]
+        assert min(r.lat for r in own) == pytest.approx(lat) and min(r.lon for r in own) == pytest.approx(lon)
+        assert any(abs(r.dbz - 7.0 - (v == "v1")) < 1e-9 for r in own)
+
+
+def test_cut(spark):
+    rows = spark.createDataFrame([(12.3456,), (-12.3456,), (0.3,), (-7.0,), (0.004,)], "v double").select(grid.cut(F.col("v"), 0.01).alias("c"), "v").collect()
+    assert [round(r.c, 9) for r in rows] == [12.34, -12.34, 0.3, -7.0, 0.0]
+
+
+def test_reference_is_the_first_ray(spark):
+    gates, rays = flying(spark)
+    own = {r.volume_id: r for r in grid.reference(rays.orderBy(F.desc("ray_idx"))).collect()}
+    assert own["v1"].lat0 == 10.76 and own["v1"].lon0 == -20.51 and own["v1"].az_first == 0
+    placed = grid.placed(gates, rays).filter("gate_idx = 0").collect()
+    assert all(abs(r.x0) < 1e-6 and abs(r.y0) < 1e-6 for r in placed if r.ray_idx == 0)
+    r = next(r for r in placed if r.volume_id == "v1" and r.ray_idx == 80)
+    assert r.y0 == pytest.approx(0.008 * 110_620, rel=1e-3) and r.x0 == pytest.approx(0.008 * 109_370, rel=1e-3)
+
+
+def test_projection_against_a_published_point(spark):
+    # 33.3 N 44.4 E in zone 38 (central meridian 45 E, scale 0.9996, false easting 500 km)
+    x, y = G.tm_forward(F.lit(33.3), F.lit(44.4), F.lit(0.0), F.lit(45.0))
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert (0.9996 * r.x + 500_000, 0.9996 * r.y) == (pytest.approx(444140.54, abs=0.01), pytest.approx(3684706.36, abs=0.01))
+    arc = spark.range(1).select(G.meridian_arc(F.lit(-35.2))).first()[0]
+    assert arc == pytest.approx(G.meridian_arc(-35.2), abs=1e-6)
+
+
+@pytest.mark.parametrize(("inflation", "roi"), [(0.01, 700.0), (0.3, 700.0), (0.0, 400.0), (1.2, 100.0)])
+def test_cells_of_a_gate(spark, inflation, roi):
+    """Index ranges give every pair that comparing all gates with all cells gives."""
+    rng = random.Random(1)
+    places = [(k, rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)) for k in range(60)] + [(98, None, 0.0), (99, float("nan"), 0.0)]
+    g = spark.createDataFrame(places, "k int, gx double, gy double")
+    x, y = (-5000.0, 500.0, 20), (-4000.0, 800.0, 11)
+    got = sorted((r.k, r.iy, r.ix) for r in grid.near_cells(g, x, y, roi, inflation).select("k", "iy", "ix").collect())
+    wanted = [(k, -1, -1) for k, _, _ in places]
+    for k, gx, gy in places[:60]:
+        for iy in range(11):
+            for ix in range(20):
+                cx, cy = -5000 + 500 * ix, -4000 + 800 * iy
+                wanted += [(k, iy, ix)] if math.hypot(gx - cx, gy - cy) <= max(roi, inflation * math.hypot(cx, cy)) else []
+    assert got == sorted(wanted)
+
+
+@pytest.mark.parametrize(("lat0", "lon0"), [(0.3, 179.9), (-60.2, 10.0), (88.9, 0.0)])
+def test_degree_cells_of_a_gate(spark, lat0, lon0):
+    """Ranges of degrees, too: far from the equator, over the date line and near a pole."""
+    rng = random.Random(2)
+    places = [(k, rng.uniform(-30000, 30000), rng.uniform(-30000, 30000), lat0, lon0) for k in range(40)]
+    g = spark.createDataFrame(places, "k int, gx double, gy double, lat0 double, lon0 double")
+    lat, lon = (F.col("lat0") - 0.2, 0.05, 9), (F.col("lon0") - 0.4, 0.1, 9)
+    pairs = grid.near_degrees(g, lat, lon, F.lit(4000.0), 0.1)
+    got = sorted((r.k, r.iy, r.ix) for r in pairs.filter("iy >= 0").select("k", "iy", "ix").collect())
+    cells = spark.range(81).selectExpr("cast(id div 9 as int) iy", "cast(id % 9 as int) ix").selectExpr("*", f"{lat0} - 0.2 + 0.05 * iy AS lat", f"{lon0} - 0.4 + 0.1 * ix AS lon")
+    cx, cy = G.tm_forward(F.col("lat"), F.col("lon"), lat0, lon0)
+    cells = [(r.iy, r.ix, r.x, r.y) for r in cells.withColumns({"x": cx, "y": cy}).collect()]
+    wanted = [(k, iy, ix) for k, gx, gy, *_ in places for iy, ix, x, y in cells if math.hypot(gx - x, gy - y) <= max(4000.0, 0.1 * math.hypot(x, y))]
+    assert got == sorted(wanted) and len(wanted) > 20
+
+
+def test_plan_has_one_scan_and_no_join(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    for name, exchanges in (("grid_volume", 2), ("grid_composite", 2), ("grid_ppi_sweeps", 2), ("grid_column", 2)):
+        plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange") == exchanges, name
+
+
+def test_default_volume_grid(spark):
+    gates, rays = flying(spark, 20, 200, 1)
+    out = grid.radar_volume(gates, rays, {"dbz": "linear"}, model.X, model.Y, model.Z, model.BEAM_INFLATION, model.POWER_THRESHOLD)
+    r = out.agg(F.count(F.lit(1)), F.countDistinct("iz", "iy", "ix"), F.count_if(F.col("dbz") > 0), F.max("lat"), F.min("lat")).first()
+    assert r[0] == r[1] == 501 * 501 * 37 and r[2] > 50
+    assert r[3] == pytest.approx(10.26 + 125 / 110.6, abs=0.01) and r[4] == pytest.approx(10.26 - 125 / 110.6, abs=0.01)
+
+
+def test_odd_gates(spark):
+    """Missing and NaN places reach no cell, repeated gates count twice, volumes keep their grids."""
+    one = ("v", 0, 0, 500.0, 0.0, 0.5, 0.0, 0.0, 0.0, 10.0, 1.0)
+    rows = [one, one, ("v", 0, 1, None, 0.0, 0.5, 0.0, 0.0, 0.0, 99.0, 1.0), ("v", 0, 2, 500.0, float("nan"), 0.5, 0.0, 0.0, 0.0, 99.0, 1.0), ("w", 0, 0, 9e6, 0.0, 0.5, 0.0, 0.0, 0.0, 99.0, 1.0), (None, 0, 0, 9e6, 0.0, 0.5, 0.0, 0.0, 0.0, 99.0, 1.0)]
     g = spark.createDataFrame(rows, "volume_id string, ray_idx int, gate_idx int, range_m double, azimuth double, elevation double, altitude double, x0 double, y0 double, dbz double, sqi double")
-    out = grid.radar_latlon_volume(g, {"dbz": "weighted"}, 10.26, -20.26, -0.02, 5, -0.02, 5, 0.01, (0, 100, 2), 0.01, 0.1).collect()
-    assert len(out) == 50 and any(abs(r.dbz - 7.0) < 1e-9 for r in out)
+    out = grid.grid_composite(g, ["dbz"], (0, 500, 2), (0, 500, 2), 100, 0.0).collect()
+    assert len(out) == 12 and {r.dbz for r in out if r.volume_id == "v" and r.iy == 1 and r.ix == 0} == {10.0}
+    assert all(r.dbz == model.UNSEEN for r in out if r.volume_id != "v")
+    assert grid.grid_composite(g.limit(0), ["dbz"], (0, 500, 2), (0, 500, 2), 100, 0.0).collect() == []
 
 
 def test_terrain(spark, tmp_path):
