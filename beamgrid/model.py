@@ -81,21 +81,34 @@ def volume_times(rays: DataFrame) -> DataFrame:
     return rays.groupBy("volume_id").agg(F.min_by("time", "ray_idx").alias("start"), F.max_by("time", "ray_idx").alias("stop"))
 
 
-def merge_volumes(rays: DataFrame, gates: DataFrame, sweeps: DataFrame, into: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rays, gates and sweeps of files that belong together, as volumes named by `into` (a column of rays).
+def number_rays(rays: DataFrame, into: Column) -> DataFrame:
+    """merged, volume_id, ray_idx, new_ray, new_sweep of files that belong together, as volumes named by `into`.
 
-    Rays are numbered anew by time; ties go by the file's name, then the ray's own number. Sweeps are numbered by the time of
-    their first ray, and hold the rays from their first to their last one.
+    Rays are numbered anew by time; ties go by the file's name, then the ray's own number. Files are numbered by their first
+    ray. A volume's rays are one group: of a volume's size, however many volumes there are.
     """
     order = Window.partitionBy("merged").orderBy("time", "volume_id", "ray_idx")
-    placed = rays.withColumn("merged", into).withColumn("new_ray", (F.row_number().over(order) - 1).cast("int"))
-    number = placed.select("volume_id", "ray_idx", "merged", "new_ray")
+    placed = rays.select(into.alias("merged"), "volume_id", "ray_idx", "time").withColumn("new_ray", (F.row_number().over(order) - 1).cast("int"))
+    first = placed.withColumn("_first", F.min("new_ray").over(Window.partitionBy("merged", "volume_id")))
+    return first.select("merged", "volume_id", "ray_idx", "new_ray", (F.dense_rank().over(Window.partitionBy("merged").orderBy("_first")) - 1).cast("int").alias("new_sweep"))
+
+
+def merge_volumes(rays: DataFrame, gates: DataFrame, sweeps: DataFrame, into: Column | None = None, number: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rays, gates and sweeps of files that belong together, as volumes named by `into` (a column of rays).
+
+    number: what number_rays gives, or a stream of sweeps that arrive apart (streaming.state.assemble_sweeps), instead of into.
+    Sweeps are numbered by the time of their first ray, and hold the rays from their first to their last one.
+    """
+    if number is None:
+        number = number_rays(rays, into)
+    number = number.select("volume_id", "ray_idx", "merged", "new_ray")
+    placed = rays.drop("merged", "new_ray").join(number, ["volume_id", "ray_idx"])
     held = split_sweeps(number, sweeps).groupBy("merged", "volume_id", "sweep_idx").agg(F.min("new_ray").alias("start_ray"), F.max("new_ray").alias("end_ray"))
     by_start = Window.partitionBy("merged").orderBy("start_ray", "volume_id", "sweep_idx")
     held = held.join(sweeps.drop("start_ray", "end_ray"), ["volume_id", "sweep_idx"]).withColumn("new_sweep", (F.row_number().over(by_start) - 1).cast("int"))
     own = [c for c in sweeps.columns if c not in ("volume_id", "sweep_idx", "start_ray", "end_ray")]
     return (
-        placed.select(F.col("merged").alias("volume_id"), F.col("new_ray").alias("ray_idx"), *(c for c in rays.columns if c not in ("volume_id", "ray_idx"))),
+        placed.select(F.col("merged").alias("volume_id"), F.col("new_ray").alias("ray_idx"), *(c for c in rays.columns if c not in ("volume_id", "ray_idx", "merged", "new_ray"))),
         gates.join(number, ["volume_id", "ray_idx"]).select(F.col("merged").alias("volume_id"), F.col("new_ray").alias("ray_idx"), *(c for c in gates.columns if c not in ("volume_id", "ray_idx"))),
         held.select(F.col("merged").alias("volume_id"), F.col("new_sweep").alias("sweep_idx"), *own, "start_ray", "end_ray"),
     )

@@ -111,16 +111,17 @@ def add_azimuthal_offset(rays: DataFrame, offset: float) -> DataFrame:
     return rays.withColumn("azimuth", azimuth_offset(F.col("azimuth"), offset))
 
 
-def route_scans(files: DataFrame) -> DataFrame:
+def route_scans(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """files: file_order, scan_name -> with product: rhi, volume1, volume2 or none.
 
     RHI scans go by their name. Long volumes and sector scans are of the first volume until a file of the second has
-    been seen, which every later volume then follows.
+    been seen, which every later volume then follows. by: columns (site, day) in each of whose groups that is decided apart.
     """
     name = F.col("scan_name")
-    # one number, however many files: where the second volume begins
-    first = files.filter(name.contains("VOL2")).agg(F.min("file_order").alias("_second"))
-    files = files.join(F.broadcast(first))
+    by = by or []
+    # one number for each group, however many files: where the second volume begins
+    first = files.filter(name.contains("VOL2")).groupBy(*by).agg(F.min("file_order").alias("_second"))
+    files = files.join(first, by, "left") if by else files.join(F.broadcast(first))
     volume = name.rlike("PICCOLO_LONG|CIRL|CIRC|PICO_LONGVOL|VOL2")
     second = F.coalesce(F.col("file_order") >= F.col("_second"), F.lit(False))
     return files.withColumn("product", F.when(name.contains("RHI"), "rhi").when(volume & second, "volume2").when(volume, "volume1").otherwise("none")).drop("_second")

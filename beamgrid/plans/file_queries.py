@@ -15,6 +15,7 @@ from beamgrid.plans import radar_queries as R
 from beamgrid.plans.radar_queries import INFLATION, KINDS, POWER, X, Y, Z, volume
 from beamgrid.sources import volumes
 from beamgrid.sources.scratch import scratch
+from beamgrid.streaming import state
 from beamgrid.streaming.arrivals import grid_arrivals
 
 LAT0, LON0 = -2.5, -45.25
@@ -133,21 +134,73 @@ def grid_files(spark: SparkSession, d: str) -> DataFrame:
 def arriving_volumes(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps that arrive as files, gridded by a stream."""
     g = _by_sweep(volume(spark, d)).drop("time")
-    source, sink, state = (scratch(spark, x) for x in ("arrivals", "gridded", "state"))
+    source, sink, checkpoint = (scratch(spark, x) for x in ("arrivals", "gridded", "state"))
     g.repartition("volume_id").write.parquet(source)
     process = lambda b: grid.grid_composite(b, ["dbz", "vel", "width"], X, Y, R.H_ROI, INFLATION)
-    grid_arrivals(spark, source, g.schema, sink, state, process, once=True).awaitTermination()
+    grid_arrivals(spark, source, g.schema, sink, checkpoint, process, once=True).awaitTermination()
     return R._grid_shown(spark.read.parquet(sink), ["volume_id", "iy", "ix"], KINDS)
 
 
+def _apart(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gates, rays, sweeps) of files of ten rays, of which four after one another belong together; n_sweeps tells how many do."""
+    g = volume(spark, d).withColumns({"file": F.floor(F.col("ray_idx") / 10), "merged": F.concat(F.lit("m"), F.floor(F.col("ray_idx") / 40))})
+    g = g.withColumn("volume_id", F.concat(F.lit("f"), F.col("file")))
+    rays = g.groupBy("volume_id", "merged", "file", "ray_idx").agg(*(F.min_by(c, "gate_idx").alias(c) for c in ("time", "azimuth", "elevation")))
+    files = rays.groupBy("merged").agg(F.countDistinct("volume_id").alias("n_sweeps"))
+    sweeps = rays.groupBy("volume_id", F.lit(0).alias("sweep_idx")).agg(F.min("elevation").alias("fixed_angle"), F.min("ray_idx").alias("start_ray"), F.max("ray_idx").alias("end_ray"))
+    return g.select("volume_id", "ray_idx", "gate_idx", "dbz"), rays.join(files, "merged"), sweeps
+
+
+def _merged(gates: DataFrame, held: DataFrame) -> DataFrame:
+    counts = held.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_sweeps"), F.sum(F.col("end_ray").cast("long")).alias("ends"))
+    return gates.join(counts, "volume_id").select("volume_id", "ray_idx", "gate_idx", R._r(F.col("dbz")).alias("dbz"), "n_sweeps", "ends")
+
+
 def merge_volumes(spark: SparkSession, d: str) -> DataFrame:
-    """Sweeps as files of their own, merged into one volume with the rays in order of time."""
-    g = _by_sweep(volume(spark, d))
-    rays = _rays(g).drop("sweep_idx")
-    sweeps = g.groupBy("volume_id", F.lit(0).alias("sweep_idx")).agg(F.min("elevation").alias("fixed_angle"), F.min("ray_idx").alias("start_ray"), F.max("ray_idx").alias("end_ray"))
-    _, gates, held = model.merge_volumes(rays, g.select("volume_id", "ray_idx", "gate_idx", "dbz"), sweeps, F.lit("all"))
-    counts = held.select(F.count(F.lit(1)).alias("n_sweeps"), F.sum(F.col("end_ray").cast("long")).alias("ends"))
-    return gates.join(F.broadcast(counts)).select("volume_id", "ray_idx", "gate_idx", R._r(F.col("dbz")).alias("dbz"), "n_sweeps", "ends")
+    """Files of ten rays, merged into volumes of four with the rays in order of time."""
+    gates, rays, sweeps = _apart(spark, d)
+    _, gates, held = model.merge_volumes(rays.drop("n_sweeps"), gates, sweeps, F.col("merged"))
+    return _merged(gates, held)
+
+
+def assembled_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """The same files arrive apart, in three batches that each hold some of every volume; a stream puts them together."""
+    gates, rays, sweeps = _apart(spark, d)
+    source, sink, checkpoint = (scratch(spark, x) for x in ("sweeps", "assembled", "state"))
+    wanted = rays.select("merged", "n_sweeps", "volume_id", "ray_idx", F.col("time").cast("timestamp").alias("time"), (F.pmod(F.xxhash64("volume_id"), F.lit(3))).alias("batch"))
+    for k in range(3):
+        wanted.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(wanted.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = state.assemble_sweeps(stream, "3650 days").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    state.start(spark, out.format("parquet").option("path", sink)).awaitTermination()
+    _, gates, held = model.merge_volumes(rays.drop("n_sweeps", "merged"), gates, sweeps, number=spark.read.parquet(sink).filter("state != 'late'"))
+    return _merged(gates, held)
+
+
+def _scan_files(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    names = F.when(F.col("event_type") == "click", "PICCOLO_LONG").when(F.col("event_type") == "view", "RHI_A").when(F.col("event_id") % 97 == 96, "VOL2").when(F.col("event_type") == "error", "TEST").otherwise("CIRC")
+    return e.select(F.concat(F.lit("site"), F.col("event_id") % 3).alias("site"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("file_order"), names.alias("scan_name"))
+
+
+def site_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The scans of three sites, routed by site and day."""
+    files = _scan_files(spark, d).withColumn("day", F.to_date("time"))
+    return R.qc.route_scans(files, ["site", "day"]).select("site", "file_order", "product")
+
+
+def arriving_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The same scans as they arrive, in five batches, routed by a stream that keeps each site's day in its state."""
+    files = _scan_files(spark, d)
+    source, sink, checkpoint = (scratch(spark, x) for x in ("scans", "routed", "state"))
+    last = files.agg(F.max("file_order")).first()[0] or 0
+    for k in range(5):
+        part = files.filter(F.floor(F.col("file_order") * 5 / (last + 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{source}/{k}")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    out = state.route_arrivals(stream, "3650 days").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    state.start(spark, out.format("parquet").option("path", sink)).awaitTermination()
+    return spark.read.parquet(sink).select("site", "file_order", "product")
 
 
 def _e(v: float) -> str:
@@ -259,7 +312,13 @@ def _file(c: str, offset: str = "0e0") -> str:
     return f"round(CAST(CAST(CASE WHEN {n} BETWEEN -32767 AND 32767 THEN {n} * 0.01e0 + {offset} END AS FLOAT) AS DOUBLE), 3) + 0e0"
 
 
-QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, grid_files, arriving_volumes, merge_volumes)}
+_MERGED = R._sql(
+    "SELECT n.m AS volume_id, n.new_ray AS ray_idx, g.gate_idx, round(g.dbz, 4) + 0e0 AS dbz, s.n_sweeps, s.ends FROM g JOIN n USING (ray_idx) JOIN s USING (m)",
+    "r AS (SELECT ray_idx, arg_min(time, gate_idx) AS time, 'm' || (ray_idx // 40) AS m, 'f' || (ray_idx // 10) AS f FROM g GROUP BY ray_idx), n AS (SELECT ray_idx, m, f, CAST(row_number() OVER (PARTITION BY m ORDER BY time, f, ray_idx) - 1 AS INT) AS new_ray FROM r), s AS (SELECT m, count(*) AS n_sweeps, CAST(sum(e) AS BIGINT) AS ends FROM (SELECT m, max(new_ray) AS e FROM n GROUP BY m, f) GROUP BY m)",
+)
+_ROUTED = "WITH f AS (SELECT event_id, 'site' || (event_id % 3) AS site, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'click' THEN 'PICCOLO_LONG' WHEN event_type = 'view' THEN 'RHI_A' WHEN event_id % 97 = 96 THEN 'VOL2' WHEN event_type = 'error' THEN 'TEST' ELSE 'CIRC' END AS n FROM events), s AS (SELECT *, count_if(n = 'VOL2') OVER (PARTITION BY site, day ORDER BY event_id) > 0 AS second FROM f) SELECT site, event_id AS file_order, CASE WHEN n = 'RHI_A' THEN 'rhi' WHEN n = 'TEST' THEN 'none' WHEN second THEN 'volume2' ELSE 'volume1' END AS product FROM s"
+
+QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, grid_files, arriving_volumes, merge_volumes, assembled_volumes, site_scans, arriving_scans)}
 
 SQL = DRIVERS | {
     "place_radar": R._sql("SELECT ray_idx, gate_idx, round({}, 3) + 0e0 AS x0, round({}, 3) + 0e0 AS y0 FROM m".format(*_tm("latitude", "longitude")), _PLACED),
@@ -275,8 +334,8 @@ SQL = DRIVERS | {
         f"SELECT volume_id, iy, ix, y, x, round({_e(LAT0)} + y / (1e3 * (111.13209e0 - 0.56605e0 * cos(2e0 * radians({_e(LAT0)})) + 0.0012e0 * cos(4e0 * radians({_e(LAT0)})))), 3) AS lat, round({_e(LON0)} + x / (1e3 * (111.41513e0 * cos(radians({_e(LAT0)})) - 0.09455e0 * cos(3e0 * radians({_e(LAT0)})))), 3) AS lon, start, stop, " + ", ".join(f"round(CAST(CAST(nullif({m}, -32768e0) AS FLOAT) AS DOUBLE), 3) + 0e0 AS {m}" for m in KINDS) + " FROM r JOIN t ON r.sweep = t.sweep_idx",
     ),
     "arriving_volumes": _composite("", "SELECT volume_id, iy, ix, " + ", ".join(KINDS) + " FROM r"),
-    "merge_volumes": R._sql(
-        "SELECT 'all' AS volume_id, n.new_ray AS ray_idx, g.gate_idx, round(g.dbz, 4) + 0e0 AS dbz, s.n_sweeps, s.ends FROM g JOIN n USING (ray_idx), s",
-        "r AS (SELECT ray_idx, sweep_idx, arg_min(time, gate_idx) AS time FROM g GROUP BY ray_idx, sweep_idx), n AS (SELECT ray_idx, sweep_idx, CAST(row_number() OVER (ORDER BY time, 's' || sweep_idx, ray_idx) - 1 AS INT) AS new_ray FROM r), s AS (SELECT count(*) AS n_sweeps, CAST(sum(e) AS BIGINT) AS ends FROM (SELECT max(new_ray) AS e FROM n GROUP BY sweep_idx))",
-    ),
+    "merge_volumes": _MERGED,
+    "assembled_volumes": _MERGED,
+    "site_scans": _ROUTED,
+    "arriving_scans": _ROUTED,
 }
