@@ -37,6 +37,9 @@ FIELDS = {
     "SNR": ("signal_to_noise_ratio", "Signal to noise ratio", "dB"),
     "SQI": ("normalized_coherent_power", "Signal quality index", "unitless"),
     "RATE_CSU_BLENDED": ("rain_rate", "Blended rain rate", "mm/hr"),
+    "PID": ("PID", "particle_id", "none"),
+    "PID_FOR_QC": ("PID_FOR_QC", "particle_id", "none"),
+    "HID_CSU": ("HID_CSU", "particle_id", "none"),
     "UNKNOWN": ("unknown", "Unknown", "unknown"),
 }
 
@@ -50,7 +53,7 @@ def field_metadata(name: str) -> dict[str, str]:
 
 def gates_schema(moments: list[str]) -> T.StructType:
     """Schema of the gates table for a list of moments, with their metadata."""
-    out = T._parse_datatype_string("volume_id string, ray_idx int, gate_idx int, range_m float")
+    out = T.StructType().add("volume_id", T.StringType()).add("ray_idx", T.IntegerType()).add("gate_idx", T.IntegerType()).add("range_m", T.FloatType())
     for m in moments:
         out = out.add(m, T.DoubleType(), True, field_metadata(m.upper()))
     return out

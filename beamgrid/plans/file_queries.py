@@ -13,7 +13,7 @@ from beamgrid.functions import geometry as G
 from beamgrid.operators import grid
 from beamgrid.plans import radar_queries as R
 from beamgrid.plans.radar_queries import INFLATION, KINDS, POWER, X, Y, Z, volume
-from beamgrid.sources import volumes
+from beamgrid.sources import radarvol, volumes
 from beamgrid.sources.scratch import scratch
 from beamgrid.streaming import state
 from beamgrid.streaming.arrivals import grid_arrivals
@@ -102,23 +102,107 @@ def _by_sweep(g: DataFrame) -> DataFrame:
     return g.withColumn("volume_id", F.concat(F.lit("s"), F.col("sweep_idx").cast("string")))
 
 
-def volume_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every sweep written as a packed file with its rays, and read back."""
+def _sweep_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gates with all columns, rays, sweeps): every sweep a volume with rays from 0, as files hold them."""
     g = _by_sweep(volume(spark, d))
     start = F.min("ray_idx").over(R.qc.Window.partitionBy("volume_id"))
     g = g.withColumn("ray", (F.col("ray_idx") - start).cast("int")).drop("ray_idx").withColumnRenamed("ray", "ray_idx")
-    extra = {"scan_name": F.lit("SUR"), "latitude": F.lit(LAT0), "longitude": F.lit(LON0), "pitch": F.lit(0.0), "roll": F.lit(0.0)}
+    extra = {"scan_name": F.lit("SUR"), "latitude": F.lit(LAT0), "longitude": F.lit(LON0), "pitch": F.col("elevation") / 4, "roll": F.col("azimuth") / 8 - 2}
     rays = _rays(g.withColumns(extra), "altitude", "nyquist_velocity", "ew_platform", "ns_platform", "w_platform", "heading", *extra).withColumn("time", F.col("time").cast("timestamp"))
     sweeps = g.groupBy("volume_id", F.lit(0).alias("sweep_idx")).agg(F.min("elevation").alias("fixed_angle"), F.min("ray_idx").alias("start_ray"), F.max("ray_idx").alias("end_ray"))
-    gates = g.selectExpr("volume_id", "ray_idx", "gate_idx", "range_m", "dbz AS DBZ", "width AS WIDTH", "dbz AS raw_DBZ", "snr AS raw_SNR")
-    folder = scratch(spark, "volumes")
-    volumes.write_volumes(gates, rays, sweeps, folder, "packed").count()
+    return g, rays, sweeps
+
+
+def _written(spark: SparkSession, d: str, profile: str, columns: list[str]) -> str:
+    """The folder of sweeps written by a profile; columns: SQL of its fields."""
+    g, rays, sweeps = _sweep_files(spark, d)
+    if profile == "airborne":
+        rays = rays.selectExpr("*", "azimuth / 16 AS drift", "elevation / 2 AS tilt", "azimuth - 20 AS eastward_wind", "2.5D AS northward_wind", "elevation - 1 AS vertical_wind")
+    folder = scratch(spark, profile)
+    volumes.write_volumes(g.selectExpr("volume_id", "ray_idx", "gate_idx", "range_m", *columns), rays, sweeps, folder, profile)
+    return folder
+
+
+def volume_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every sweep written as a packed file with its rays, and read back."""
+    folder = _written(spark, d, "packed", ["dbz AS DBZ", "width AS WIDTH", "dbz AS raw_DBZ", "snr AS raw_SNR"])
     back = volumes.read_gates(spark, folder, ["DBZ", "WIDTH", "DBZ_L1", "SNR"])
     own = volumes.read_rays(spark, folder).select("volume_id", "ray_idx", "azimuth", "elevation")
     out = back.join(own, ["volume_id", "ray_idx"])
     return out.select("volume_id", "ray_idx", "gate_idx", F.col("azimuth").cast("double").alias("azimuth"), F.col("elevation").cast("double").alias("elevation"), *(R._r(F.col(c), 3).alias(c.lower()) for c in ("DBZ", "WIDTH", "DBZ_L1", "SNR")))
 
 
+def volume_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same files read by the data source in splits of 16 kB: gates with their sweep, rays with the platform's attitude."""
+    folder = _written(spark, d, "packed", ["vel AS VEL", "sqi AS raw_SQI"])
+    radarvol.register(spark)
+    source = lambda **options: spark.read.format("radarvol").options(**options)
+    gates = source(split_bytes=16384).schema("volume_id string, ray_idx int, sweep_idx int, gate_idx int, range_m float, VEL double, SQI double").load(folder)
+    rays = source(table="rays").load(folder).select("volume_id", "ray_idx", "heading", "pitch", "roll", "time")
+    sweeps = source(table="sweeps").load(folder).select("volume_id", "sweep_idx", "fixed_angle")
+    out = gates.join(rays, ["volume_id", "ray_idx"]).join(sweeps, ["volume_id", "sweep_idx"])
+    shown = [R._r(F.col(c).cast("double"), 3).alias(c) for c in ("range_m", "heading", "pitch", "roll", "fixed_angle")]
+    return out.select("volume_id", "ray_idx", "gate_idx", *shown, F.col("time").cast("timestamp_ntz").alias("time"), R._r(F.col("VEL"), 3).alias("vel"), R._r(F.col("SQI"), 3).alias("sqi"))
+
+
+_POLARIMETRIC = ["DBZ_TOT", "DBZ", "VEL", "RATE_ZH", "SQI_FOR_MASK", "HID_CSU", "RATE_CSU_BLENDED", "TEMP_FOR_PID", "ZDR_L2"]
+
+
+def polarimetric_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every sweep written by the two polarimetric profiles and read back; fields that a profile only declares are missing."""
+    columns = ["dbz AS raw_DBZ_TOT", "dbz AS DBZ", "vel AS VEL", "width AS RATE_ZH", "sqi AS SQI_FOR_MASK", "floor(width) AS HID_CSU", "snr AS RATE_CSU_BLENDED", "phidp AS raw_TEMP_FOR_PID", "rhohv AS raw_ZDR_L2"]
+    parts = [volumes.read_gates(spark, _written(spark, d, p, columns), _POLARIMETRIC).withColumn("profile", F.lit(p)) for p in ("single_pol", "dual_pol")]
+    return parts[0].union(parts[1]).select("profile", "volume_id", "ray_idx", "gate_idx", *(R._r(F.col(c), 3).alias(c.lower()) for c in _POLARIMETRIC))
+
+
+def airborne_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every sweep written by the airborne profile; the variables of its rays read back."""
+    folder = _written(spark, d, "airborne", ["dbz AS DBZ", "vel AS VEL", "width AS WIDTH", "dbz AS raw_DBZ_TOT"])
+    own = ["rotation", "drift", "tilt", "track", "eastward_wind", "northward_wind", "vertical_wind"]
+    said = volumes.read_extras(spark, folder).filter(F.col("name").isin(own)).select("volume_id", "name", F.posexplode("numbers").alias("ray_idx", "v"))
+    wide = said.groupBy("volume_id", "ray_idx").pivot("name", own).agg(F.first("v"))
+    gates = volumes.read_gates(spark, folder, ["DBZ_TOT", "VEL"]).join(wide, ["volume_id", "ray_idx"])
+    return gates.select("volume_id", "ray_idx", "gate_idx", *(R._r(F.nanvl(F.col(c), F.lit(None).cast("double")), 4).alias(c) for c in own), R._r(F.col("DBZ_TOT"), 3).alias("dbz_tot"), R._r(F.col("VEL"), 3).alias("vel"))
+
+
+def _grid_back(spark: SparkSession, grids: DataFrame, layout: str, keys: list[str]) -> DataFrame:
+    folder = scratch(spark, layout)
+    volumes.write_grid(grids.withColumns({m: R._r(F.col(m)) for m in KINDS}), folder, layout, list(KINDS))
+    return volumes.read_grid(spark, folder, layout, list(KINDS)).select("volume_id", *keys, *(R._r(F.col(m), 3).alias(m) for m in KINDS))
+
+
+def volume_grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The volume grids of all sweeps through files."""
+    out = grid.grid_volume(_by_sweep(volume(spark, d)), KINDS, X, Y, Z, R.H_ROI, R.V_ROI, INFLATION, POWER)
+    return _grid_back(spark, out, "volume", ["iz", "iy", "ix", "z", "y", "x"])
+
+
+def cartesian_grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the other tool's layout of files."""
+    out = grid.grid_volume(_by_sweep(volume(spark, d)), KINDS, X, Y, Z, R.H_ROI, R.V_ROI, INFLATION, POWER)
+    return _grid_back(spark, out, "cartesian", ["iz", "iy", "ix", "z", "y", "x"])
+
+
+def latlon_grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The grids on regular degrees through files that hold only their axes."""
+    out = grid.radar_latlon_volume(*_flying(spark, d), KINDS, *LAT, *LON, STEP, LEVELS, INFLATION, POWER)
+    out = out.withColumn("volume_id", F.concat(F.lit("s"), F.col("volume_id").cast("string")))
+    back = _grid_back(spark, out, "latlon", ["iz", "ilat", "ilon", "lat", "lon"])
+    return back.withColumns({c: R._r(F.col(c), 4) for c in ("lat", "lon")})
+
+
+def rhi_grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The vertical sections of all sweeps through files."""
+    out = grid.grid_rhi(_by_sweep(volume(spark, d)), KINDS, R.R, Z, 375.0, R.V_ROI, INFLATION, POWER)
+    return _grid_back(spark, out, "rhi", ["iz", "ir", "z", "r"])
+
+
+def column_grid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of all sweeps through files."""
+    out = grid.grid_column(_by_sweep(volume(spark, d)), KINDS, Z, R.V_ROI, INFLATION, POWER)
+    return _grid_back(spark, out, "column", ["iz", "z"])
+
+
 def grid_files(spark: SparkSession, d: str) -> DataFrame:
     """The composites of all sweeps written as grid files with their places and times, and read back."""
     g = _by_sweep(volume(spark, d))
@@ -126,7 +210,7 @@ def grid_files(spark: SparkSession, d: str) -> DataFrame:
     about = model.volume_times(_rays(g)).select("volume_id", "start", "stop", F.lit(LAT0).alias("lat0"), F.lit(LON0).alias("lon0"), F.lit(30.0).alias("heading"))
     folder = scratch(spark, "grids")
     rounded = out.withColumns({m: R._r(F.col(m)) for m in KINDS})
-    volumes.write_grid(rounded, folder, "ppi", list(KINDS), about).count()
+    volumes.write_grid(rounded, folder, "ppi", list(KINDS), about)
     back = volumes.read_grid(spark, folder, "ppi", list(KINDS))
     return back.select("volume_id", "iy", "ix", "y", "x", R._r(F.col("lat"), 3).alias("lat"), R._r(F.col("lon"), 3).alias("lon"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), *(R._r(F.col(m), 3).alias(m) for m in KINDS))
 
@@ -318,9 +402,39 @@ _MERGED = R._sql(
 )
 _ROUTED = "WITH f AS (SELECT event_id, 'site' || (event_id % 3) AS site, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'click' THEN 'PICCOLO_LONG' WHEN event_type = 'view' THEN 'RHI_A' WHEN event_id % 97 = 96 THEN 'VOL2' WHEN event_type = 'error' THEN 'TEST' ELSE 'CIRC' END AS n FROM events), s AS (SELECT *, count_if(n = 'VOL2') OVER (PARTITION BY site, day ORDER BY event_id) > 0 AS second FROM f) SELECT site, event_id AS file_order, CASE WHEN n = 'RHI_A' THEN 'rhi' WHEN n = 'TEST' THEN 'none' WHEN second THEN 'volume2' ELSE 'volume1' END AS product FROM s"
 
-QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, grid_files, arriving_volumes, merge_volumes, assembled_volumes, site_scans, arriving_scans)}
+def _grid_file_sql(kernel: str, keys: list[str], axes: dict[str, str]) -> str:
+    """SQL of a kernel's values, by section, as a file gives them back."""
+    at = kernel.rindex("SELECT c.")
+    place = ", ".join(f"{v} AS {k}" for k, v in axes.items())
+    values = ", ".join(f"round(CAST(CAST(nullif({m}, -32768e0) AS FLOAT) AS DOUBLE), 3) + 0e0 AS {m}" for m in KINDS)
+    return R._sql(f"SELECT 's' || section AS volume_id, {', '.join(keys)}, {place}, {values} FROM values_", f"{R._LOCATED}, {kernel[:at].rstrip()}, values_ AS ({kernel[at:]})")
+
+
+_VOLUME_FILES = _grid_file_sql(R._kernel(f"SELECT c.*, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z FROM ({_FLAT}) c, range(9) k", f"c.section = q.sweep_idx AND {R._PLANAR}", "abs(h - z)", "z", _HAVERSINE, _ARC, _ROUNDED_FAR, ["section", "iz", "iy", "ix"]), ["iz", "iy", "ix"], {"z": "250e0 * iz", "y": "1e3 * iy", "x": "1e3 * ix"})
+_RAW = "'s' || sweep_idx AS volume_id, CAST(ray_idx - min(ray_idx) OVER (PARTITION BY sweep_idx) AS INT) AS ray_idx, gate_idx"
+_FLOATS = {"dbz_tot": "dbz", "dbz": "dbz", "vel": "vel", "rate_zh": "width", "sqi_for_mask": "sqi", "hid_csu": "floor(width)", "rate_csu_blended": "snr", "temp_for_pid": "phidp", "zdr_l2": "rhohv"}
+_DUAL_ONLY = {"hid_csu", "rate_csu_blended", "temp_for_pid", "zdr_l2"}
+
+
+def _floats(profile: str) -> str:
+    shown = ", ".join("CAST(NULL AS DOUBLE) AS " + k if profile == "single_pol" and k in _DUAL_ONLY else f"round(CAST(CAST({v} AS FLOAT) AS DOUBLE), 3) + 0e0 AS {k}" for k, v in _FLOATS.items())
+    return f"SELECT '{profile}' AS profile, {_RAW}, {shown} FROM g"
+
+
+FILES = {
+    "volume_source": R._sql(f"SELECT {_RAW}, range_m, 30e0 AS heading, round(elevation / 4, 3) AS pitch, round(azimuth / 8 - 2, 3) + 0e0 AS roll, elevation AS fixed_angle, arg_min(time, gate_idx) OVER (PARTITION BY g.ray_idx) AS time, {_file('vel')} AS vel, round(CAST(CAST(round((sqi - 0.5000076e0) / 1.5259488e-5) * 1.5259488e-5 + 0.5000076e0 AS FLOAT) AS DOUBLE), 3) + 0e0 AS sqi FROM g"),
+    "polarimetric_files": R._sql(_floats("single_pol") + " UNION ALL " + _floats("dual_pol")),
+    "airborne_files": R._sql(f"SELECT {_RAW}, round(azimuth / 8 - 2, 4) + 0e0 AS rotation, round(azimuth / 16, 4) + 0e0 AS drift, round(elevation / 2, 4) + 0e0 AS tilt, CAST(NULL AS DOUBLE) AS track, round(azimuth - 20, 4) + 0e0 AS eastward_wind, 2.5e0 AS northward_wind, round(elevation - 1, 4) + 0e0 AS vertical_wind, {_file('dbz')} AS dbz_tot, {_file('vel')} AS vel FROM g"),
+    "volume_grid_files": _VOLUME_FILES,
+    "cartesian_grid_files": _VOLUME_FILES,
+    "latlon_grid_files": "SELECT 's' || sweep_idx AS volume_id, iz, ilat, ilon, round(CAST(CAST(lat AS FLOAT) AS DOUBLE), 4) + 0e0 AS lat, round(CAST(CAST(lon AS FLOAT) AS DOUBLE), 4) + 0e0 AS lon, " + ", ".join(f"round(CAST(CAST(nullif({m}, -32768e0) AS FLOAT) AS DOUBLE), 3) + 0e0 AS {m}" for m in KINDS) + f" FROM ({DRIVERS['radar_latlon_volume']})",
+    "rhi_grid_files": _grid_file_sql(R._rhi_kernel("SELECT DISTINCT sweep_idx AS section FROM g", "sweep_idx", "0e0"), ["iz", "ir"], {"z": "250e0 * iz", "r": "500e0 * ir"}),
+    "column_grid_files": _grid_file_sql(R._kernel(f"SELECT n.section, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k, {_SECTIONS}", "c.section = q.sweep_idx", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", _ROUNDED_FAR, ["section", "iz"]), ["iz"], {"z": "250e0 * iz"}),
+}
+
+QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, volume_source, polarimetric_files, airborne_files, volume_grid_files, cartesian_grid_files, latlon_grid_files, rhi_grid_files, column_grid_files, grid_files, arriving_volumes, merge_volumes, assembled_volumes, site_scans, arriving_scans)}
 
-SQL = DRIVERS | {
+SQL = DRIVERS | FILES | {
     "place_radar": R._sql("SELECT ray_idx, gate_idx, round({}, 3) + 0e0 AS x0, round({}, 3) + 0e0 AS y0 FROM m".format(*_tm("latitude", "longitude")), _PLACED),
     "tm_inverse": R._sql("SELECT ray_idx, gate_idx, round(latitude, 8) + 0e0 AS latitude, round(longitude, 8) + 0e0 AS longitude FROM m", _PLACED),
     "join_rays": R._sql("SELECT g.ray_idx, g.gate_idx, r.azimuth, r.elevation, r.time, round(g.dbz, 4) + 0e0 AS dbz FROM g JOIN (SELECT ray_idx, arg_min(azimuth, gate_idx) AS azimuth, arg_min(elevation, gate_idx) AS elevation, arg_min(time, gate_idx) AS time FROM g GROUP BY ray_idx) r USING (ray_idx)"),

@@ -7,7 +7,7 @@ import pytest
 
 from beamgrid.model import NO_VALID, UNSEEN
 from beamgrid.operators import grid
-from beamgrid.sources import netcdf, volumes
+from beamgrid.sources import netcdf, radarvol, volumes
 from beamgrid.streaming.arrivals import grid_arrivals
 
 
@@ -138,3 +138,133 @@ def test_stream(spark, tmp_path):
     with pytest.raises(Exception, match="earlier batch"):
         run()
     assert out.count() == 27 and {r.dbz for r in out.filter("volume_id = 'v2'").collect()} <= {2.0, UNSEEN}
+
+
+def many_rays(path, n_rays=400, n_gates=50, counts=None):
+    """A file of rays in four sweeps; counts: gates of each ray, for a file of points. DBZ of a gate is 100 times its ray plus its number."""
+    d = netcdf.Dataset()
+    d.attrs = {"scan_name": "SUR"}
+    d.put("time", ("time",), np.arange(n_rays) * 1.0, units="seconds since 2024-05-01T00:00:00Z")
+    for v in ("azimuth", "elevation", "nyquist_velocity", "latitude", "longitude", "altitude"):
+        d.put(v, ("time",), np.arange(n_rays, dtype=np.float32))
+    d.put("fixed_angle", ("sweep",), np.arange(4, dtype=np.float32))
+    edges = np.arange(5) * n_rays // 4
+    d.put("sweep_start_ray_index", ("sweep",), edges[:-1].astype(np.int32))
+    d.put("sweep_end_ray_index", ("sweep",), (edges[1:] - 1).astype(np.int32))
+    if counts is None:
+        values, dims = np.arange(n_rays)[:, None] * 100.0 + np.arange(n_gates), ("time", "range")
+    else:
+        values, dims = np.concatenate([r * 100.0 + np.arange(c) for r, c in enumerate(counts)]), ("n_points",)
+        d.put("ray_n_gates", ("time",), np.array(counts, np.int32))
+        d.put("ray_start_index", ("time",), (np.cumsum(counts) - counts).astype(np.int32))
+    d.put("range", ("range",), (100 * np.arange(n_gates)).astype(np.float32))
+    d.put("DBZ", dims, values.astype(np.float32), _FillValue=np.float32(-32768))
+    d.put("VEL", dims, -values.astype(np.float32))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(netcdf.dumps(d))
+
+
+@pytest.mark.parametrize("ragged", [False, True])
+def test_source_splits_rays_and_reads_what_it_needs(spark, tmp_path, monkeypatch, ragged):
+    counts = [(r * 7) % 51 for r in range(400)] if ragged else None
+    for name in ("a", "deep/b"):
+        many_rays(tmp_path / f"{name}.nc", counts=counts)
+    (tmp_path / ".hidden").mkdir()
+    many_rays(tmp_path / ".hidden" / "c.nc")
+    radarvol.register(spark)
+    source = spark.read.format("radarvol").option("split_bytes", 20_000).option("moments", "DBZ,VEL").load(str(tmp_path))
+    assert source.rdd.getNumPartitions() > 4
+    at_once = volumes.read_gates(spark, str(tmp_path), ["DBZ", "VEL"])
+    rows = source.filter("volume_id = 'deep/b'").orderBy("ray_idx", "gate_idx").collect()
+    assert len(rows) == (sum(counts) if ragged else 20_000) and all(r.DBZ == 100.0 * r.ray_idx + r.gate_idx == -r.VEL and r.range_m == 100 * r.gate_idx for r in rows)
+    assert rows == at_once.filter("volume_id = 'deep/b'").orderBy("ray_idx", "gate_idx").collect()
+    own = source.filter("volume_id = 'a' AND ray_idx >= 100 AND ray_idx < 103").select("ray_idx").distinct().collect()
+    assert {r.ray_idx for r in own} == {r for r in (100, 101, 102) if not ragged or counts[r]}
+    by_sweep = spark.read.format("radarvol").schema("volume_id string, sweep_idx int, ray_idx int, DBZ double").load(str(tmp_path)).filter("sweep_idx = 2")
+    assert {(r.sweep_idx, r.ray_idx // 100) for r in by_sweep.collect()} == {(2, 2)}
+    # in this process, counting the bytes: one field of ten rays is a small part of the file
+    read = [0]
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            read[0] += n
+            return self.file.read(n)
+
+    monkeypatch.setattr(netcdf.Header.__init__, "__defaults__", (4096,))
+    opened = radarvol.VolumeReader._open
+    monkeypatch.setattr(radarvol.VolumeReader, "_open", lambda self, path: Counting(opened(self, path)))
+    reader = radarvol.VolumeReader({"path": str(tmp_path)}, radarvol.RadarVolumes({"moments": "DBZ"}).schema())
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    list(reader.pushFilters([EqualTo(("volume_id",), "a"), GreaterThanOrEqual(("ray_idx",), 200), LessThan(("ray_idx",), 210)]))
+    (split,) = reader.partitions()
+    got = sum(b.num_rows for b in reader.read(split))
+    assert got == (sum(counts[200:210]) if ragged else 500)
+    assert read[0] < 4096 + 400 + 16 * 500 < (tmp_path / "a.nc").stat().st_size / 4
+
+
+def test_rays_of_different_lengths_round_trip(spark, tmp_path):
+    counts = [3, 0, 50, 1, 50, 7]
+    many_rays(tmp_path / "in" / "v.nc", 6, counts=counts)
+    many_rays(tmp_path / "in" / "w.nc", 6)
+    folder = str(tmp_path / "in")
+    gates = volumes.read_gates(spark, folder, ["DBZ", "VEL"]).selectExpr("*", "DBZ AS raw_DBZ")
+    assert volumes.write_volumes(gates, volumes.read_rays(spark, folder), volumes.read_sweeps(spark, folder), str(tmp_path / "out"), "packed").count() == 2
+    data = {n: netcdf.loads((tmp_path / "out" / f"{n}.nc").read_bytes()) for n in "vw"}
+    assert data["v"].variables["DBZ"][0] == ("n_points",) and data["v"].get("ray_n_gates").tolist() == counts and data["w"].variables["DBZ"][0] == ("time", "range")
+    back = volumes.read_gates(spark, str(tmp_path / "out"), ["DBZ_L1", "VEL", "UNKNOWN_ID_82"]).orderBy("volume_id", "ray_idx", "gate_idx").collect()
+    wanted = gates.orderBy("volume_id", "ray_idx", "gate_idx").collect()
+    assert [(r.volume_id, r.ray_idx, r.gate_idx, r.range_m) for r in back] == [(r.volume_id, r.ray_idx, r.gate_idx, r.range_m) for r in wanted]
+    assert all(b.DBZ_L1 == (pytest.approx(w.DBZ, abs=0.006) if w.DBZ <= 327.67 else None) and b.UNKNOWN_ID_82 is None for b, w in zip(back, wanted, strict=True))
+
+
+def test_failed_job_leaves_no_file(spark, tmp_path):
+    g = spark.sql(f"SELECT concat('v', id % 8) AS volume_id, 0 AS iy, 0 AS ix, 0D AS y, 0D AS x, CASE WHEN id = 7 THEN cast(raise_error('lost') AS double) ELSE {NO_VALID} END AS DBZ FROM range(8)")
+    with pytest.raises(Exception, match="lost"):
+        volumes.write_grid(g, str(tmp_path), "ppi", ["DBZ"])
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+    # a task that has written files fails: nothing of it is in sight
+    writer = radarvol.PieceWriter({"path": str(tmp_path), "job": "j"})
+    head = {"volume_id": "v", "field": -1, "piece": 0, "payload": b"head", "plan": '[{"bytes": 8, "piece": 4, "fill": "00000001"}]'}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([head])
+    message = writer.write(iter([batch]))
+    assert volumes.read_rays(spark, str(tmp_path)).count() == 0
+    writer.abort([message, None])
+    assert list(tmp_path.iterdir()) == []
+    message = writer.write(iter([batch]))
+    writer.commit([message, None])
+    assert (tmp_path / "v.nc").read_bytes() == b"head" + b"\0\0\0\1" * 2  # pieces that no row brought
+    with pytest.raises(ValueError, match="no header"):
+        writer.write(iter([pa.RecordBatch.from_pylist([head | {"field": 0}])]))
+
+
+def test_large_grid_in_pieces(spark, tmp_path):
+    """A grid of millions of cells: no Python worker holds more than a batch of pieces."""
+    import resource
+
+    n = (12, 401, 401)
+    g = spark.range(n[0] * n[1] * n[2]).selectExpr("'v' AS volume_id", f"int(id div {n[1] * n[2]}) AS iz", f"int(id div {n[2]} % {n[1]}) AS iy", f"int(id % {n[2]}) AS ix", "float(id % 1000) AS DBZ", "float(id % 77) AS VEL")
+    g = g.filter("NOT (iz = 3 AND iy BETWEEN 100 AND 300)").selectExpr("*", "500D * iz AS z", "500D * iy AS y", "500D * ix AS x", "double(iy) AS lat", "double(ix) AS lon")
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    path = volumes.write_grid(g, str(tmp_path), "volume", ["DBZ", "VEL"]).first().path
+    data = netcdf.loads(open(path, "rb").read())
+    values = np.arange(np.prod(n)).reshape(n)
+    dbz = data.get("DBZ")[0]
+    gap = np.isnan(dbz)
+    assert gap[3, 100:301].all() and gap.sum() == 201 * 401 and (dbz[~gap] == (values % 1000)[~gap]).all()
+    assert (data.get("VEL")[0][~gap] == (values % 77)[~gap]).all() and (data.get("latitude")[0] == np.arange(401)[:, None]).all() and data.get("X")[-1] == 200_000
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss <= max(before, 1_000_000)
