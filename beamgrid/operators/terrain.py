@@ -1,4 +1,8 @@
-"""Elevation tiles, terrain heights of places, and the mask of gates over high ground."""
+"""Elevation tiles, terrain heights of places, and the mask of gates over high ground.
+
+A tile is kept as square blocks of posts, a row for each (DEM), so the table that places are joined with has a few hundred rows a
+tile; a place takes its post out of the block by its number. Blocks without a single height are left out.
+"""
 
 from __future__ import annotations
 
@@ -14,26 +18,57 @@ from beamgrid.operators.grid import locate
 from beamgrid.operators.qc import mask
 
 VOID = -32768
-DEM = "tile string, row int, col int, elevation_m short"
+#: Posts along the edge of a block.
+BLOCK = 128
+DEM = "tile string, block_row int, block_col int, heights array<short>"
+
+
+def _blocks(name: str, heights: np.ndarray) -> Iterator[dict]:
+    """Blocks of a square of heights; those at its edges are filled with voids."""
+    side = -(-len(heights) // BLOCK) * BLOCK
+    full = np.full((side, side), VOID, np.int16)
+    full[: len(heights), : len(heights)] = heights
+    for row in range(side // BLOCK):
+        for col in range(side // BLOCK):
+            own = full[row * BLOCK : (row + 1) * BLOCK, col * BLOCK : (col + 1) * BLOCK].ravel()
+            if (own != VOID).any():
+                yield {"tile": name, "block_row": row, "block_col": col, "heights": own}
 
 
 def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """All .hgt tiles of a folder as DEM: square tiles of big-endian 16-bit heights, the first row northernmost."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("tile", pa.string()), ("block_row", pa.int32()), ("block_col", pa.int32()), ("heights", pa.list_(pa.int16()))])
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 heights = np.frombuffer(content, ">i2").astype(np.int16)
                 side = int(len(heights) ** 0.5)
                 name = path.rpartition("/")[2].partition(".")[0]
-                for row in range(side):
-                    own = heights[row * side : (row + 1) * side]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * side), pa.array(np.full(side, row, np.int32)), pa.array(np.arange(side, dtype=np.int32)), pa.array(own)], names=["tile", "row", "col", "elevation_m"])
+                yield pa.RecordBatch.from_pylist(list(_blocks(name, heights[: side * side].reshape(side, side))), schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "content").mapInArrow(decode, DEM)
 
 
+def _place(row: Column, col: Column) -> tuple[Column, Column, Column]:
+    """(block row, block column, number in the block) of a post."""
+    return F.floor(row / BLOCK).cast("int"), F.floor(col / BLOCK).cast("int"), ((row % BLOCK) * BLOCK + col % BLOCK).cast("int")
+
+
+def blocks(posts: DataFrame) -> DataFrame:
+    """DEM from a table of single posts: tile, row, col, elevation_m; posts that are not there are void."""
+    block_row, block_col, number = _place(F.col("row"), F.col("col"))
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.full(BLOCK * BLOCK, VOID, np.int16)
+        own[table["number"].to_numpy()] = table["elevation_m"].fill_null(VOID).to_numpy()
+        return pa.table({"tile": [key[0].as_py()], "block_row": pa.array([key[1].as_py()], pa.int32()), "block_col": pa.array([key[2].as_py()], pa.int32()), "heights": pa.array([own], pa.list_(pa.int16()))})
+
+    held = posts.select("tile", block_row.alias("block_row"), block_col.alias("block_col"), number.alias("number"), F.col("elevation_m").cast("short").alias("elevation_m"))
+    return held.groupBy("tile", "block_row", "block_col").applyInArrow(join, DEM)
+
+
 def tile_cell(lat: Column, lon: Column, side: int) -> tuple[Column, Column, Column]:
     """(tile, row, col) of the nearest post of a tile with `side` posts along an edge."""
     row = F.round((F.ceil(lat) - lat) * (side - 1)).cast("int")
@@ -47,9 +82,11 @@ def tile_cell(lat: Column, lon: Column, side: int) -> tuple[Column, Column, Colu
 def elevations(places: DataFrame, dem: DataFrame, lat: str, lon: str, side: int, name: str = "elevation_m") -> DataFrame:
     """places with the elevation there; null where the tile is absent or the post void."""
     tile, row, col = tile_cell(F.col(lat), F.col(lon), side)
-    marked = places.withColumns({"_tile": tile, "_row": row, "_col": col})
-    held = dem.select(F.col("tile").alias("_tile"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.when(F.col("elevation_m") != VOID, F.col("elevation_m")).alias(name))
-    return marked.join(held, ["_tile", "_row", "_col"], "left").drop("_tile", "_row", "_col")
+    block_row, block_col, number = _place(row, col)
+    marked = places.withColumns({"_tile": tile, "_row": block_row, "_col": block_col, "_number": number})
+    held = dem.select(F.col("tile").alias("_tile"), F.col("block_row").alias("_row"), F.col("block_col").alias("_col"), "heights")
+    height = F.get("heights", F.col("_number"))
+    return marked.join(held, ["_tile", "_row", "_col"], "left").select(*places.columns, F.when(height != VOID, height).alias(name))
 
 
 def terrain_height(places: DataFrame, dem: DataFrame, lat: str, lon: str, side: int, name: str = "terrain_m") -> DataFrame:

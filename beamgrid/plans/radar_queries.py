@@ -172,7 +172,7 @@ def terrain_mask(spark, d):
     g = volume(spark, d)
     posts = g.groupBy((F.col("ray_idx") % 11).alias("row"), (F.col("gate_idx") % 11).alias("col")).agg(F.count("dbz").alias("n"))
     dem = posts.select(F.lit("S03W046").alias("tile"), "row", "col", F.when(F.col("n") % 7 == 0, terrain.VOID).otherwise(F.col("n") % 97).cast("short").alias("elevation_m"))
-    return _shown(terrain.terrain_mask(g, ["dbz", "vel"], dem, -2.52, -45.23, 50.0, 11, "sqi"), ["dbz", "vel"])
+    return _shown(terrain.terrain_mask(g, ["dbz", "vel"], terrain.blocks(dem), -2.52, -45.23, 50.0, 11, "sqi"), ["dbz", "vel"])
 
 
 def pack_int16(spark, d):

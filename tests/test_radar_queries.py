@@ -224,7 +224,7 @@ def test_terrain(spark, tmp_path):
     for name, heights in {"N01E002": np.arange(9).reshape(3, 3), "S02W001": np.full((3, 3), -32768)}.items():
         heights.astype(">i2").tofile(tmp_path / f"{name}.hgt")
     dem = terrain.read_tiles(spark, str(tmp_path))
-    assert dem.count() == 18
+    assert [(r.tile, r.block_row, r.block_col, len(r.heights)) for r in dem.collect()] == [("N01E002", 0, 0, terrain.BLOCK**2)]  # the other tile is void
     places = spark.createDataFrame([(1, 1.99, 2.01), (2, 1.0, 2.5), (3, -1.5, -0.5), (4, 40.0, 40.0), (5, -2.0, -1.0)], "k int, lat double, lon double")
     out = {r.k: r.terrain_m for r in terrain.terrain_height(places, dem, "lat", "lon", 3).collect()}
     assert out == {1: 0.0, 2: 7.0, 3: -1.0, 4: -1.0, 5: -1.0}
@@ -232,6 +232,25 @@ def test_terrain(spark, tmp_path):
     assert {r.k: r.t for r in names} == {1: "N01E002", 2: "N01E002", 3: "S02W001", 4: "N40E040", 5: "S03W002"}
 
 
+def test_terrain_of_a_full_tile(spark, tmp_path):
+    import numpy as np
+
+    side = 1201
+    heights = (np.arange(side * side).reshape(side, side) % 4001).astype(np.int16)
+    heights[700, 800] = terrain.VOID
+    heights.astype(">i2").tofile(tmp_path / "N10W021.hgt")
+    dem = terrain.read_tiles(spark, str(tmp_path))
+    assert dem.count() == 100
+    rng = random.Random(1)
+    at = [(r, c) for r, c in ((rng.randrange(1, side - 1), rng.randrange(1, side - 1)) for _ in range(200))] + [(700, 800)]
+    places = spark.createDataFrame([(r, c, 11 - r / 1200, -21 + c / 1200) for r, c in at], "r int, c int, lat double, lon double")
+    got = {(x.r, x.c): x.terrain_m for x in terrain.terrain_height(places, dem, "lat", "lon", side).collect()}
+    assert got == {(r, c): -1.0 if (r, c) == (700, 800) else float(heights[r, c]) for r, c in at}
+    posts = spark.createDataFrame([("t", 5, 300, 7), ("t", 6, 0, None), ("t", 0, 1, -3)], "tile string, row int, col int, elevation_m int")
+    own = {(r.block_row, r.block_col): r.heights for r in terrain.blocks(posts).collect()}
+    assert own[0, 2][5 * 128 + 44] == 7 and own[0, 0][1] == -3 and own[0, 0][6 * 128] == terrain.VOID
+
+
 @pytest.mark.parametrize("profile", sorted(profiles.PROFILES))
 def test_profile_round_trip(spark, profile):
     rows = [("v", 0, 0, 1.0, 12.34, -3.2, None), ("v", 0, 1, 2.0, None, float("nan"), 1.5)]
