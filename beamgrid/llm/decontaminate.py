@@ -2,14 +2,16 @@
 
 Words are runs of letters, digits and underscores, lower-cased. For each item of L words every window of L words of a
 document is compared, one for each word. A window has a 64-bit SimHash of its words, weighted by how rare they are
-among the items; its eight 8-bit blocks are looked up among the items' blocks with at most one wrong bit, which by the
+among the items. The items' fingerprints are in four tables, one for each 16-bit block, under every value within three
+bits of their own; a window looks its four blocks up and visits these buckets only, which by the
 pigeonhole finds every item within 15 bits. Pairs within 15 bits are confirmed exactly: the weighted similarity of
 the five-word shingles (a shingle's weight is how often it occurs: sum of minima over sum of maxima) must be 0.75 or
 more. Windows of which so few words occur in any item that they can't reach it are passed over before hashing; that
 loses nothing. A window may reach over an end of its document by up to a quarter of its words.
 
-The benchmark is dealt to parts of about part_bytes and written to the shared folder; a task reads one part at a time and makes
-its tables, so neither the driver nor a task ever holds the whole. Words are counted over all items, and a word's signs
+The benchmark is dealt to parts of about part_bytes and written to the shared folder; a task gathers GATHERED bytes of texts, then
+reads one part after another and makes its tables, so neither the driver nor a task ever holds the whole, and a part is
+made once for that many texts. A task keeps a benchmark of one part. Words are counted over all items, and a word's signs
 follow from the word alone, so the parts change no result.
 
 Defined cases: null and empty texts have no leak; items that are null, empty or without words match nothing; items of
@@ -37,6 +39,11 @@ WORD = re.compile(r"\w+")
 RADIUS, K = 15, 5
 LEAKS = "array<struct<item_id:long,start_word:int,n_words:int,similarity:double>>"
 _NOISE = 4096
+#: Bytes of texts that a task searches with one part of the benchmark before it makes the next.
+GATHERED = 64 << 20
+#: All values of a block that differ from another in three bits at most.
+_BLOCKS, _ERRORS = 4, RADIUS // 4
+_MASKS = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= _ERRORS).astype(np.uint16)
 _PAIRS = 1 << 22
 
 
@@ -78,15 +85,35 @@ class Index:
             by_size.setdefault(len(w), []).append((i, [self.vocabulary[x] for x in w]))
         for size, own in by_size.items():
             prints = self.fingerprints(np.array([ids for _, ids in own]))
-            blocks = prints.view(np.uint8).reshape(-1, 8)
-            near = [np.bitwise_count(blocks[None, :, b] ^ np.arange(256, dtype=np.uint8)[:, None]) <= RADIUS // 8 for b in range(8)]
-            self.groups[size] = ([i for i, _ in own], [_shingles(ids) for _, ids in own], prints, near)
+            self.groups[size] = ([i for i, _ in own], [_shingles(ids) for _, ids in own], prints, [self._table(b) for b in prints.view(np.uint16).reshape(-1, _BLOCKS).T])
         self.pairs = np.zeros(_PAIRS, bool)
         for own in by_size.values():
             for _, ids in own:
                 self.pairs[_pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))] = True
         self.pad = max(by_size, default=0) // 4 + 2
 
+    @staticmethod
+    def _table(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted values, item of each) of all values near the items' values of one block."""
+        values = (block[:, None] ^ _MASKS).ravel()
+        order = np.argsort(values, kind="stable")
+        return values[order], (order // len(_MASKS)).astype(np.int32)
+
+    @staticmethod
+    def _near(tables: list[tuple[np.ndarray, np.ndarray]], prints: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within the radius, by the buckets of the windows' blocks."""
+        rows, items = [], []
+        for (values, item), block in zip(tables, windows.view(np.uint16).reshape(-1, _BLOCKS).T, strict=True):
+            low, high = np.searchsorted(values, block, "left"), np.searchsorted(values, block, "right")
+            n = high - low
+            row = np.repeat(np.arange(len(block)), n)
+            own = item[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(row))]
+            within = np.bitwise_count(prints[own] ^ windows[row]) <= RADIUS
+            rows.append(row[within])
+            items.append(own[within])
+        pairs = np.unique(np.concatenate(rows) * len(prints) + np.concatenate(items))
+        return pairs // len(prints), pairs % len(prints)
+
     def fingerprints(self, windows: np.ndarray) -> np.ndarray:
         bits = self.signs[windows].sum(axis=1) > 0
         return np.packbits(bits, axis=1).view(np.uint64).ravel()
@@ -120,13 +147,8 @@ class Index:
                 starts = np.flatnonzero(total[size - 1 :] - total[: len(total) - size + 1] >= enough)
             for part in (starts[i : i + 512] for i in range(0, len(starts), 512)):
                 windows = self.fingerprints(at[part[:, None] + np.arange(size)])
-                blocks = windows.view(np.uint8).reshape(-1, 8)
-                close = near[0][blocks[:, 0]]
-                for b in range(1, 8):
-                    close = close | near[b][blocks[:, b]]
-                row, item = np.nonzero(close)
-                within = np.bitwise_count(prints[item] ^ windows[row]) <= RADIUS
-                for start, j in zip(part[row[within]].tolist(), item[within].tolist(), strict=True):
+                row, item = self._near(near, prints, windows)
+                for start, j in zip(part[row].tolist(), item.tolist(), strict=True):
                     doc = int(np.searchsorted(begin, start + size // 2, "right")) - 1
                     first = max(start - int(begin[doc]), 0)
                     own = rows[doc][first : max(0, min(start + size - int(begin[doc]), int(sizes[doc])))]
@@ -165,7 +187,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.string())], names=["row", "word"])
 
 
-def leaks(benchmark: DataFrame, text: Column | str = "text", part_bytes: int = 4 << 20) -> Column:
+def leaks(benchmark: DataFrame, text: Column | str = "text", part_bytes: int = 2 << 20) -> Column:
     """For each text the items that it holds, as LEAKS. benchmark: item_id, text."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").withColumn("row", F.monotonically_increasing_id())
@@ -181,9 +203,8 @@ def leaks(benchmark: DataFrame, text: Column | str = "text", part_bytes: int = 4
     held.repartition("part").write.partitionBy("part").parquet(path)
     filled = [r[0] for r in spark.read.parquet(path).select("part").distinct().orderBy("part").collect()] if n_items else []
 
-    @F.pandas_udf(LEAKS)
-    def find(texts: pd.Series) -> pd.Series:
-        out: list[list] = [[] for _ in range(len(texts))]
+    def gathered(texts: list) -> list[list]:
+        out: list[list] = [[] for _ in texts]
         for part in filled:
             index, held, size, first = _load(path, part, n_items), [], 0, 0
             for k, t in enumerate(texts):
@@ -193,7 +214,19 @@ def leaks(benchmark: DataFrame, text: Column | str = "text", part_bytes: int = 4
                     for j, found in enumerate(index.search(held), first):
                         out[j] += found
                     held, size, first = [], 0, k + 1
-        return pd.Series([[{"item_id": a, "start_word": b, "n_words": c, "similarity": d} for a, b, c, d in sorted(x, key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))] for x in out])
+        return [[{"item_id": a, "start_word": b, "n_words": c, "similarity": d} for a, b, c, d in sorted(x, key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))] for x in out]
+
+    @F.pandas_udf(LEAKS)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, size = [], 0
+        for texts in batches:
+            held.append(texts)
+            size += sum(len(t or "") for t in texts)
+            if size >= GATHERED or len(filled) < 2:
+                yield pd.Series(gathered([t for own in held for t in own]))
+                held, size = [], 0
+        if held:
+            yield pd.Series(gathered([t for own in held for t in own]))
 
     return find(text)
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,8 @@ def test_radius_is_guaranteed():
         v = int(prints[j])
         for b in rng.sample(range(64), 15):
             v ^= 1 << b
-        blocks = v.to_bytes(8, "little")
-        assert any(near[b][blocks[b], j] for b in range(8))
+        _, found = Index._near(near, prints, np.array([v], np.uint64))
+        assert j in found.tolist()
 
 
 def test_column_and_cases(spark):
@@ -96,3 +97,50 @@ def test_stage(spark):
     assert planted and planted <= bad and len(bad) <= 2 * len(planted)
     out = decontaminate.stage(spark, docs, d)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == held.keys() - bad
+
+
+def test_query_against_all_windows(spark):
+    """The query on the small tables: every pair that shares a shingle, by the best of all its windows."""
+    d = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    holders = {}
+    for i, t in items:
+        for s in _shingles(WORD.findall((t or "").lower())):
+            holders.setdefault(s, set()).add(i)
+    text_of, wanted = dict(items), {}
+    for k, t in docs:
+        near = set().union(*(holders.get(s, set()) for s in _shingles(WORD.findall((t or "").lower())))) if t else set()
+        for i, alike in brute([(i, text_of[i]) for i in near], t).items():
+            wanted[k, i] = alike
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.query(spark, d).collect()}
+    assert len(wanted) > 20 and got.keys() <= wanted.keys()
+    assert len(got) >= 0.95 * len(wanted) and all(0.75 <= got[x] <= round(wanted[x], 6) for x in got)
+
+
+def test_parts_change_nothing(spark, monkeypatch):
+    """Many small parts, texts gathered over several batches: the same leaks as with one part."""
+    items, texts = corpus(7)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t if i % 11 else None) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = []
+        for part_bytes, gathered in ((1 << 21, 64 << 20), (300, 64 << 20), (300, 2000)):
+            monkeypatch.setattr(decontaminate, "GATHERED", gathered)
+            found.append({r.doc_id: r.l for r in docs.select("doc_id", leaks(bench, part_bytes=part_bytes).alias("l")).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found[0]) == len(texts) and sum(map(len, found[0].values())) > 15
+    assert found[0] == found[1] == found[2]
+
+
+def test_tables_give_all_pairs_within_the_radius():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    windows = np.concatenate([rng.integers(0, 2**63, 50, dtype=np.uint64), *(np.bitwise_xor(prints, np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 40)).astype(np.uint64), axis=0)) for n in (1, 8, 14, 15, 16, 17))])
+    tables = [Index._table(b) for b in prints.view(np.uint16).reshape(-1, 4).T]
+    row, item = Index._near(tables, prints, windows)
+    wanted = np.nonzero(np.bitwise_count(windows[:, None] ^ prints[None, :]) <= decontaminate.RADIUS)
+    assert sorted(zip(row.tolist(), item.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in wanted), strict=True)) and len(row) > 150
