@@ -90,6 +90,13 @@ def radar_latlon_volume(spark: SparkSession, d: str) -> DataFrame:
     return _driven(grid.radar_latlon_volume(*_flying(spark, d), KINDS, *LAT, *LON, STEP, LEVELS, INFLATION, POWER), ["iz", "ilat", "ilon"])
 
 
+def radar_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The platform's place, the beam and the place of every gate, each sweep from its own reference."""
+    g = grid.locate(grid.placed(*_flying(spark, d)))
+    shown = {"lat0": 8, "lon0": 8, "x0": 3, "y0": 3, "az": 8, "el": 8, "range_m": 3, "h": 3, "gx": 3, "gy": 3}
+    return g.select(F.col("volume_id").alias("sweep_idx"), "ray_idx", "gate_idx", *(R._r(F.col(c), n).alias(c) for c, n in shown.items()))
+
+
 def volume_reference(spark: SparkSession, d: str) -> DataFrame:
     """The reference of every sweep by its first ray, and the same cut to tenths of a degree."""
     _, rays = _flying(spark, d)
@@ -327,18 +334,22 @@ def _unprojected(source: str, x: str, y: str, keep: str) -> str:
     return f"SELECT {keep}, round(_lat, 6) + 0e0 AS lat, round(_lon, 6) + 0e0 AS lon FROM ({steps})"
 
 
+def _placed_sql(cut: str = "{v}") -> str:
+    """Tables up to the located gates `q` of sweeps that are placed from their first rays (`ref`)."""
+    rays = f"SELECT sweep_idx, ray_idx, azimuth, {_e(LAT0)} + 0.31e0 * sweep_idx + 0.0004e0 * (ray_idx % 50) AS latitude, {_e(LON0)} - 0.23e0 * sweep_idx + 0.0006e0 * (ray_idx % 37) AS longitude FROM g WHERE gate_idx = 0"
+    first = f"SELECT sweep_idx AS section, {cut.format(v='arg_min(latitude, ray_idx)')} AS lat0, {cut.format(v='arg_min(longitude, ray_idx)')} AS lon0, radians(arg_min(azimuth, ray_idx)) AS az_first FROM rays GROUP BY sweep_idx"
+    own = _projected("(SELECT section, r.ray_idx AS own_ray, latitude, longitude, lat0, lon0, az_first FROM rays r JOIN ref ON r.sweep_idx = section)", "latitude", "longitude", "lat0", "lon0", "px", "py")
+    return f"rays AS ({rays}), ref AS MATERIALIZED ({first}), own AS MATERIALIZED ({own}), placed AS (SELECT g.* EXCLUDE (x0, y0), own.px AS x0, own.py AS y0, own.az_first, own.section FROM g JOIN own ON g.ray_idx = own.own_ray), {R._LOCATED.replace('FROM g)', 'FROM placed)')}"
+
+
 def _driver_sql(kernel: str, keys: list[str], cell: list[str], place: str, cut: str = "{v}") -> str:
     """SQL of a driver's grid: each sweep is placed from its first ray.
 
     kernel: tables up to a last SELECT of the cells' values; place: SQL of lat and lon by section and the numbers in `cell`.
     """
-    rays = f"SELECT sweep_idx, ray_idx, azimuth, {_e(LAT0)} + 0.31e0 * sweep_idx + 0.0004e0 * (ray_idx % 50) AS latitude, {_e(LON0)} - 0.23e0 * sweep_idx + 0.0006e0 * (ray_idx % 37) AS longitude FROM g WHERE gate_idx = 0"
-    first = f"SELECT sweep_idx AS section, {cut.format(v='arg_min(latitude, ray_idx)')} AS lat0, {cut.format(v='arg_min(longitude, ray_idx)')} AS lon0, radians(arg_min(azimuth, ray_idx)) AS az_first FROM rays GROUP BY sweep_idx"
-    own = _projected("(SELECT section, r.ray_idx AS own_ray, latitude, longitude, lat0, lon0, az_first FROM rays r JOIN ref ON r.sweep_idx = section)", "latitude", "longitude", "lat0", "lon0", "px", "py")
-    placed = f"rays AS ({rays}), ref AS MATERIALIZED ({first}), own AS MATERIALIZED ({own}), placed AS (SELECT g.* EXCLUDE (x0, y0), own.px AS x0, own.py AS y0, own.az_first, own.section FROM g JOIN own ON g.ray_idx = own.own_ray), {R._LOCATED.replace('FROM g)', 'FROM placed)')}"
     at = kernel.rindex("SELECT c.")
     shown = ", ".join([f"o.section AS sweep_idx, {', '.join('o.' + k for k in keys)}, p.lat, p.lon", *KINDS])
-    return R._sql(f"SELECT {shown} FROM values_ o JOIN places p USING (section{''.join(', ' + c for c in cell)})", f"{placed}, {kernel[:at].rstrip()}, values_ AS ({kernel[at:]}), places AS ({place})")
+    return R._sql(f"SELECT {shown} FROM values_ o JOIN places p USING (section{''.join(', ' + c for c in cell)})", f"{_placed_sql(cut)}, {kernel[:at].rstrip()}, values_ AS ({kernel[at:]}), places AS ({place})")
 
 
 _SECTIONS = "(SELECT DISTINCT sweep_idx AS section FROM g) n"
@@ -432,12 +443,13 @@ FILES = {
     "column_grid_files": _grid_file_sql(R._kernel(f"SELECT n.section, CAST(k.range AS INT) AS iz, 250e0 * k.range AS z, greatest(2.5e0 * k.range, 187.5e0) AS eff_v FROM range(9) k, {_SECTIONS}", "c.section = q.sweep_idx", "abs(h - z)", "z", "abs(elc - el)", "CASE WHEN elc IS NOT NULL THEN z / cos(el) END", _ROUNDED_FAR, ["section", "iz"]), ["iz"], {"z": "250e0 * iz"}),
 }
 
-QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, volume_reference, volume_files, volume_source, polarimetric_files, airborne_files, volume_grid_files, cartesian_grid_files, latlon_grid_files, rhi_grid_files, column_grid_files, grid_files, arriving_volumes, merge_volumes, assembled_volumes, site_scans, arriving_scans)}
+QUERIES = {f.__name__: f for f in (place_radar, tm_inverse, join_rays, radar_volume, radar_composite, radar_column, grid_ppi, grid_rhi, radar_latlon_volume, radar_arrays, volume_reference, volume_files, volume_source, polarimetric_files, airborne_files, volume_grid_files, cartesian_grid_files, latlon_grid_files, rhi_grid_files, column_grid_files, grid_files, arriving_volumes, merge_volumes, assembled_volumes, site_scans, arriving_scans)}
 
 SQL = DRIVERS | FILES | {
     "place_radar": R._sql("SELECT ray_idx, gate_idx, round({}, 3) + 0e0 AS x0, round({}, 3) + 0e0 AS y0 FROM m".format(*_tm("latitude", "longitude")), _PLACED),
     "tm_inverse": R._sql("SELECT ray_idx, gate_idx, round(latitude, 8) + 0e0 AS latitude, round(longitude, 8) + 0e0 AS longitude FROM m", _PLACED),
     "join_rays": R._sql("SELECT g.ray_idx, g.gate_idx, r.azimuth, r.elevation, r.time, round(g.dbz, 4) + 0e0 AS dbz FROM g JOIN (SELECT ray_idx, arg_min(azimuth, gate_idx) AS azimuth, arg_min(elevation, gate_idx) AS elevation, arg_min(time, gate_idx) AS time FROM g GROUP BY ray_idx) r USING (ray_idx)"),
+    "radar_arrays": R._sql("SELECT q.sweep_idx, ray_idx, gate_idx, " + ", ".join(f"round({c}, {n}) + 0e0 AS {c}" for c, n in (("lat0", 8), ("lon0", 8), ("x0", 3), ("y0", 3), ("az", 8), ("el", 8), ("range_m", 3), ("h", 3), ("gx", 3), ("gy", 3))) + " FROM q JOIN ref USING (section)", _placed_sql()),
     "volume_reference": R._sql(
         f"SELECT sweep_idx, round(lat, 8) + 0e0 AS lat0, round(lon, 8) + 0e0 AS lon0, round(az, 8) + 0e0 AS az_first, round({_CUT.format(d='0.1e0').format(v='lat')}, 8) + 0e0 AS lat_cut, round({_CUT.format(d='0.1e0').format(v='lon')}, 8) + 0e0 AS lon_cut FROM r",
         f"r AS (SELECT sweep_idx, {_e(LAT0)} + 0.31e0 * sweep_idx + 0.0004e0 * (min(ray_idx) % 50) AS lat, {_e(LON0)} - 0.23e0 * sweep_idx + 0.0006e0 * (min(ray_idx) % 37) AS lon, radians(arg_min(azimuth, ray_idx)) AS az FROM g GROUP BY sweep_idx)",
