@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamgrid.model import R_EFF
@@ -110,6 +110,19 @@ def tm_forward(lat_deg: Column, lon_deg: Column, lat0: Column | float, lon0: Col
     return radius * x, radius * y - meridian_arc(lat0)
 
 
+def with_tm(df: DataFrame, lat_deg: Column, lon_deg: Column, lat0: Column | float, lon0: Column | float, x: str = "x", y: str = "y") -> DataFrame:
+    """df with tm_forward's x and y, step by step, so that a row computes each part of the series once however it is used."""
+    radius, forward, _ = _kruger()
+    s = F.sin(F.radians(lat_deg))
+    out = df.withColumns({"_t": F.sinh(F.atanh(s) - _E * F.atanh(_E * s)), "_dl": F.radians(lon_deg - lon0)})
+    out = out.withColumns({"_xi": F.atan2(F.col("_t"), F.cos("_dl")), "_eta": F.asinh(F.sin("_dl") / F.sqrt(F.col("_t") * F.col("_t") + F.cos("_dl") * F.cos("_dl")))})
+    xs, ys = F.col("_eta"), F.col("_xi")
+    for j, a in enumerate(forward, 1):
+        ys = ys + a * F.sin(2.0 * j * F.col("_xi")) * F.cosh(2.0 * j * F.col("_eta"))
+        xs = xs + a * F.cos(2.0 * j * F.col("_xi")) * F.sinh(2.0 * j * F.col("_eta"))
+    return out.withColumns({x: radius * xs, y: radius * ys - meridian_arc(lat0)}).drop("_t", "_dl", "_xi", "_eta")
+
+
 def tm_inverse(x: Column, y: Column, lat0: Column | float, lon0: Column | float) -> tuple[Column, Column]:
     """(latitude, longitude) of transverse Mercator coordinates."""
     radius, _, inverse = _kruger()

@@ -129,9 +129,10 @@ def near_degrees(gates: DataFrame, lat: Axis, lon: Axis, h_roi: Column | float,
     held = held.withColumns({"_a": F.degrees(angle), "_w": F.degrees(wide)})
     held = held.withColumn("iy", F.explode(_and_whole(_numbers(lat, F.col("_lat") - F.col("_a"), F.col("_lat") + F.col("_a")))))
     held = held.withColumn("ix", F.explode(_or_whole("iy", _numbers(lon, F.col("_lon") - F.col("_w"), F.col("_lon") + F.col("_w")))))
-    x, y = G.tm_forward(_at(lat, F.col("iy")), _at(lon, F.col("ix")), lat0, lon0)
+    held = G.with_tm(held.drop("_lat", "_lon", "_a", "_w"), _at(lat, F.col("iy")), _at(lon, F.col("ix")), lat0, lon0, "_x", "_y")
     # behind a generator the long expressions of x and y are not copied into the distance test
-    held = held.select("*", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("_p")).select(*(c for c in held.columns if c not in ("_lat", "_lon", "_a", "_w")), "_p.x", "_p.y")
+    kept = [c for c in held.columns if c not in ("_x", "_y")]
+    held = held.select(*kept, F.explode(F.array(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))).alias("_p")).select(*kept, "_p.x", "_p.y")
     return _exactly(held, h_roi, inflation)
 
 

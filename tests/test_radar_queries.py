@@ -202,7 +202,7 @@ def test_plan_has_one_scan_and_no_join(spark, tmp_path):
 def test_default_volume_grid(spark):
     gates, rays = flying(spark, 20, 200, 1)
     out = grid.radar_volume(gates, rays, {"dbz": "linear"}, model.X, model.Y, model.Z, model.BEAM_INFLATION, model.POWER_THRESHOLD)
-    r = out.agg(F.count(F.lit(1)), F.countDistinct("iz", "iy", "ix"), F.count_if(F.col("dbz") > 0), F.max("lat"), F.min("lat")).first()
+    r = out.agg(F.count(F.lit(1)), F.countDistinct("iz", "iy", "ix"), F.count_if(F.col("dbz") > model.UNSEEN), F.max("lat"), F.min("lat")).first()
     assert r[0] == r[1] == 501 * 501 * 37 and r[2] > 0
     assert r[3] == pytest.approx(10.26 + 125 / 110.6, abs=0.01) and r[4] == pytest.approx(10.26 - 125 / 110.6, abs=0.01)
 
