@@ -19,7 +19,8 @@ source, and no group is gathered: counts and first places are combined before th
 Words are parted by white space or bars; two characters of Han or kana, or four of Thai, Lao, Khmer or Burmese, count as one
 more. Defined cases: null stays null and empty stays empty; rows equal in doc_id and text count as one document and share
 its result; null doc_ids come last, told apart by 128 bits of hashes of their texts. An empty table gives no row. Other columns
-are kept as they are, whatever their names; one named lines_deleted is replaced.
+are kept as they are, whatever their names; one named lines_deleted is replaced. Ids are whole numbers; others need a number
+of their own first.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ shares with any open member at all would be enough, which is exact and ends most
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; a null doc_id is
 never a component's name while another exists, else the component is null; rows that repeat a doc_id are documents of
-their own. An empty table gives no row. Columns beside doc_id and text are not read.
+their own. An empty table gives no row. Columns beside doc_id and text are not read. Ids are whole numbers; others need a
+number of their own first.
 """
 
 from __future__ import annotations

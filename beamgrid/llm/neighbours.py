@@ -11,7 +11,7 @@ its cosine, which at least equals the k-th largest lower bound in any tile that
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do vectors of
 another length than the query's; rows with a null id take no part; ties go to the smaller id; rows that repeat an id are
 candidates of their own, but none for a query of the same id. Fewer than k candidates: all of them. An empty table gives no
-row. Columns beside id and vector are not read.
+row. Columns beside id and vector are not read. Ids are whole numbers; others need a number of their own first.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ bins of fixed number, and pool-adjacent-violators on the bins calibrates the fit
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score; rows without a label, with a null
 label or with a null doc_id, and the held-out fold, teach nothing; repeated labels count as rows; without labels every
-score is 0.5. Columns beside doc_id and text are not read.
+score is 0.5. Columns beside doc_id and text are not read. Ids are whole numbers; others need a number of their own first.
 """
 
 from __future__ import annotations
