@@ -2,6 +2,8 @@
 
 import math
 import random
+from datetime import datetime, timedelta
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -279,3 +281,27 @@ def test_every_sweep_is_gridded(spark):
 def test_every_azimuth_is_gridded(spark):
     out = registry.queries()["grid_rhi_azimuths"](spark, "/root/testdata/sf0.01").groupBy("azimuth_idx").count().collect()
     assert {r["count"] for r in out} == {9 * 51} and sorted(r.azimuth_idx for r in out) == list(range(50))
+
+
+def same_as_sql(spark, folder, name, events):
+    """A query over events (event_id, event_type, value) against its SQL."""
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i % 86400), 1, t, float(v), "") for i, t, v in events]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    wanted = c.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(folder)).select(*(x[0] for x in wanted.description))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+def test_linear_values_at_the_edge_of_rounding(spark, tmp_path):
+    edges = [75.47271339912272, 311.9258050166876, 477.79327335417514, 319.220089617953, 549.4411036199127]
+    same_as_sql(spark, tmp_path, "db_linear", [(i, "click", v) for i, v in enumerate(edges)])
+
+
+def test_power_of_ten(spark):
+    values = [0.0, 1.0, 3.0, -1.0, 6.546271339912272, 22.0, -22.5, 300.1, -300.1, 308.2, 1e6, -1e6]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "y double").select(G.power_of_ten(F.col("y"))).collect()]
+    for y, p in zip(values, got, strict=True):
+        assert p == (float(Decimal(10) ** Decimal(y)) if y < 309 else math.inf)
+    assert spark.range(1).select(G.power_of_ten(F.lit(None).cast("double")), F.isnan(G.power_of_ten(F.lit(float("nan"))))).first()[:] == (None, True)
