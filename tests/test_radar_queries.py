@@ -305,3 +305,9 @@ def test_power_of_ten(spark):
     for y, p in zip(values, got, strict=True):
         assert p == (float(Decimal(10) ** Decimal(y)) if y < 309 else math.inf)
     assert spark.range(1).select(G.power_of_ten(F.lit(None).cast("double")), F.isnan(G.power_of_ten(F.lit(float("nan"))))).first()[:] == (None, True)
+
+
+@pytest.mark.parametrize("sweep", [298, 880])
+def test_degree_grid_beyond_a_pole(spark, tmp_path, sweep):
+    """The sweep's latitudes lie next to 90 and beyond 270 degrees."""
+    same_as_sql(spark, tmp_path, "radar_latlon_volume", [(sweep * 5000 + i, "click", i * 7.3 % 120) for i in range(5000)])
