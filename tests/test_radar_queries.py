@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from beamgrid import model
 from beamgrid.functions import geometry as G
 from beamgrid.operators import grid, qc, terrain
-from beamgrid.plans import registry
+from beamgrid.plans import radar_queries, registry
 from beamgrid.sources import profiles
 
 SF = "/root/testdata/sf0.001"
@@ -311,3 +311,15 @@ def test_power_of_ten(spark):
 def test_degree_grid_beyond_a_pole(spark, tmp_path, sweep):
     """The sweep's latitudes lie next to 90 and beyond 270 degrees."""
     same_as_sql(spark, tmp_path, "radar_latlon_volume", [(sweep * 5000 + i, "click", i * 7.3 % 120) for i in range(5000)])
+
+
+@pytest.mark.parametrize("name", ["grid_volume", "grid_rhi_azimuths", "grid_composite", "grid_column", "grid_ppi_sweeps"])
+def test_tasks_hold_bounded_numbers_of_gates(spark, monkeypatch, name):
+    """Gates dealt to many tasks give the same grid."""
+    wanted = registry.queries()[name](spark, SF)
+    monkeypatch.setattr(grid, "TASK_GATES", 100)
+    monkeypatch.setattr(grid, "TASK_RAYS", 1)
+    dealt = grid._dealt(radar_queries.volume(spark, SF), None, ["volume_id", "ray_idx", "gate_idx"])
+    sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert dealt.rdd.getNumPartitions() == 10 and sum(sizes) == 1000 and max(sizes) <= 500
+    assert sorted(map(tuple, registry.queries()[name](spark, SF).collect())) == sorted(map(tuple, wanted.collect()))
