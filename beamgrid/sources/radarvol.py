@@ -1,7 +1,7 @@
 """Data source `radarvol`: files of radar volumes read by ranges of rays, and files written in two phases.
 
-Reading: a file is one or more splits of its rays, by its size; a task reads the header and then only the bytes of its rays
-and of the variables in the requested schema. Equal and range conditions on volume_id, sweep_idx and ray_idx choose
+Reading: a file is one or more splits of its rays, by its size; a split's header is read and then only the bytes of its rays
+and of the variables in the requested schema. Where there are many small splits a task reads several, one after the other. Equal and range conditions on volume_id, sweep_idx and ray_idx choose
 files and rays before anything of a field is read (spark.sql.python.filterPushdown.enabled). Fields are dense (time, range), or
 ragged: one row of points, of which each ray holds ray_n_gates from ray_start_index on.
 
@@ -32,6 +32,8 @@ from beamgrid.sources import netcdf
 
 #: Bytes of a file that one task reads at most, about, and values of a field that it decodes at once.
 SPLIT, BLOCK = 32 << 20, 1 << 20
+#: Tasks to which small splits are dealt before one gets several.
+TASKS = 128
 
 #: A piece of a file: the header has field -1 and a plan; field and piece tell the place of the others.
 PIECES = "volume_id string, field int, piece int, payload binary, plan string"
@@ -45,13 +47,34 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Split(InputPartition):
+class Split:
     path: str
     volume_id: str
     part: int
     parts: int
 
 
+@dataclass
+class Splits(InputPartition):
+    """What one task reads."""
+
+    held: list[Split]
+
+
+def together(splits: list[tuple[int, Split]]) -> list[Splits]:
+    """(bytes, split) in order, as tasks: of a share of all bytes each, but of no more than SPLIT where a split is smaller."""
+    share = min(SPLIT, sum(size for size, _ in splits) / TASKS)
+    out: list[Splits] = []
+    held = 0
+    for size, split in splits:
+        if not out or held + size > share:
+            out.append(Splits([]))
+            held = 0
+        out[-1].held.append(split)
+        held += size
+    return out
+
+
 def ray_blocks(head: netcdf.Header, a: int, b: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first ray, ray behind the last, numbers of gates of each, places of their first values) of blocks of the rays a to b."""
     if "n_points" in head.dims:
@@ -113,7 +136,7 @@ class VolumeReader(DataSourceReader):
                     self.rays[1] = min(self.rays[1], f.value - isinstance(f, LessThan))
             yield f
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Splits]:
         where, root = filesystem(self.folder)
         out = []
         for info in where.get_file_info(fs.FileSelector(root, recursive=True)):
@@ -123,16 +146,18 @@ class VolumeReader(DataSourceReader):
             if info.type != fs.FileType.File or hidden or name == inside or (self.volumes is not None and name not in self.volumes):
                 continue
             parts = max(1, -(-info.size // self.split)) if self.table == "gates" else 1
-            out += [Split(info.path, name, k, parts) for k in range(parts)]
-        return out
+            out += [(-(-info.size // parts), Split(info.path, name, k, parts)) for k in range(parts)]
+        return together(out)
 
     def _open(self, path: str):
         where, _ = filesystem(self.folder)
         return where.open_input_file(path)
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if split is None:
-            return
+    def read(self, splits: Splits) -> Iterator[pa.RecordBatch]:
+        for split in splits.held if splits is not None else ():
+            yield from self._read(split)
+
+    def _read(self, split: Split) -> Iterator[pa.RecordBatch]:
         with self._open(split.path) as file:
 
             def fetch(at: int, n: int) -> bytes:

@@ -268,3 +268,16 @@ def test_large_grid_in_pieces(spark, tmp_path):
     assert gap[3, 100:301].all() and gap.sum() == 201 * 401 and (dbz[~gap] == (values % 1000)[~gap]).all()
     assert (data.get("VEL")[0][~gap] == (values % 77)[~gap]).all() and (data.get("latitude")[0] == np.arange(401)[:, None]).all() and data.get("X")[-1] == 200_000
     assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss <= max(before, 1_000_000)
+
+
+def test_many_small_splits_share_tasks():
+    split = lambda k: radarvol.Split(f"{k}.nc", str(k), 0, 1)
+    small = [(16_384, split(k)) for k in range(10_000)]
+    tasks = radarvol.together(small)
+    assert [s for t in tasks for s in t.held] == [s for _, s in small]
+    assert radarvol.TASKS <= len(tasks) < 2 * radarvol.TASKS
+    many = radarvol.together([(1 << 20, split(k)) for k in range(10_000)])
+    assert max(len(t.held) for t in many) == radarvol.SPLIT >> 20
+    assert [len(t.held) for t in radarvol.together(small[:100])] == [1] * 100
+    assert [len(t.held) for t in radarvol.together([(100 << 20, split(k)) for k in range(300)])] == [1] * 300
+    assert radarvol.together([]) == []
