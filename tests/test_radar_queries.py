@@ -323,3 +323,7 @@ def test_tasks_hold_bounded_numbers_of_gates(spark, monkeypatch, name):
     sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert dealt.rdd.getNumPartitions() == 10 and sum(sizes) == 1000 and max(sizes) <= 500
     assert sorted(map(tuple, registry.queries()[name](spark, SF).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_degree_grid_files_beyond_a_pole(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "latlon_grid_files", [(880 * 5000 + i, "click", i * 7.3 % 120) for i in range(5000)])
