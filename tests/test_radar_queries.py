@@ -327,3 +327,23 @@ def test_tasks_hold_bounded_numbers_of_gates(spark, monkeypatch, name):
 
 def test_degree_grid_files_beyond_a_pole(spark, tmp_path):
     same_as_sql(spark, tmp_path, "latlon_grid_files", [(880 * 5000 + i, "click", i * 7.3 % 120) for i in range(5000)])
+
+
+def test_places_over_one_block_are_parted(spark, monkeypatch):
+    """Places that meet one block of posts are taken by several tasks; those without a place go anywhere."""
+    monkeypatch.setattr(terrain, "PART_PLACES", 50)
+    dem = terrain.blocks(spark.createDataFrame([("N01E002", r, c, 10 * r + c) for r in range(3) for c in range(3)], "tile string, row int, col int, elevation_m int"))
+    places = spark.range(1000).selectExpr("id", "CASE WHEN id % 5 < 4 THEN 1.001D + id % 9 / 10D END AS lat", "2.001D + id % 7 / 10D AS lon", "map('a', id) AS m")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        rows = terrain.terrain_height(places, dem, "lat", "lon", 3).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 1000 and len({r.id for r in rows}) == 1000
+    at = lambda v: math.floor(v + 0.5)
+    assert all(r.terrain_m == (-1.0 if r.lat is None else 10.0 * at((math.ceil(r.lat) - r.lat) * 2) + at((r.lon - math.floor(r.lon)) * 2)) for r in rows)
+    most = [sum(r.task == k and (r.lat is None) == none for r in rows) for k in range(16) for none in (True, False)]
+    assert max(most) <= 400
