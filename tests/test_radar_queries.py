@@ -88,6 +88,16 @@ def test_folds_once(spark):
     assert [r.u for r in out] == [15.0, -15.0, None]
 
 
+@pytest.mark.parametrize("lat0", [80.58, 88.02, 89.57, 89.88])
+def test_places_next_to_a_pole(spark, lat0):
+    """The places of cells around a reference next to the pole, and beyond it, project to their cells again."""
+    cells = spark.range(26).crossJoin(spark.range(21).withColumnRenamed("id", "i")).selectExpr("1000D * id AS y", "1000D * i AS x")
+    lat, lon = G.tm_inverse(F.col("x"), F.col("y"), F.lit(lat0), F.lit(-113.9))
+    x, y = G.tm_forward(F.col("lat"), F.col("lon"), lat0, -113.9)
+    far = cells.withColumns({"lat": lat, "lon": lon}).withColumns({"px": x, "py": y}).select(F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))), F.max(F.abs("lat"))).first()
+    assert far[0] < 0.01 and far[1] <= 90
+
+
 @pytest.mark.parametrize(("lat0", "lon0"), [(0.0, 0.0), (35.2, -120.4), (-44.9, 170.1)])
 def test_projection_round_trip(spark, lat0, lon0):
     rng = random.Random(3)
