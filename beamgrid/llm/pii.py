@@ -5,15 +5,16 @@ further, overlapping spans: numbers and addresses in looser forms, such as "name
 without its plus sign, an address with spaces around its dots, and values that look like keys or passwords. Trees that see each span's format and its context give a
 probability; a span is added when that reaches its kind's threshold and it overlaps no base span and no likelier span.
 
-The trees learn from a bounded sample of documents. Positive examples are base spans, base spans rewritten in looser forms, and
+The trees learn from all documents. Positive examples are base spans, base spans rewritten in looser forms, and
 made values of every kind (names, hosts, numbers and keys drawn anew, so that nothing of the table's own values is
-learnt) written into the documents' texts in all those forms; negative ones are candidates that touch no base span, and
-forms with broken digits or parts. A form is a template; the examples of each third of the templates, and of each third of the
+learnt) written into every document's text in those forms; negative ones are candidates that touch no base span, and
+forms with broken digits or parts. Equal texts give the same examples and count once. Descriptions are cut into bins that are
+the same for every table. A form is a template; the examples of each third of the templates, and of each third of the
 documents, are judged by trees of the rest, which sets the threshold of each kind, the least with a precision of 0.99. So
 thresholds and recall are those on forms the trees were not taught.
 
 Defined cases: null and empty texts have no span; spans are code points, end exclusive; the rows of a table are judged one by
-one, so repeated rows get equal results; without base spans in the sample nothing is added. Columns beside the text are
+one, so repeated rows get equal results; without examples of both sorts nothing is added. Columns beside the text are
 kept as they are.
 """
 
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds of spans, in their order; a secret is only ever added.
@@ -111,9 +113,9 @@ def _mixed(s: str) -> bool:
     return sum(c.isdigit() for c in s) >= 3 and sum(c.isalpha() for c in s) >= 3
 
 
-def certain(text: str) -> list[Span]:
-    """Base spans, and secrets that stand behind their names."""
-    return base_spans(text) + [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text) if _mixed(m[1])]
+def secrets(text: str) -> list[Span]:
+    """Secrets that stand behind their names."""
+    return [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text) if _mixed(m[1])] if "=" in text or ":" in text else []
 
 
 def candidates(text: str | None) -> list[Span]:
@@ -150,67 +152,123 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
+def _bins(*cuts: float) -> np.ndarray:
+    return np.array(cuts, float)
+
+
+_COUNTS = _bins(*range(16), 17, 19, 21, 23, 25, 29, 32, 36, 40, 48, 64, 96)
+_FRACTIONS = _bins(*(k / 32 for k in range(31)))
+_PARTS = _bins(0, 3, 9, 12, 19, 28, 31, 49, 99, 127, 199, 255, 299, 399, 499, 599, 699, 799, 899, 999, 1899, 1989, 2030, 2999, 4999, 9999, 99999)
+#: Where each number of a description is cut into at most 32 bins; nothing of a table goes into them.
+CUTS = [_PARTS if k == 7 else _FRACTIONS if k in (23, 24, 35, 36) else _COUNTS for k in range(40)]
+BINS = 32
+
+
+def coded(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of bins: a number is at most the cut of its bin."""
+    return np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1).astype(np.uint8)
+
+
+#: Gradients are whole multiples of this, so that their sums are the same in any order.
+_GRAIN = 2.0**-24
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _steps(tree: Tree, codes: np.ndarray, steps: int) -> np.ndarray:
+    """The node that each row comes to. Nodes are numbered as in a heap; a leaf above the last level leads to the left only."""
+    feature, cut, _ = tree
+    at, first, flat = np.zeros(len(codes), np.int64), np.arange(len(codes)) * codes.shape[1], codes.ravel()
+    for _ in range(steps):
+        at = 2 * at + 1 + (flat[first + feature[at]] > cut[at])
+    return at
+
+
+def sums(codes: np.ndarray, y: np.ndarray, raw: np.ndarray, tree: Tree, level: int, nodes: list[int]) -> np.ndarray:
+    """Sums of gradients, of their slopes and of rows by node, feature and bin."""
+    n_features = codes.shape[1]
+    slots = np.full(2 ** (level + 1) - 1, -1)
+    slots[nodes] = np.arange(len(nodes))
+    slot = slots[_steps(tree, codes, level)]
+    held = slot >= 0
+    prob = 1 / (1 + np.exp(-raw[held]))
+    first, own, size = slot[held] * BINS, codes[held], len(nodes) * BINS
+    g, h = (np.rint(v / _GRAIN) for v in (prob - y[held], prob * (1 - prob)))
+    out = np.empty((len(nodes), n_features, BINS, 3))
+    for f in range(n_features):
+        place = first + own[:, f]
+        for k, made_ in enumerate((np.bincount(place, g, size), np.bincount(place, h, size), np.bincount(place, minlength=size))):
+            out[:, f, :, k] = made_.reshape(-1, BINS)
+    return out
+
+
 class Trees:
-    """Boosted trees for the logistic loss, grown on features cut at quantiles."""
+    """Boosted trees for the logistic loss, grown level by level on sums by bin, whoever makes these."""
 
     def __init__(self, rounds: int = 40, depth: int = 5, rate: float = 0.3, least: float = 4.0):
         self.rounds, self.depth, self.rate, self.least = rounds, depth, rate, least
-        self.trees: list[list[tuple]] = []
+        self.trees: list[Tree] = []
         self.start = 0.0
+        self.cuts = CUTS
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1], method="lower")) for c in x.T]
-        codes = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
-        p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    def begin(self, share: float) -> Trees:
+        p = min(max(share, 1e-3), 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
-        raw = np.full(len(y), self.start)
+        return self
+
+    def sprout(self) -> list[int]:
+        """A new tree; the nodes to be split."""
+        inner = 2**self.depth - 1
+        self.trees.append((np.zeros(inner, np.int64), np.full(inner, 255, np.uint8), np.zeros(inner + 1)))
+        return [0]
+
+    def split(self, nodes: list[int], made: np.ndarray) -> list[int]:
+        """Splits nodes of the last tree by their sums; the nodes of the next level that are to be split."""
+        feature, cut, value = self.trees[-1]
+        inner, out = len(feature), []
+
+        def end(node: int, g: float, h: float) -> None:
+            while node < inner:
+                node = 2 * node + 1
+            value[node - inner] = -self.rate * g / (h + 1)
+
+        for node, own in zip(nodes, made, strict=True):
+            g, h, n = (np.cumsum(own[:, :, k] * (_GRAIN if k < 2 else 1), axis=1) for k in range(3))
+            sum_g, sum_h, rows = g[0, -1], h[0, -1], n[0, -1]
+            gain = g**2 / (h + 1) + (sum_g - g) ** 2 / (sum_h - h + 1) - sum_g**2 / (sum_h + 1)
+            gain[(n < self.least) | (rows - n < self.least)] = 0
+            f, k = divmod(int(gain.argmax()), BINS)
+            if gain[f, k] <= 1e-6:
+                end(node, sum_g, sum_h)
+                continue
+            feature[node], cut[node] = f, k
+            for child, cg, ch in ((2 * node + 1, g[f, k], h[f, k]), (2 * node + 2, sum_g - g[f, k], sum_h - h[f, k])):
+                if child < inner:
+                    out.append(child)
+                else:
+                    end(child, cg, ch)
+        return out
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+        """Fits on rows at hand, cut at quantiles."""
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T]
+        codes, raw = coded(x, self.cuts), np.zeros(len(y))
+        raw += self.begin(y.mean()).start
         for _ in range(self.rounds):
-            prob = 1 / (1 + np.exp(-raw))
-            g, h = prob - y, prob * (1 - prob)
-            tree: list[tuple] = []
-            self._grow(tree, cuts, codes, g, h, np.arange(len(y)), self.depth)
-            self.trees.append(tree)
-            raw += self._walk(tree, x)
+            nodes = self.sprout()
+            for level in range(self.depth):
+                nodes = self.split(nodes, sums(codes, y, raw, self.trees[-1], level, nodes))
+            raw += self._value(self.trees[-1], codes)
         return self
 
-    def _grow(self, tree, cuts, codes, g, h, rows, depth) -> int:
-        """Appends the subtree over rows; a node is (feature, cut, left, right, value)."""
-        at = len(tree)
-        tree.append(())
-        sum_g, sum_h = g[rows].sum(), h[rows].sum()
-        value, best = -self.rate * sum_g / (sum_h + 1), (1e-6, None)
-        if depth and len(rows) >= 2 * self.least:
-            for f, c in enumerate(cuts):
-                own = codes[rows, f]
-                left_g, left_h = (np.cumsum(np.bincount(own, v[rows], len(c) + 1))[:-1] for v in (g, h))
-                left_n = np.cumsum(np.bincount(own, minlength=len(c) + 1))[:-1]
-                gain = left_g**2 / (left_h + 1) + (sum_g - left_g) ** 2 / (sum_h - left_h + 1) - sum_g**2 / (sum_h + 1)
-                gain[(left_n < self.least) | (len(rows) - left_n < self.least)] = 0
-                if len(gain) and gain.max() > best[0]:
-                    best = (gain.max(), (f, int(gain.argmax())))
-        if best[1] is None:
-            tree[at] = (-1, 0.0, 0, 0, value)
-            return at
-        f, k = best[1]
-        low = codes[rows, f] <= k
-        left = self._grow(tree, cuts, codes, g, h, rows[low], depth - 1)
-        right = self._grow(tree, cuts, codes, g, h, rows[~low], depth - 1)
-        tree[at] = (f, float(cuts[f][k]), left, right, value)
-        return at
-
-    @staticmethod
-    def _walk(tree: list[tuple], x: np.ndarray) -> np.ndarray:
-        feature, cut, left, right, value = (np.array(c) for c in zip(*tree, strict=True))
-        at = np.zeros(len(x), np.int64)
-        while (inner := feature[at] >= 0).any():
-            i = np.flatnonzero(inner)
-            n = at[i]
-            at[i] = np.where(x[i, feature[n]] <= cut[n], left[n], right[n])
-        return value[at]
+    def _value(self, tree: Tree, codes: np.ndarray) -> np.ndarray:
+        return tree[2][_steps(tree, codes, self.depth) - len(tree[0])]
+
+    def raw(self, codes: np.ndarray, trees: int | None = None) -> np.ndarray:
+        """Log odds by the first trees, or by all."""
+        return sum((self._value(t, codes) for t in self.trees[:trees]), np.full(len(codes), self.start))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        raw = self.start + sum((self._walk(t, x) for t in self.trees), np.zeros(len(x)))
-        return 1 / (1 + np.exp(-raw))
+        return 1 / (1 + np.exp(-self.raw(coded(x, self.cuts))))
 
 
 def _word(rng: random.Random) -> str:
@@ -311,35 +369,47 @@ def formal(kind: str, s: str) -> bool:
     return kind == "email" and "@" in s or kind == "phone" and s.startswith("+") or kind == "secret" and _mixed(s)
 
 
-def examples(text: str, seed: int, values: int = 3) -> list[tuple[list[float], int, int]]:
-    """(description, label, fold) of the candidates of a text, of rewritings of its base spans, and of `values` made ones."""
+def near_spans(text: str | None, base: list[Span]) -> list[Span]:
+    """Candidates that touch no base span."""
+    return [s for s in candidates(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+
+
+def examples(text: str, seed: int, base: list[Span], forms: int) -> list[tuple[list[float], int, int]]:
+    """(description, label, fold) of the candidates of a text, of a good and a broken form of its base spans, and of `forms` forms of made values."""
     rng = random.Random(seed)
-    base = certain(text)
+    known = base + secrets(text)
     out = []
     for span in candidates(text):
-        touching = [b for b in base if b[1] < span[2] and span[1] < b[2]]
+        touching = [b for b in known if b[1] < span[2] and span[1] < b[2]]
         if not touching:
             if not formal(span[0], text[span[1] : span[2]]):
                 out.append((describe(text, span), 0, seed % 3))
         elif any(b == span for b in touching):
             out.append((describe(text, span), 1, seed % 3))
-    # places for values: where base spans are, and the spaces of the text
-    places = [(kind, text[a:b], text[max(0, a - 60) : a], text[b : b + 60]) for kind, a, b in base[:20]]
-    for _ in range(values):
+    # places for forms: where base spans are, and the spaces of the text
+    places = []
+    for kind, a, b in known:
+        for label in (1, 0):
+            some = [f for f in rewritings(rng, kind, text[a:b]) if f[1] == label]
+            places.append((kind, rng.choice(some), text[max(0, a - 60) : a], text[b : b + 60]))
+    while forms > 0:
         kind = rng.choice(KINDS)
-        at = text.find(" ", rng.randrange(len(text) + 1)) + 1 if text else 0
+        at = text.find(" ", rng.randrange(len(text) + 1)) + 1
         before = rng.choice(["key: ", "token=", "password is ", ""]) if kind == "secret" and rng.random() < 0.5 else ""
-        places.append((kind, made(rng, kind), text[max(0, at - 60) : at] + before, rng.choice([" ", ", ", ". "]) + text[at : at + 60]))
-    for kind, s, left, right in places:
-        for form, label, template in rewritings(rng, kind, s):
-            whole = left + form + right
-            a, b = len(left), len(left) + len(form)
-            for span in candidates(whole):
-                if span[0] == kind and span[1] < b and a < span[2]:
-                    good = bool(label) and span[1:] == (a, b)
-                    out.append((describe(whole, span), int(good), template % 3 if good else seed % 3))
-                elif span[1] < b and a < span[2] and not formal(span[0], whole[span[1] : span[2]]):
-                    out.append((describe(whole, span), 0, seed % 3))
+        some = rewritings(rng, kind, made(rng, kind))
+        some = rng.sample(some, min(forms, len(some)))
+        forms -= len(some)
+        after = rng.choice([" ", ", ", ". "]) + text[at : at + 60]
+        places += [(kind, f, text[max(0, at - 60) : at] + before, after) for f in some]
+    for kind, (form, label, template), left, right in places:
+        whole = left + form + right
+        a, b = len(left), len(left) + len(form)
+        for span in candidates(whole):
+            if span[0] == kind and span[1] < b and a < span[2]:
+                good = bool(label) and span[1:] == (a, b)
+                out.append((describe(whole, span), int(good), template % 3 if good else seed % 3))
+            elif span[1] < b and a < span[2] and not formal(span[0], whole[span[1] : span[2]]):
+                out.append((describe(whole, span), 0, seed % 3))
     return out
 
 
@@ -357,18 +427,21 @@ class Detector:
         base = [base_spans(t) for t in texts]
         if not self.trees:
             return [(b, b) for b in base]
-        who, new = [], []
-        for i, (t, own) in enumerate(zip(texts, base, strict=True)):
-            fresh = [s for s in candidates(t) if s[0] in self.thresholds and not any(a < s[2] and s[1] < b for _, a, b in own)]
-            who += [i] * len(fresh)
-            new += fresh
-        p = self.trees.predict(np.array([describe(texts[i], s) for i, s in zip(who, new, strict=True)])) if new else np.zeros(0)
+        near = [near_spans(t, own) for t, own in zip(texts, base, strict=True)]
+        x = [describe(t, s) for t, spans in zip(texts, near, strict=True) for s in spans]
+        return list(zip(base, self.chosen(base, near, coded(np.array(x), CUTS) if x else None), strict=True))
+
+    def chosen(self, base: list[list[Span]], near: list[list[Span]], codes: np.ndarray | None) -> list[list[Span]]:
+        """All spans of each text; codes: bins of the descriptions of the candidates near, text by text."""
         every = [list(b) for b in base]
-        for k in np.argsort(-p, kind="stable").tolist():
-            i, s = who[k], new[k]
-            if p[k] >= self.thresholds[s[0]] and not any(a < s[2] and s[1] < b for _, a, b in every[i]):
-                every[i].append(s)
-        return [(b, sorted(e, key=lambda s: (KINDS.index(s[0]), s[1]))) for b, e in zip(base, every, strict=True)]
+        if self.trees and codes is not None and len(codes):
+            who = [(i, s) for i, spans in enumerate(near) for s in spans]
+            p = 1 / (1 + np.exp(-self.trees.raw(codes)))
+            for k in np.argsort(-p, kind="stable").tolist():
+                i, s = who[k]
+                if p[k] >= self.thresholds.get(s[0], 2.0) and not any(a < s[2] and s[1] < b for _, a, b in every[i]):
+                    every[i].append(s)
+        return [sorted(e, key=lambda s: (KINDS.index(s[0]), s[1])) for e in every]
 
 
 #: Characters of text whose candidates are judged at once.
@@ -387,44 +460,167 @@ def _groups(texts: pd.Series) -> Iterator[list[str | None]]:
         yield held
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = 4000, examples_at_most: int = 24_000, precision: float = 0.99) -> Detector:
-    """Fits on about sample_docs documents that hold digits or at signs, drawn by a hash of the text, and examples_at_most of their examples.
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_WIDTH = len(CUTS) + 2
+#: Forms of made values that a small table is filled up to, and the most in one text; at least one is written into every text.
+FORMS, FORMS_A_TEXT = 16_000, 60
+#: Examples that a tree is grown on, at least, where there are so many; examples of a task.
+PART, TASK = 32_768, 65_536
 
-    Thirds of the templates and documents are judged by trees of the other two, which gives the thresholds; the trees that stay
-    know all.
-    """
-    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 20)).alias("draw"))
-    n = rows.count()
-    most = (1 << 20) if n <= sample_docs else max(1, (sample_docs << 20) // n)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(spans: list[list[Span]]) -> pa.Array:
+    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans], _SPANS)
+
+
+def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each of docs: keep, base: its base spans, near: other candidates, codes: bins of their descriptions; examples: bins, label
+    and fold of its examples; h1, h2: hashes of its text."""
+    n = docs.count()
+    forms = max(1, min(FORMS_A_TEXT, -(-FORMS // max(1, n))))
+    rows = docs.select(*keep, F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"), F.col(text).alias("_text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [e for t, d in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in examples(t, d)]
-            x, y, fold = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(fold, pa.int64())], names=["x", "y", "fold"])
-
-    # copies of a text give the same examples: once is enough
-    held = rows.filter(F.col("draw") < most).distinct().mapInArrow(label, "x array<double>, y int, fold long").distinct()
-    got = sorted(map(tuple, held.orderBy(F.xxhash64("x", "y", "fold"), "fold").limit(examples_at_most).collect()))
-    if not got or len({y for _, y, _ in got}) < 2:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            seeds = [h % (1 << 20) for h in batch.column(batch.num_columns - 3).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            near = [near_spans(t, own) for t, own in zip(texts, base, strict=True)]
+            got = [examples(t, k, own, forms) if t else [] for t, k, own in zip(texts, seeds, base, strict=True)]
+            x = [describe(t, s) for t, spans in zip(texts, near, strict=True) for s in spans] + [e[0] for own in got for e in own]
+            codes = coded(np.array(x), CUTS) if x else np.zeros((0, len(CUTS)), np.uint8)
+            about, at = [], 0
+            for spans in near:
+                about.append(codes[at : at + len(spans)].tobytes())
+                at += len(spans)
+            shown = []
+            for own in got:
+                tail = np.array([e[1:] for e in own], np.uint8).reshape(-1, 2)
+                shown.append(np.hstack([codes[at : at + len(own)], tail]).tobytes())
+                at += len(own)
+            more = [_listed(base), _listed(near), pa.array(about, pa.binary()), pa.array(shown, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "base", "near", "codes", "examples"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(scan, f"{fields}, base {SPANS}, near {SPANS}, codes binary, examples binary")
+
+
+def _parts(table: DataFrame, parts: int, tasks: int):
+    """(part, examples) of a scanned table, dealt by text, each text once."""
+    once = table.filter(F.octet_length("examples") > 0).select("_h1", "_h2", "examples").dropDuplicates(["_h1", "_h2"])
+    dealt = once.select(F.pmod(F.xxhash64("_h2"), F.lit(parts)).alias("part"), "examples")
+
+    def packed(rows):
+        held: dict[int, list[bytes]] = {}
+        for part, own in rows:
+            held.setdefault(part, []).append(bytes(own))
+        return [(part, b"".join(own)) for part, own in held.items()]
+
+    return dealt.rdd.coalesce(tasks).mapPartitions(packed).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, labels and folds."""
+    e = np.frombuffer(blob, np.uint8).reshape(-1, _WIDTH)
+    return np.ascontiguousarray(e[:, :-2]), e[:, -2].astype(float), e[:, -1]
+
+
+def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [x + y for x, y in zip(a, b, strict=True)]
+
+
+def fit(table: DataFrame, precision: float = 0.99) -> Detector:
+    """Trees and thresholds from all examples of a scanned table.
+
+    Sums of gradients by node, feature and bin are made by the tasks and added, so the driver sees sums only. Examples are dealt
+    into at most as many parts as there are rounds; each tree is grown on one part, in turn, so every example takes part. A
+    small table is one part. Four forests grow at the same time: three that know two folds each, and judge the third, and
+    the one that stays. Thresholds come from counts of all examples by kind and by what the forest that doesn't know them says.
+    """
+    most = table.agg(F.sum(F.octet_length("examples"))).first()[0] or 0
+    n = most // _WIDTH
+    forests = [Trees() for _ in range(4)]
+    rounds, depth = forests[0].rounds, forests[0].depth
+    parts = max(1, min(rounds, n // PART))
+    every = _parts(table, parts, max(1, -(-n // TASK)))
+    none = [np.zeros((3, 2))]
+    counted = every.map(lambda r: [np.bincount(_opened(r[1])[2] * 2 + _opened(r[1])[1].astype(int), minlength=6).reshape(3, 2).astype(float)]).fold(none, _added)[0]
+    if not counted.sum(axis=0).all():
+        every.unpersist()
         return Detector()
-    x, y, fold = np.array([g[0] for g in got]), np.array([g[1] for g in got], float), np.array([g[2] for g in got])
-    p = np.zeros(len(y))
-    for k in range(3):
-        rest = fold != k
-        if rest.all() or len(set(y[rest])) < 2:
-            continue
-        p[~rest] = Trees().fit(x[rest], y[rest]).predict(x[~rest])
+    known = []
+    for k, t in enumerate(forests):
+        own = counted[[j for j in range(3) if j != k]].sum(axis=0)
+        known.append(bool(own.all()))
+        t.begin(own[1] / max(1.0, own.sum()))
+    for r in range(rounds):
+        before = [t.raw for t in forests]
+
+        def with_odds(row, before=before):
+            codes, y, fold = _opened(row[1])
+            return codes, y, fold, [f(codes) for f in before]
+
+        mine = every.filter(lambda row, p=r % parts: row[0] == p).coalesce(max(1, -(-n // parts // TASK))).map(with_odds).persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = [t.sprout() for t in forests]
+        for level in range(depth):
+            zero = [np.zeros((len(own), len(CUTS), BINS, 3)) for own in nodes]
+
+            def level_sums(rows, trees=[t.trees[-1] for t in forests], level=level, nodes=nodes, zero=zero):  # noqa: B006
+                total = zero
+                for codes, y, fold, raw in rows:
+                    rest = [fold != k for k in range(len(raw))]
+                    total = _added(total, [sums(codes[w], y[w], o[w], t, level, own) for w, o, t, own in zip(rest, raw, trees, nodes, strict=True)])
+                return [total]
+
+            made_ = mine.mapPartitions(level_sums).treeReduce(_added)
+            nodes = [t.split(own, m) for t, own, m in zip(forests, nodes, made_, strict=True)]
+        mine.unpersist()
+
+    def judged(row):
+        """Numbers of bad and good examples by kind and by log odds, of the forests that don't know them."""
+        codes, y, fold = _opened(row[1])
+        raw = np.full(len(y), -np.inf)
+        for k in range(3):
+            if known[k]:
+                raw[fold == k] = forests[k].raw(codes[fold == k])
+        place = np.clip(np.floor(raw * 128), 0, 2047).astype(int)
+        held = (raw >= 0) & (codes[:, 0] < len(KINDS))
+        flat = (codes[held, 0].astype(int) * 2048 + place[held]) * 2 + y[held].astype(int)
+        return [np.bincount(flat, minlength=len(KINDS) * 4096).reshape(len(KINDS), 2048, 2).astype(float)]
+
+    seen = every.map(judged).treeReduce(_added)[0][:, ::-1]
+    every.unpersist()
     thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = x[:, 0] == k
-        order = np.argsort(-p[own], kind="stable")
-        ps, hits = p[own][order], np.cumsum(y[own][order])
-        # a cut lies behind the last of equal probabilities
-        good = np.flatnonzero((hits / np.arange(1, len(ps) + 1) >= precision) & (np.append(ps[1:], -1) < ps) & (ps >= 0.5))
+    for kind, own in zip(KINDS, seen, strict=True):
+        bad, hits = np.cumsum(own, axis=0).T
+        good = np.flatnonzero((own.sum(axis=1) > 0) & (hits >= precision * (hits + bad)))
         if len(good) and hits[good[-1]] >= 10:
-            thresholds[kind] = float(ps[good[-1]])
-    return Detector(Trees().fit(x, y), thresholds)
+            thresholds[kind] = float(1 / (1 + np.exp(-(2047 - good[-1]) / 128)))
+    return Detector(forests[3], thresholds)
+
+
+def train(docs: DataFrame, text: str = "text", precision: float = 0.99) -> Detector:
+    """Fits on the examples of all texts of docs."""
+    return fit(materialize(scanned(docs, text), "scanned"), precision)
+
+
+def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), precision: float = 0.99) -> DataFrame:
+    """keep and found (FOUND) of each of docs, by trees that learn from docs: each text is read once for both."""
+    table = materialize(scanned(docs, text, keep), "scanned")
+    detector = fit(table, precision)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *_, base, near, codes = ([[tuple(s.values()) for s in own] for own in c.to_pylist()] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns)
+            every = detector.chosen(base, near, np.frombuffer(b"".join(codes), np.uint8).reshape(-1, len(CUTS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], _listed(every)], names=[*batch.schema.names[:-2], "every"])
+
+    few = table.select(*keep, "base", "near", "codes")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema.fields[:-2])
+    judged = few.filter(F.size("near") > 0).mapInArrow(choose, f"{fields}, every {SPANS}")
+    rows = few.filter(F.size("near") == 0).select(*keep, "base", F.col("base").alias("every")).union(judged)
+    shown = F.transform("every", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array_contains("base", s).alias("base")))
+    return rows.select(*keep, shown.alias("found"))
 
 
 FOUND = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -471,7 +667,7 @@ def redacted(docs: DataFrame, detector: Detector, text: str = "text") -> DataFra
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: base spans of every document, counted and digested, and all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.select("doc_id", find(train(docs)).alias("s"))
+    held = detect(docs, keep=("doc_id",)).withColumnRenamed("found", "s")
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("s", lambda x: x["base"])
     count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

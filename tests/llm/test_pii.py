@@ -131,3 +131,27 @@ def test_cases(spark):
     assert [r.text for r in red] == [None, "", "x [email] [phone]", "x [email] [phone]"]
     assert pii.redact("abcdef", [("ip", 1, 4), ("card", 1, 5), ("email", 4, 6)]) == "a[card]f"
     assert docs.limit(0).select(pii.find(pii.train(docs.limit(0)))).count() == 0
+
+
+def test_every_text_teaches(spark):
+    """No text is left out of what the trees and thresholds learn from, copies count once, and the order of rows is nothing."""
+    docs = spark.createDataFrame([(k, f"word{k % 500} and some more words " * 3) for k in range(600)] + [(600, None), (601, "")], "doc_id long, text string")
+    table = pii.scanned(docs).localCheckpoint()
+    taught = {r["_h1"] for r in table.filter("octet_length(examples) > 0").collect()}
+    assert len(taught) == 500
+    every = pii._parts(table, 3, 2)
+    assert sum(len(b) for _, b in every.collect()) == sum(len(r.examples) for r in table.dropDuplicates(["_h1"]).collect())
+    one, two = pii.fit(table), pii.fit(table.repartition(7).orderBy("_h2"))
+    assert one.thresholds == two.thresholds and len(one.trees.trees) == 40
+    assert all((a == b).all() for s, t in zip(one.trees.trees, two.trees.trees, strict=True) for a, b in zip(s, t, strict=True))
+
+
+def test_parts_take_turns(spark, monkeypatch):
+    """Trees of a table of many parts still learn; those found from the table are those found from the texts."""
+    monkeypatch.setattr(pii, "PART", 2000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(600)
+    found = {r.doc_id: r.found for r in pii.detect(docs, keep=("doc_id",)).collect()}
+    detector = pii.train(docs)
+    assert set(detector.thresholds) == set(pii.KINDS) and len(found) == 600
+    for r in docs.select("doc_id", pii.find(detector).alias("found")).collect():
+        assert r.found == found[r.doc_id]
