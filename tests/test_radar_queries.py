@@ -357,3 +357,10 @@ def test_places_over_one_block_are_parted(spark, monkeypatch):
     assert all(r.terrain_m == (-1.0 if r.lat is None else 10.0 * at((math.ceil(r.lat) - r.lat) * 2) + at((r.lon - math.floor(r.lon)) * 2)) for r in rows)
     most = [sum(r.task == k and (r.lat is None) == none for r in rows) for k in range(16) for none in (True, False)]
     assert max(most) <= 400
+
+
+def test_deal_without_sorting():
+    """Tables of up to 400 times TASK_GATES are dealt without a sort; no task ever gets more than twice TASK_GATES on average."""
+    assert [grid._tasks(n) for n in (0, 1, grid.TASK_GATES, grid.TASK_GATES + 1)] == [0, 1, 1, 2]
+    assert grid._tasks(36_000_000) == grid.UNSORTED == grid._tasks(400 * grid.TASK_GATES)
+    assert all(grid._tasks(n) * 2 * grid.TASK_GATES >= n for n in (36_000_000, 10**9, 10**12))
