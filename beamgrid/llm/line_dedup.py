@@ -9,12 +9,13 @@ A run is a sequence of lines that hold `min_words` words and would not without i
 lines in all runs that stand earlier in the corpus too (documents by doc_id, then by text hash; places in order). Any
 longer repeated passage is made of such runs.
 
-Winnowing. A fingerprint is the hash of the fewest lines from a place on that hold `print_words` words. Each run selects the
-least fingerprint inside it, so equal runs have selected equal fingerprints, and neighbouring runs mostly the same one:
-a fingerprint is stored once with the hashes of all runs that selected it. Only selected fingerprints are grouped over the
-corpus. Where one stands in more than one place, the positions are joined, and the match is extended both ways over the runs
-around it by their hashes, each of which is looked up among those of all other places. Nothing is compared with one chosen
-source, and no group is gathered: counts and first places are combined before the shuffle.
+Winnowing. A fingerprint is the hash of the first two and the last of the fewest lines from a place on that hold `print_words`
+words. Each run selects the least fingerprint inside it, so equal runs have selected equal fingerprints, and neighbouring runs
+mostly the same one: it is stored once, as fingerprint, document and line. Where one stands in more than one place of the
+corpus, its documents are joined with their places, and the matches are extended both ways: of these documents, and from the
+first to the last matched place, all runs that hold a place or lie between two are hashed, and each is looked up among those of
+all other places. Nothing is compared with one chosen source, and no group is gathered: counts and first places are combined
+before the shuffle.
 
 Words are parted by white space or bars; two characters of Han or kana, or four of Thai, Lao, Khmer or Burmese, count as one
 more. Defined cases: null stays null and empty stays empty; rows equal in doc_id and text count as one document and share
@@ -45,10 +46,12 @@ ANY = SPACE + "|"
 UNSPACED = rf"(?<=[\u0e00-\uffff])(?<=[{HAN}{MARKS}{INDIC}])(?=[^{SPACE}{MARKS}])(?:(?<=[{MARKS}\u104a\u104b\u17d4])|(?<=[\u3041-\u30ff])(?=[\u3400-\u9fff])|(?<=[\u7684\u4e86\u662f\u5728\u4e0d\u6211\u6709\u4eba\u8fd9\u9019\u4e00\u4ed6\u4eec\u5011\u56fd\u570b\u4e2d\u5927])|(?=[\u0e40-\u0e44\u0ec0-\u0ec4])|(?<=[\u1038\u17b6]))"
 _ANY = STARTS % (ANY, ANY, ANY, rf"(?<=\n[{ANY}]{{0,3}})|(?<=[.!?][{ANY}]{{1,3}})")
 #: Where all white space is single spaces and line feeds these give the same cuts, faster.
-_FEW = STARTS % (r" \n", r" \n", r" \n", r"(?<=[.!?\n] |\n)")
+_FEW = r"(?:(?=\p{Lu}[\p{Ll} ]|[^ \n]{5}(?:[^ \n]{2})?+(?:[ \n]|\z))|(?<=\n|[.!?\n] ))"
 #: The cuts with the white space before them, for bare lines, and without any width.
 BARE = {True: rf"[{ANY}]++(?!\z){_ANY}|{UNSPACED}", False: rf"[ \n]++(?!\z){_FEW}"}
 WHOLE = {True: rf"(?<=[{ANY}])(?=[^{ANY}]){_ANY}|{UNSPACED}", False: rf"(?<=[ \n])(?=[^ \n]){_FEW}"}
+#: A text of characters below U+0E00 alone, without bars and white space other than spaces and line feeds.
+EVEN = r"\A[ -{}-\x84\x86-\x9f\xa1-\u0dff\n\x00-\x08\x0e-\x1f]*\z"
 #: Lines of a text, in the low bits of what orders fingerprints.
 PLACE = (1 << 28) - 1
 
@@ -63,20 +66,21 @@ def _body(text: Column) -> Column:
 
 def _odd(body: Column) -> Column:
     """Whether there is other white space than single spaces and line feeds, a bar, or a script without spaces."""
-    marks = [F.contains(body, F.lit(x)) for x in ("  ", "\t", "|", "\r", "\x0b", "\f", "\x85", "\xa0")]
-    out = F.when(F.octet_length(body) > F.length(body), F.rlike(body, F.lit(r"[\u0e00-\uffff\u1680]"))).otherwise(False)
-    for m in marks:
-        out = m | out
-    return out
+    return ~F.rlike(body, F.lit(EVEN)) | F.contains(body, F.lit("  "))
 
 
-def _cut(body: Column, by: dict[bool, str]) -> Column:
-    return F.when(_odd(body), F.split(body, by[True], -1)).otherwise(F.split(body, by[False], -1))
+def _cut(body: Column, by: dict[bool, str], odd: Column) -> Column:
+    return F.when(odd, F.split(body, by[True], -1)).otherwise(F.split(body, by[False], -1))
 
 
-def _pieces(text: Column) -> Column:
-    """The lines of a text with the white space behind them; joined, they are the text."""
-    own = _cut(_body(text), WHOLE)
+def _own(text: Column) -> Column:
+    """The lines with the white space behind them, without that before the first."""
+    return _cut(_body(text), WHOLE, _odd(_body(text)))
+
+
+def _pieces(text: Column, own: Column | None = None) -> Column:
+    """The lines of a text with the white space behind them; joined, they are the text. own: _own(text), if at hand."""
+    own = _own(text) if own is None else own
     lead = F.substring(text, F.lit(1), F.length(text) - F.length(_body(text)))
     return F.concat(F.array(F.concat(lead, F.element_at(own, 1))), F.slice(own, F.lit(2), F.size(own)))
 
@@ -107,82 +111,92 @@ def _layout(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     rows: keep, body. All but keep is null where body is.
     """
-    bare = _held(rows, [*keep, _odd(F.col("body")).alias("odd")], p=_cut(F.col("body"), BARE))
+    bare = _held(rows, [*keep, "body"], odd=_odd(F.col("body")))
+    bare = _held(bare, [*keep, "odd"], p=_cut(F.col("body"), BARE, F.col("odd")))
     last = F.array(F.rtrim(F.element_at("p", -1), F.lit(SPACES)))
     bare = _held(bare, [*keep, "odd"], p=F.concat(F.slice("p", F.lit(1), F.size("p") - 1), last))
-    words = F.when(F.col("odd"), F.transform("p", _words)).otherwise(F.transform("p", lambda x: F.size(F.split(x, " "))))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    words = F.when(F.col("odd"), F.transform("p", _words)).otherwise(F.transform("p", lambda x: spaces(x) + 1))
     rows = _held(bare, [*keep, F.transform("p", lambda x: F.xxhash64(x)).alias("h")], w=words)
     rows = _held(rows, [*keep, "h"], at=F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n))))
-    begins = F.transform("at", lambda i, k: F.when((k == 0) | (F.element_at("at", F.greatest(k, F.lit(1))) != i), k))
+    begins = F.transform("at", lambda i, k: F.when(~F.get("at", k - 1).eqNullSafe(i), k))
     return _held(rows, [*keep, "h", "at"], first=F.concat(F.array_compact(begins), F.array(F.size("at"))))
 
 
 def _from(end: Column, words: int) -> Column:
-    """The last line from which on there are so many words up to the end."""
-    return F.element_at("at", F.element_at("first", end + 1) - words + 1)
+    """The last line from which on there are so many words up to the end; null where there are fewer."""
+    return F.get("at", F.get("first", end) - words)
 
 
-def _runs(min_words: int, print_words: int) -> Column:
-    """start, end, last (the start of its last fingerprint) of each run of a layout, by end, then start; null where there is none."""
+def _runs(rows: DataFrame, keep: list[str], min_words: int) -> DataFrame:
+    """keep, start, end of each run of layouts, a row each: slices of arrays are cheap in rows, but not in higher-order functions."""
+    rows = rows.filter(F.size("at") >= min_words)
+    rows = rows.select(*keep, "at", "first", F.explode(F.sequence(F.get("at", F.lit(min_words - 1)) + 1, F.size("h"))).alias("end"))
+    # the last start of an end, and those before it that the end before can't have
+    high = _from(F.col("end"), min_words)
+    low = F.least(F.coalesce(_from(F.col("end") - 1, min_words) + 1, F.lit(0)), high)
+    return rows.select(*keep, "at", "first", "end", low.alias("low"), F.explode(F.sequence(low, high)).alias("start"))
 
-    def ending(end: Column) -> Column:
-        low = F.when(F.element_at("first", end) >= min_words, _from(end - 1, min_words) + 1).otherwise(0)
-        high, last = _from(end, min_words).alias("start"), _from(end, print_words).alias("last")
-        more = F.transform(F.sequence(low, _from(end, min_words)), lambda i: F.struct(i.alias("start"), end.alias("end"), last))
-        return F.when(low < _from(end, min_words), more).otherwise(F.array(F.struct(high, end.alias("end"), last)))
 
-    ends = F.when(F.size("at") >= min_words, F.sequence(F.try_element_at("at", F.lit(min_words)) + 1, F.size("h")))
-    return F.flatten(F.transform(ends, ending))
+def _bodies(docs: DataFrame) -> DataFrame:
+    """none, id, tag, body of the documents that have one, and doc: a hash of the three."""
+    rows = docs.select(*(c.alias(n) for n, c in _document(F.col("text")).items()), _body(F.col("text")).alias("body"))
+    return rows.filter("body != ''").withColumn("doc", F.xxhash64(*DOCUMENT))
 
 
 def fingerprints(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
-    """The document (none, id, tag), print: a selected fingerprint; run, keys: number of the first run that selected it, hashes of all."""
+    """doc: a hash of the document, chosen: a line at which a fingerprint is selected, print: that fingerprint."""
     if not 0 < print_words <= min_words:
         raise ValueError("a fingerprint has from one to min_words words")
-    text = F.col("text")
-    rows = docs.select(*(c.alias(n) for n, c in _document(text).items()), _body(text).alias("body")).filter("body != ''")
-    rows = _layout(rows, DOCUMENT).filter(F.size("at") >= min_words)
-    rows = _held(rows, [*DOCUMENT, "h", "at", "first"], runs=_runs(min_words, print_words))
-    starts = F.slice("first", F.lit(1), F.element_at("at", F.size("at") - print_words + 1) + 1)
-    prints = F.transform(starts, lambda x, i: F.xxhash64(F.slice("h", i + 1, F.element_at("at", x + print_words) + 1 - i)))
-    rows = _held(rows, [*DOCUMENT, "h", "runs"], prints=prints)
+    rows = _layout(_bodies(docs).select("doc", "body"), ["doc"]).filter(F.size("at") >= min_words)
+    rows = _held(rows, ["doc", "h", "at", "first"], starts=F.slice("first", F.lit(1), F.get("at", F.size("at") - print_words) + 1))
+
+    def print_at(i: Column, word: Column) -> Column:
+        last = F.get("at", word + print_words - 1)
+        return F.xxhash64(F.get("h", i), F.get("h", F.least(i + 1, last)), F.get("h", last))
+
     # the least fingerprint, and of equal ones the first, is the least of these
-    rows = _held(rows, [*DOCUMENT, "h", "runs", "prints"], order=F.transform("prints", lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))))
-    least = lambda r: F.array_min(F.slice("order", r["start"] + 1, r["last"] - r["start"] + 1))
-    key = lambda r: F.xxhash64(F.slice("h", r["start"] + 1, r["end"] - r["start"]))
-    made = F.transform("runs", lambda r: F.struct(least(r).bitwiseAND(F.lit(PLACE)).cast("int").alias("chosen"), key(r).alias("key")))
-    rows = _held(rows, [*DOCUMENT, "prints"], runs=made)
+    order = F.transform("starts", lambda x, i: print_at(i, x).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+    rows = _held(rows, ["doc", "h", "at", "first"], order=order)
+    runs = _runs(rows, ["doc", "h", "order"], min_words)
+    least = lambda s, e: F.array_min(F.slice("order", s + 1, _from(e, print_words) - s + 1)).bitwiseAND(F.lit(PLACE)).cast("int")
+    start, end, low = F.col("start"), F.col("end"), F.col("low")
     # the least of a sliding window never moves back, so the runs that selected a fingerprint follow one another
-    new = F.transform("runs", lambda r, k: F.when((k == 0) | (F.element_at("runs", F.greatest(k, F.lit(1)))["chosen"] != r["chosen"]), k))
-    rows = _held(rows, [*DOCUMENT, "prints", "runs"], new=F.array_compact(new))
-    one = lambda k, j: F.struct(
-        F.element_at("prints", F.element_at("runs", k + 1)["chosen"] + 1).alias("print"),
-        k.alias("run"),
-        F.transform(F.slice("runs", k + 1, F.coalesce(F.try_element_at("new", j + 2), F.size("runs")) - k), lambda r: r["key"]).alias("keys"),
-    )
-    return rows.select(*DOCUMENT, F.explode(F.transform("new", one)).alias("f")).select(*DOCUMENT, "f.print", "f.run", "f.keys")
+    before = F.when(start > low, least(start - 1, end)).when(_from(end - 1, min_words).isNotNull(), least(_from(end - 1, min_words), end - 1))
+    runs = runs.select("doc", "h", "at", "first", least(start, end).alias("chosen"), before.alias("before"))
+    runs = runs.filter(~F.col("chosen").eqNullSafe(F.col("before")))
+    return runs.select("doc", "chosen", print_at(F.col("chosen"), F.get("first", F.col("chosen"))).alias("print"))
 
 
 def repeated(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFrame:
-    """none, id, tag, runs: for each document that repeats something, the numbers of its runs that stand earlier too."""
+    """none, id, tag, runs: for each document that repeats something, start and end of its runs that stand earlier too."""
     held = materialize(fingerprints(docs, min_words, print_words), "fingerprints")
     # written, so that both sides of each join are read through a shuffle of their own and a hot key can be split
-    often = materialize(held.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "often")
-    matched = materialize(held.join(often, "print").select(*DOCUMENT, "run", "keys"), "matched")
-    runs = matched.select(*DOCUMENT, "run", F.posexplode("keys").alias("k", "key"))
-    runs = runs.select("key", F.struct(*DOCUMENT, (F.col("run") + F.col("k")).alias("run")).alias("place"))
+    place = F.xxhash64("doc", "chosen")
+    often = held.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("print")
+    often = materialize(often, "often")
+    matched = held.join(often, "print").groupBy(F.col("doc").alias("m_doc")).agg(F.min("chosen").alias("since"), F.max("chosen").alias("until"))
+    matched = materialize(matched, "matched")
+    # out from the matches of a document over all runs that hold one of them or lie between them
+    rows = _bodies(docs).join(matched, F.col("doc") == F.col("m_doc"))
+    keep = [*DOCUMENT, "since", "until"]
+    runs = _runs(_layout(rows.select(*keep, "body"), keep), [*keep, "h"], min_words)
+    runs = runs.filter((F.col("start") <= F.col("until")) & (_from(F.col("end"), print_words) >= F.col("since")))
+    key = F.xxhash64(F.slice("h", F.col("start") + 1, F.col("end") - F.col("start")))
+    runs = materialize(runs.select(key.alias("key"), *DOCUMENT, "start", "end"), "runs")
+    runs = runs.select("key", F.struct(*DOCUMENT, "start", "end").alias("place"))
     first = runs.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
     first = materialize(first, "first")
     later = runs.join(first, "key").filter(F.col("place") > F.col("first"))
-    return later.groupBy(*(F.col(f"place.{c}").alias(c) for c in DOCUMENT)).agg(F.collect_set("place.run").alias("runs"))
+    return later.groupBy(*(F.col(f"place.{c}").alias(c) for c in DOCUMENT)).agg(F.collect_list(F.struct("place.start", "place.end")).alias("runs"))
 
 
-def _left(hit: Column, runs: Column) -> Column:
-    """The lines [a, b) to keep, without the runs of the numbers in hit; b of the last is null, the end."""
+def _left(hit: Column) -> Column:
+    """The lines [a, b) to keep, without the runs in hit; b of the last is null, the end."""
     # starts and ends both ascend, so a gap is what lies between the end of a run and the start of the next
-    places = F.transform(F.array_sort(hit), lambda k: F.element_at(runs, k + 1))
-    begin = F.concat(F.array(F.lit(0)), F.transform(places, lambda r: r["end"]))
-    end = F.concat(F.transform(places, lambda r: r["start"]), F.array(F.lit(None).cast("int")))
+    places = F.sort_array(hit)
+    begin = F.concat(F.array(F.lit(0)), places["end"])
+    end = F.concat(places["start"], F.array(F.lit(None).cast("int")))
     gaps = F.zip_with(begin, end, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.filter(gaps, lambda r: r["b"].isNull() | (r["a"] < r["b"]))
 
@@ -194,10 +208,9 @@ def dedup(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> DataFr
     rows = docs.select(F.struct(*docs.columns).alias("d"), *(c.alias(n) for n, c in _document(F.col("text")).items()))
     rows = rows.join(hit, [F.col(c) == F.col(f"r_{c}") for c in DOCUMENT], "left")
     # cut again, where something goes
-    rows = rows.select("d", "hit", F.when(F.col("hit").isNotNull(), _body(F.col("d.text"))).alias("body"))
-    rows = _held(_layout(rows, ["d", "hit"]), ["d", "hit"], runs=_runs(min_words, print_words))
-    rows = _held(rows, ["d"], kept=_left(F.col("hit"), F.col("runs")))
-    rows = _held(rows, ["d", "kept"], p=F.when(F.col("kept").isNotNull(), _pieces(F.col("d.text"))))
+    rows = _held(rows, ["d"], kept=_left(F.col("hit")))
+    rows = _held(rows, ["d", "kept"], own=F.when(F.col("kept").isNotNull(), _own(F.col("d.text"))))
+    rows = _held(rows, ["d", "kept"], p=F.when(F.col("kept").isNotNull(), _pieces(F.col("d.text"), F.col("own"))))
     part = lambda a, b: F.array_join(F.slice("p", a + 1, b - a), "")
     left = F.array_join(F.transform("kept", lambda r: part(r["a"], F.coalesce(r["b"], F.size("p")))), "")
     gone = F.transform("kept", lambda r, k: part(F.when(k > 0, F.try_element_at("kept", F.greatest(k, F.lit(1)))["b"]).otherwise(0), r["a"]))

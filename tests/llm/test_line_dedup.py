@@ -192,3 +192,27 @@ def test_very_long_text(spark):
     got = {k: t for (k, _), t in run(spark, [(1, "".join(parts)), (2, mixed + big), (3, big + mixed)])[0].items()}
     assert not any(x in got[2] for x in parts) and got[2].endswith(big)
     assert len(got[3]) < 200
+
+
+def test_runs_are_hashed_only_around_matches(spark, monkeypatch):
+    rng = random.Random(12)
+    parts = [" ".join(words(rng, 50)) + ".\n" for _ in range(120)]
+    alone = {k: "".join(parts[10 * k : 10 * k + 10]) for k in range(10)}
+    both = {10: parts[100] + parts[101] + parts[102], 11: "".join(parts[103:110]) + parts[101] + "".join(parts[110:120])}
+    made, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    got = {k: t for (k, _), t in run(spark, sorted((alone | both).items()))[0].items()}
+    assert got == alone | both | {11: both[11].replace(parts[101], "")}
+    # a row a selected fingerprint, without hashes of runs; these are made of documents that share one, next to it
+    assert made["fingerprints"].columns == ["doc", "chosen", "print"]
+    runs = made["runs"].groupBy("id").count().collect()
+    assert {r.id for r in runs} == {10, 11}
+    assert sum(r["count"] for r in runs if r.id == 11) < 60
+
+
+@pytest.mark.parametrize("extra", ["", "\t", "\r\n", "|", "\x85", "\xa0", "  ", "\x0b", "\f", " ", "’", "　", "的", "é", "\n", "෿", "\x00"])
+def test_odd_characters(spark, extra):
+    odd = re.search("  |[\t|\r\x0b\f\x85\xa0฀-￿]", f"ab {extra} c".replace(" ", "") if extra != "  " else extra)
+    text = f"ab{extra}c d\nE" if extra != "  " else "ab  c"
+    row = spark.createDataFrame([(text,)], "body string").select(line_dedup._odd(F.col("body")).alias("x")).first()
+    assert row.x == bool(odd)
