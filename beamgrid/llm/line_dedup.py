@@ -178,17 +178,21 @@ def repeated(docs: DataFrame, min_words: int = 40, print_words: int = 12) -> Dat
     matched = held.join(often, "print").groupBy(F.col("doc").alias("m_doc")).agg(F.min("chosen").alias("since"), F.max("chosen").alias("until"))
     matched = materialize(matched, "matched")
     # out from the matches of a document over all runs that hold one of them or lie between them
-    rows = _bodies(docs).join(matched, F.col("doc") == F.col("m_doc"))
+    # by a shuffle at all sizes, as a broadcast ends with small tables
+    rows = _bodies(docs).join(matched.hint("merge"), F.col("doc") == F.col("m_doc"))
     keep = [*DOCUMENT, "since", "until"]
     runs = _runs(_layout(rows.select(*keep, "body"), keep), [*keep, "h"], min_words)
     runs = runs.filter((F.col("start") <= F.col("until")) & (_from(F.col("end"), print_words) >= F.col("since")))
-    key = F.xxhash64(F.slice("h", F.col("start") + 1, F.col("end") - F.col("start")))
-    runs = materialize(runs.select(key.alias("key"), *DOCUMENT, "start", "end"), "runs")
-    runs = runs.select("key", F.struct(*DOCUMENT, "start", "end").alias("place"))
-    first = runs.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    first = materialize(first, "first")
-    later = runs.join(first, "key").filter(F.col("place") > F.col("first"))
-    return later.groupBy(*(F.col(f"place.{c}").alias(c) for c in DOCUMENT)).agg(F.collect_list(F.struct("place.start", "place.end")).alias("runs"))
+    lines = F.col("end") - F.col("start")
+    # equal runs have as many lines, so a place needs no end; a key differs where their number does
+    key = F.xxhash64(lines, F.slice("h", F.col("start") + 1, lines))
+    runs = materialize(runs.select(key.alias("key"), *DOCUMENT, "start", lines.alias("lines")), "runs")
+    place = F.struct(*DOCUMENT, "start")
+    first = runs.groupBy("key").agg(F.min(place).alias("first"), F.min("lines").alias("lines"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.filter("n > 1").select("key", "first", "lines"), "first")
+    later = runs.select("key", *DOCUMENT, "start").join(first, "key").filter(place > F.col("first"))
+    run = F.struct("start", (F.col("start") + F.col("lines")).alias("end"))
+    return later.groupBy(*DOCUMENT).agg(F.collect_list(run).alias("runs"))
 
 
 def _left(hit: Column) -> Column:
